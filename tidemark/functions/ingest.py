@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +24,37 @@ MIN_BATCH_EVENTS = 1
 MAX_BATCH_EVENTS = 1000
 
 
-def reject_reasons() -> Column:
-    """Names of all broken rules; an empty array means the event is accepted."""
+def reject_reasons(get: Callable[[str], Column] = F.col) -> Column:
+    """Names of all broken rules; an empty array means the event is accepted. `get` finds a
+    field: a column of the row, or a field of an array element."""
     rules = [
-        F.when(F.col("event_type").isNull(), F.lit("event_type_missing")),
-        F.when(F.length("event_type") == 0, F.lit("event_type_empty")),
+        F.when(get("event_type").isNull(), F.lit("event_type_missing")),
+        F.when(F.length(get("event_type")) == 0, F.lit("event_type_empty")),
     ]
     rules += [
-        F.when(F.length(name) > limit, F.lit(f"{name}_too_long")) for name, limit in MAX_LENGTHS.items()
+        F.when(F.length(get(name)) > limit, F.lit(f"{name}_too_long")) for name, limit in MAX_LENGTHS.items()
     ]
     return F.array_compact(F.array(*rules))
 
 
 def batch_reject_reasons(events: Column) -> Column:
-    """A batch needs 1..1000 events."""
+    """A batch needs 1..1000 events and every one of them must be valid; the reasons of an
+    event carry its index."""
     n = F.coalesce(F.size(events), F.lit(0))
-    return F.array_compact(
+    size_rules = F.array_compact(
         F.array(
             F.when(n < MIN_BATCH_EVENTS, F.lit("batch_empty")),
             F.when(n > MAX_BATCH_EVENTS, F.lit("batch_too_large")),
         )
     )
 
+    def of_event(e: Column, i: Column) -> Column:
+        at = F.concat(F.lit("events["), i.cast("string"), F.lit("]: "))
+        return F.transform(reject_reasons(e.getField), lambda r: F.concat(at, r))
+
+    of_events = F.coalesce(F.flatten(F.transform(events, of_event)), F.array().cast("array<string>"))
+    return F.concat(size_rules, of_events)
+
 
 def enrich(df: DataFrame, received_at: Column, source: str, id_columns: list[str]) -> DataFrame:
     """Fill in what a request may leave out.

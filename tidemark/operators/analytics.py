@@ -19,6 +19,7 @@ from tidemark.operators.rollup import (
     Measure,
     Rollup,
     distinct_values,
+    keep,
     merge_measures,
     rows,
     rows_where,
@@ -40,7 +41,7 @@ def hourly_stats(size: str = HOUR) -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return tally(
-            df.where(F.col("country").isNotNull()),
+            keep(df, F.col("country").isNotNull()),
             [_window(size), "event_type", "country"],
             measures,
             {"user": F.col("user_id"), "session": F.col("session_id")},
@@ -63,7 +64,7 @@ def hourly_page_views(size: str = HOUR, min_count: int = 10) -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return tally(
-            df.where(is_page_view(F.col("event_type")) & F.col("url").isNotNull()),
+            keep(df, is_page_view(F.col("event_type")) & F.col("url").isNotNull()),
             [_window(size), "url"],
             measures,
             {"visitor": F.col("user_id")},
@@ -93,7 +94,7 @@ def daily_user_metrics(size: str = DAY) -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return tally(
-            df.where(F.col("user_id").isNotNull()),
+            keep(df, F.col("user_id").isNotNull()),
             [_window(size), "user_id"],
             measures,
             {"session": F.col("session_id"), "page": F.col("url")},
@@ -117,7 +118,7 @@ def daily_cohorts(size: str = DAY, frame_rows: int = 7) -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return tally(
-            df.where(F.col("country").isNotNull() & F.col("event_type").isNotNull()),
+            keep(df, F.col("country").isNotNull() & F.col("event_type").isNotNull()),
             [_window(size), "country", "event_type"],
             measures,
             {"user": F.col("user_id")},
@@ -154,7 +155,7 @@ def user_journeys(min_events: int = 2) -> Rollup:
     with_url = F.when(F.col("url").isNotNull(), event_order())
 
     def aggregate(df: DataFrame, keys: list[Column | str]) -> DataFrame:
-        return df.where(F.col("session_id").isNotNull()).groupBy(*keys).agg(
+        return keep(df, F.col("session_id").isNotNull()).groupBy(*keys).agg(
             F.count(F.lit(1)).alias("events_in_session"),
             F.count_if(is_page_view(F.col("event_type"))).alias("page_views"),
             F.min("ts").alias("session_start"),
@@ -208,7 +209,7 @@ def conversion_funnel() -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return (
-            df.where(F.col("user_id").isNotNull())
+            keep(df, F.col("user_id").isNotNull())
             .groupBy(_window(DAY), "user_id")
             .agg(*[F.max(F.when(c, 1).otherwise(0)).alias(name) for name, c in flags.items()])
         )
@@ -236,7 +237,7 @@ def minute_counters(per_user: bool = False, size: str = "1 minute") -> Rollup:
     def partial(df: DataFrame) -> DataFrame:
         if not per_user:
             return df.groupBy(_window(size)).agg(F.count(F.lit(1)).alias("events_count"))
-        named = df.where(F.col("user_id").isNotNull() & (F.col("user_id") != 0))
+        named = keep(df, F.col("user_id").isNotNull() & (F.col("user_id") != 0))
         return named.groupBy(_window(size), "user_id").agg(F.count(F.lit(1)).alias("events_count"))
 
     return Rollup(partial, split_window)
@@ -254,7 +255,7 @@ def geo_panes(df: DataFrame, slide: str = HOUR) -> DataFrame:
     """One row per slide, country, city and user: the input of geo_windows, on table and stream."""
     kind = F.col("event_type")
     return (
-        df.where(F.col("country").isNotNull())
+        keep(df, F.col("country").isNotNull())
         .groupBy(_window(slide), "country", "city", "user_id")
         .agg(
             F.count(F.lit(1)).alias("events"),
@@ -314,7 +315,7 @@ def geo_analysis_stream(df: DataFrame, size: str = "24 hours", slide: str = HOUR
     """The plain sliding-window form: event and error counts, usable on a stream."""
     kind = F.col("event_type")
     return split_window(
-        df.where(F.col("country").isNotNull())
+        keep(df, F.col("country").isNotNull())
         .groupBy(F.window("ts", size, slide).alias("w"), "country", "city")
         .agg(F.count(F.lit(1)).alias("total_events"), F.count_if(is_error(kind)).alias("error_count"))
     )

@@ -41,18 +41,22 @@ def parse_batches(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def unfold_batches(batches: DataFrame) -> DataFrame:
-    """One row per event of a batch of legal size, with its index and its own verdict."""
+    """One row per event of an accepted batch, with its index. A request is taken or refused as
+    a whole, which the arrays decide without a shuffle."""
     legal = batches.where(F.size("batch_reject_reasons") == 0).drop("batch_reject_reasons")
     rest = [c for c in legal.columns if c != "events"]
-    return validate(
-        legal.select(*rest, F.posexplode("events").alias("batch_index", "e")).select(*rest, "batch_index", "e.*")
+    return legal.select(*rest, F.posexplode("events").alias("batch_index", "e")).select(
+        *rest, "batch_index", "e.*"
     )
 
 
+def refused_batches(batches: DataFrame) -> DataFrame:
+    return batches.where(F.size("batch_reject_reasons") > 0)
+
+
 def batch_events(batches: DataFrame, received_at: Column) -> DataFrame:
-    """Enriched events of batches in which every event is valid; one bad event fails its batch."""
-    unfolded = unfold_batches(batches)
-    return enrich(accepted(unfolded), received_at, "batch_api", ["batch_id", "batch_index"])
+    """Enriched events of the accepted batches."""
+    return enrich(unfold_batches(batches), received_at, "batch_api", ["batch_id", "batch_index"])
 
 
 def batch_outcomes(sent: DataFrame, ok: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.functions.events import has_session, has_user, is_error, is_page_v
 from tidemark.operators.rollup import (
     Rollup,
     distinct_values,
+    keep,
     merge_measures,
     rows,
     split_window,
@@ -94,7 +95,7 @@ def country_metrics(size: str = SECOND) -> Rollup:
 
     def partial(df: DataFrame) -> DataFrame:
         return tally(
-            df.where(F.col("country").isNotNull()),
+            keep(df, F.col("country").isNotNull()),
             [_window(size), "country"],
             measures,
             {"type": F.col("event_type"), "user": F.col("user_id")},
@@ -118,7 +119,7 @@ def active_users(size: str = MINUTE) -> Rollup:
     def partial(df: DataFrame) -> DataFrame:
         session = F.when(has_session(F.col("session_id")), F.col("session_id"))
         return tally(
-            df.where(has_user(F.col("user_id"))),
+            keep(df, has_user(F.col("user_id"))),
             [_window(size)],
             {},
             {"user": F.col("user_id"), "session": session},
@@ -140,7 +141,7 @@ def page_view_metrics(size: str = SECOND, k: int = 10) -> Rollup:
     measures = {"total_page_views": rows()}
 
     def partial(df: DataFrame) -> DataFrame:
-        views = df.where(is_page_view(F.col("event_type")) & F.col("url").isNotNull())
+        views = keep(df, is_page_view(F.col("event_type")) & F.col("url").isNotNull())
         viewer, url = {"viewer": F.col("user_id")}, {"url": F.when(F.col("url") != "", F.col("url"))}
         if df.isStreaming:
             return tally(views, [_window(size)], measures, viewer | url)
@@ -170,7 +171,7 @@ def error_metrics(size: str = SECOND) -> Rollup:
     def partial(df: DataFrame) -> DataFrame:
         name = F.coalesce(F.when(F.col("event_name") != "", F.col("event_name")), F.lit("unknown"))
         return tally(
-            df.where(is_error(F.col("event_type"))),
+            keep(df, is_error(F.col("event_type"))),
             [_window(size)],
             measures,
             {"name": name, "user": F.col("user_id")},

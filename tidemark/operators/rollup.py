@@ -38,6 +38,17 @@ class Measure:
     merge: str = "sum"
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter typed events (event time `ts`).
+
+    On a stream the condition is tied to `ts`, which keeps it above the watermark: rows it
+    drops still move event time forward, so windows of rare events close on time.
+    """
+    if df.isStreaming:
+        return df.where(F.when(F.col("ts").isNotNull(), condition).otherwise(F.lit(False)))
+    return df.where(condition)
+
+
 def rows() -> Measure:
     return Measure(F.lit(1).cast("long"))
 

@@ -24,6 +24,7 @@ from tidemark.functions.events import (
     whole_seconds_between,
 )
 from tidemark.operators.analytics import event_order
+from tidemark.operators.rollup import keep
 
 GAP = "30 minutes"
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -37,7 +38,7 @@ def gap_micros(gap: str) -> int:
 def _user_events(events: DataFrame) -> DataFrame:
     """Only what sessions need; page is the URL of a page view, else NULL."""
     page = F.when(is_page_view(F.col("event_type")) & (F.col("url") != ""), F.col("url"))
-    return events.where(F.col("user_id").isNotNull()).select(
+    return keep(events, F.col("user_id").isNotNull()).select(
         "user_id",
         "ts",
         "event_id",

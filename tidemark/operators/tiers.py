@@ -135,10 +135,10 @@ def archive_rows(events: DataFrame) -> DataFrame:
 
 
 def write_archive(events: DataFrame, path: str) -> None:
-    """One shuffle by folder, with a hot hour cut by the hash of its events."""
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(16))
-    rows = archive_rows(events)
-    rows.repartition("date_partition", "hour", spread).write.partitionBy("date_partition", "hour").json(path)
+    """One shuffle by folder. Rebalancing joins small folders' rows into one task and cuts a hot
+    folder into several, so files stay of a useful size either way."""
+    rows = archive_rows(events).hint("rebalance", "date_partition", "hour")
+    rows.write.partitionBy("date_partition", "hour").json(path)
 
 
 def latest_values(puts: DataFrame, key: str, value: Column, put_time: str, ttl: Column | None = None) -> DataFrame:

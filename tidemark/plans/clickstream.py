@@ -701,11 +701,11 @@ _ACTIVE_CTES = (
 )
 
 
-def _roaming(spark: SparkSession, root: str) -> DataFrame:
+def _roaming_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("properties", "$.k").cast("int")
     codes = F.array(*[F.lit(c) for c in COUNTRY_CODES])
     u = F.col("user_id") % 7
-    return clicks(spark, root).withColumns(
+    return events.withColumns(
         {
             "user_id": u,
             "country": F.get(codes, k % 6),
@@ -727,7 +727,7 @@ def _active(name: str, minutes: int) -> None:
         ),
     )
     def run(spark: SparkSession, root: str) -> DataFrame:
-        out = tracking.active_sessions(_roaming(spark, root), f"{minutes} minutes")
+        out = tracking.active_sessions(_roaming_of(clicks(spark, root)), f"{minutes} minutes")
         return out.select(
             "user_id",
             "session_id",

@@ -14,7 +14,7 @@ SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
-# For the streaming jobs: state beyond executor memory, changelog checkpoints.
+# For streaming jobs on a cluster: state beyond executor memory, changelog checkpoints.
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,7 +24,8 @@ STREAM_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
+    on_cluster = not spark.sparkContext.master.startswith("local")
+    for key, value in (SETTINGS | (STREAM_SETTINGS if on_cluster else {})).items():
         spark.conf.set(key, value)
     return spark
 

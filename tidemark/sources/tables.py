@@ -10,5 +10,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The same table read as a stream of files; the schema is the stored one."""
-    return spark.readStream.schema(table(spark, root, name).schema).parquet(f"{root}/{name}.parquet")
+    """The same table read as a stream of files; the schema is the stored one. The path is a
+    pattern because a stream must not be given a single file by name."""
+    return spark.readStream.schema(table(spark, root, name).schema).parquet(f"{root}/{name}.parque[t]")

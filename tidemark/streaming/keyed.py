@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.agents import active_device_type
 from tidemark.functions.events import get_property, is_page_view
+from tidemark.operators.rollup import keep
 from tidemark.operators.sessions import GAP, gap_micros
 
 ACTIVE_OUTPUT = (
@@ -26,9 +27,12 @@ ACTIVE_STATE = "session_id string, last_us long, event_count long, countries arr
 
 JOURNEY_OUTPUT = (
     "user_id long, session_id string, event_id string, url string, ts timestamp, page_count int, "
-    "urls array<string>, started_at timestamp, last_updated timestamp"
+    "urls array<string>, page_us array<long>, countries array<string>, started_at timestamp, "
+    "last_updated timestamp"
+)
+JOURNEY_STATE = (
+    "urls array<string>, page_us array<long>, countries array<string>, started_us long, last_us long"
 )
-JOURNEY_STATE = "urls array<string>, started_us long, last_us long"
 
 
 def _us(ts: pd.Series) -> pd.Series:
@@ -76,7 +80,7 @@ def active_sessions_stream(events: DataFrame, delay: str = "10 seconds", timeout
 
     agent = get_property(F.col("properties"), "user_agent")
     return (
-        events.where(F.col("user_id").isNotNull())
+        keep(events.withWatermark("ts", delay), F.col("user_id").isNotNull())
         .select(
             "user_id",
             "ts",
@@ -85,7 +89,6 @@ def active_sessions_stream(events: DataFrame, delay: str = "10 seconds", timeout
             F.when(F.col("country") != "", F.col("country")).alias("country"),
             active_device_type(agent).alias("device_type"),
         )
-        .withWatermark("ts", delay)
         .groupBy("user_id")
         .applyInPandasWithState(
             update, ACTIVE_OUTPUT, ACTIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout
@@ -107,9 +110,9 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def journeys_stream(
-    events: DataFrame, delay: str = "10 seconds", keep: int = 50, idle: str = "1 day"
+    events: DataFrame, delay: str = "10 seconds", newest: int = 50, idle: str = "1 day"
 ) -> DataFrame:
-    """A row for every page view with the newest `keep` pages of its journey so far. A journey
+    """A row for every page view with the newest pages of its journey so far. A journey
     nobody has added to for `idle` is forgotten."""
     limit = gap_micros(idle)
 
@@ -118,25 +121,32 @@ def journeys_stream(
             state.remove()
             return
         user, session_id = key
-        urls, started, last = (list(state.get[0]), *state.get[1:]) if state.exists else ([], None, None)
+        pages: list[tuple] = []
+        started = last = None
+        if state.exists:
+            urls, times, countries, started, last = state.get
+            pages = list(zip(urls, times, countries))
         rows = pd.concat(list(batches)).assign(us=lambda d: _us(d.ts)).sort_values(["us", "event_id"])
         out = []
         for r in rows.itertuples(index=False):
-            urls = (urls + [r.url])[-keep:]
+            pages = [*pages, (r.url, r.us, r.country)][-newest:]
             started = r.us if started is None else started
             last = r.us if last is None else max(last, r.us)
+            columns = [list(c) for c in zip(*pages)]
             out.append(
-                (user, session_id, r.event_id, r.url, r.ts, len(urls), urls, _time(started), _time(last))
+                (user, session_id, r.event_id, r.url, r.ts, len(pages), *columns, _time(started), _time(last))
             )
-        state.update((urls, started, last))
+        state.update((*[list(c) for c in zip(*pages)], started, last))
         due = (last + limit) // 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield _frame(out, JOURNEY_OUTPUT)
 
     return (
-        events.where(F.col("user_id").isNotNull() & is_page_view(F.col("event_type")) & (F.col("url") != ""))
-        .select("user_id", "session_id", "ts", "event_id", "url")
-        .withWatermark("ts", delay)
+        keep(
+            events.withWatermark("ts", delay),
+            F.col("user_id").isNotNull() & is_page_view(F.col("event_type")) & (F.col("url") != ""),
+        )
+        .select("user_id", "session_id", "ts", "event_id", "url", "country")
         .groupBy("user_id", "session_id")
         .applyInPandasWithState(
             update, JOURNEY_OUTPUT, JOURNEY_STATE, "append", GroupStateTimeout.EventTimeTimeout

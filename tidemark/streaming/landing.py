@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,10 +131,18 @@ def _not_yet_landed(offsets: dict[int, int]) -> Column:
     return F.col("offset_id") >= F.coalesce(F.try_element_at(known, F.col("partition_id")), F.lit(0))
 
 
-def land_batch(records: DataFrame, table: str, partitions: int, lateness_ms: int) -> Commit | None:
+def land_batch(
+    records: DataFrame,
+    table: str,
+    partitions: int,
+    lateness_ms: int,
+    gapless: bool = False,
+    publish: Callable[[SparkSession, str, str], bool] = ws.publish,
+) -> Commit | None:
     """Land one micro-batch of log records (partition_id, offset_id, value) as one commit.
 
-    Returns the new commit, or None when every record had been landed before.
+    Returns the new commit, or None when every record had been landed before. Offsets of a
+    partition must arrive in order; `gapless` (for logs without holes) checks that they do.
     """
     spark = records.sparkSession
     state = last_commit(spark, table)
@@ -163,6 +172,7 @@ def land_batch(records: DataFrame, table: str, partitions: int, lateness_ms: int
     progress = (
         written.groupBy("partition_id")
         .agg(
+            F.min("offset_id").alias("first_offset"),
             (F.max("offset_id") + 1).alias("next_offset"),
             F.max(F.when(F.col("kind") == "rows", F.unix_millis("event_time"))).alias("max_ms"),
             F.count_if(F.col("kind") == "rows").alias("n"),
@@ -174,6 +184,8 @@ def land_batch(records: DataFrame, table: str, partitions: int, lateness_ms: int
 
     offsets, newest = dict(state.offsets), dict(state.max_event_time_ms)
     for row in progress:
+        if gapless and row.first_offset != offsets.get(row.partition_id, 0):
+            raise ValueError(f"partition {row.partition_id}: log jumps to offset {row.first_offset}")
         offsets[row.partition_id] = max(offsets.get(row.partition_id, 0), row.next_offset)
         if row.max_ms is not None:
             newest[row.partition_id] = max(newest.get(row.partition_id, row.max_ms), row.max_ms)
@@ -186,7 +198,7 @@ def land_batch(records: DataFrame, table: str, partitions: int, lateness_ms: int
         max_event_time_ms=newest,
     )
     ws.write_json(spark, f"{staged}/{MANIFEST}", vars(commit))
-    if not ws.publish(spark, staged, f"{table}/seq={seq}"):
+    if not publish(spark, staged, f"{table}/seq={seq}"):
         raise RuntimeError(f"commit {seq} of {table} exists: another landing job is running")
     return commit
 
@@ -198,12 +210,13 @@ def start_landing(
     partitions: int,
     lateness_ms: int = 1000,
     every: str | None = None,
+    gapless: bool = False,
 ) -> StreamingQuery:
     """Land a stream of log records. Without `every` (e.g. "2 seconds") the job reads what is
     there, in batches of the source's size limit, and ends."""
     create_table(log.sparkSession, table)
     writer = log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda records, _: land_batch(records, table, partitions, lateness_ms)
+        lambda records, _: land_batch(records, table, partitions, lateness_ms, gapless)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
