@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ingest import batch_reject_reasons, enrich, reject_reasons
 from tidemark.schemas import INGEST_BATCH
+from tidemark.sources.wire import parse_once
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -30,13 +31,13 @@ def single_events(requests: DataFrame, received_at: Column, id_columns: list[str
 def parse_batches(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON batch requests -> batch_id, events, batch_reject_reasons. A missing batch id is made
     from the content of the request."""
-    parsed = lines.withColumn("b", F.from_json(value, INGEST_BATCH))
+    parsed = parse_once(lines.drop("batch_id", "events"), value, INGEST_BATCH, {})
     made = F.concat(F.lit("batch_"), F.substring(F.sha2(F.col(value), 256), 1, 32))
     return parsed.select(
-        *[c for c in lines.columns if c != value],
-        F.coalesce("b.batch_id", made).alias("batch_id"),
-        F.col("b.events").alias("events"),
-        batch_reject_reasons(F.col("b.events")).alias("batch_reject_reasons"),
+        *[c for c in parsed.columns if c not in (value, "batch_id", "events")],
+        F.coalesce("batch_id", made).alias("batch_id"),
+        "events",
+        batch_reject_reasons(F.col("events")).alias("batch_reject_reasons"),
     )
 
 

@@ -77,36 +77,45 @@ def in_time_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFra
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
+def parse_once(lines: DataFrame, value: str, schema: T.StructType, options: dict[str, str]) -> DataFrame:
+    """All columns plus the fields of the JSON text.
+
+    The parsed struct is unfolded with `inline`, not selected: a later filter on a field then
+    stays above the parser instead of being rewritten into further calls of it.
+    """
+    return lines.select("*", F.inline(F.array(F.from_json(F.col(value), schema, options))))
+
+
 def decode_orders(lines: DataFrame, value: str = "value") -> DataFrame:
     """All input rows with the typed event and `reject_reason` (NULL where the row is good).
 
     A broken line does not stop anything: it keeps its text and gets a reason.
     """
+    names = ORDER_WIRE.names
     schema = T.StructType([*ORDER_WIRE.fields, T.StructField("_broken", T.StringType())])
-    parsed = lines.withColumn(
-        "w",
-        F.from_json(F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}),
-    )
-    amount = F.col("w.amount").try_cast(MONEY)
-    exact = F.col("w.amount").try_cast("decimal(38,18)") == amount
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    kept = lines.drop(*names)
+    parsed = parse_once(kept, value, schema, options)
+    amount = F.col("amount").try_cast(MONEY)
+    exact = F.col("amount").try_cast("decimal(38,18)") == amount
     absent = F.lit(False)
-    for name in ("event_id", "order_id", "event_type", "amount", "user_id", "event_time_ms"):
-        absent = absent | F.col(f"w.{name}").isNull()
+    for name in names:
+        absent = absent | F.col(name).isNull()
     reason = (
-        F.when(F.col("w").isNull() | F.col("w._broken").isNotNull(), "malformed_json")
+        F.when(F.col("_broken").isNotNull() | (F.trim(F.coalesce(value, F.lit(""))) == ""), "malformed_json")
         .when(absent, "missing_field")
-        .when(~F.col("w.event_type").isin(*ORDER_EVENT_TYPES), "unknown_event_type")
+        .when(~F.col("event_type").isin(*ORDER_EVENT_TYPES), "unknown_event_type")
         .when(amount.isNull() | ~F.coalesce(exact, F.lit(False)), "bad_amount")
     )
     return parsed.select(
-        *lines.columns,
+        *kept.columns,
         reason.alias("reject_reason"),
-        F.col("w.event_id").alias("event_id"),
-        F.col("w.order_id").alias("order_id"),
-        F.col("w.event_type").alias("event_type"),
+        "event_id",
+        "order_id",
+        "event_type",
         amount.alias("amount"),
-        F.col("w.user_id").alias("user_id"),
-        F.col("w.event_time_ms").alias("event_time_ms"),
+        "user_id",
+        "event_time_ms",
     )
 
 
@@ -122,9 +131,7 @@ def quarantine(decoded: DataFrame) -> DataFrame:
 
 def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Click-stream JSON -> EVENT_WIRE columns; use functions.events.with_defaults next."""
-    return lines.withColumn("w", F.from_json(F.col(value), EVENT_WIRE)).select(
-        *[c for c in lines.columns if c != value], "w.*"
-    )
+    return parse_once(lines, value, EVENT_WIRE, {}).drop(value)
 
 
 def read_order_lines(spark: SparkSession, path: str) -> DataFrame:
