@@ -142,15 +142,20 @@ def test_landing_and_fresh_tier_agree_with_the_source(spark, data):
 
 def test_lost_stream_checkpoint_neither_doubles_nor_loses(spark, data, folder):
     log, table = f"{folder}/log", f"{folder}/lake"
-    streams.write_log(spark, data, log)
-    for attempt in range(2):  # the second run starts without any checkpoint
-        landing.start_landing(
-            log_file_stream(spark, log, 2), table, f"{folder}/cp{attempt}", 4, W
-        ).awaitTermination()
-    first = landing.last_commit(spark, table)
+    first, *rest = streams.stage_log(spark, data, f"{folder}/staged")
+    ws.publish(spark, first, f"{log}/0")
+    landing.start_landing(log_file_stream(spark, log), table, f"{folder}/cp", 4, W).awaitTermination()
+    before = landing.last_commit(spark, table)
+    for i, segment in enumerate(rest, 1):
+        ws.publish(spark, segment, f"{log}/{i}")
+    # The next run has no checkpoint and reads the log from its beginning.
+    landing.start_landing(
+        log_file_stream(spark, log), table, f"{folder}/cp-new", 4, W
+    ).awaitTermination()
+    after = landing.last_commit(spark, table)
     rows = landing.read_table(spark, table)
     assert rows.count() == rows.select("partition_id", "offset_id").distinct().count() == orders(spark, data).count()
-    assert first.watermark_ms > 0
+    assert after.watermark_ms > before.watermark_ms > 0
 
 
 def test_crashes_on_both_sides_of_the_commit(spark, data):

@@ -26,6 +26,7 @@ from tidemark.operators.rollup import (
     split_window,
     tally,
 )
+from tidemark.sources.offsets import bucket
 
 HOUR = "1 hour"
 DAY = "1 day"
@@ -277,7 +278,7 @@ def geo_windows(
     """
     place = ["country", "city"]
     per_user = Window.partitionBy(*place, "user_id").orderBy("_p")
-    numbered = panes.withColumn("_p", F.floor(F.unix_seconds("pane") / slide_seconds))
+    numbered = panes.withColumn("_p", bucket(F.unix_seconds("pane"), slide_seconds))
     known_until = F.lag("_p").over(per_user)
     # Pane p lies in the windows starting at p-slides+1 .. p; the previous pane q reached up to q.
     spread = numbered.withColumn("_known", known_until).withColumn(

@@ -48,10 +48,13 @@ def with_rate_change(metrics: DataFrame, previous: DataFrame | None = None) -> D
     before, so no task sees more than a day of windows. On a stream `previous` holds the last
     stored row (window_start, event_count).
     """
-    day = F.date_trunc("day", "window_start")
     inside = Window.partitionBy("_day").orderBy("window_start")
-    dated = metrics.withColumn("_day", day)
-    last_of_day = dated.groupBy("_day").agg(F.max_by("event_count", "window_start").alias("_last"))
+    day = F.date_trunc("day", "window_start")
+    dated = metrics.withColumn("_day", day).where(F.col("_day").isNotNull())
+    # The whole row goes into max_by, so that both uses of `dated` keep the same columns and the
+    # windows are computed once (the second use reads the first one's shuffle).
+    newest = F.max_by(F.struct(*metrics.columns), "window_start").getField("event_count")
+    last_of_day = dated.groupBy("_day").agg(newest.alias("_last"))
     if previous is not None:
         seed = previous.select(
             F.lit("0001-01-01").cast("timestamp").alias("_day"), F.col("event_count").alias("_last")

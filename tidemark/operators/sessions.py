@@ -25,6 +25,7 @@ from tidemark.functions.events import (
 )
 from tidemark.operators.analytics import event_order
 from tidemark.operators.rollup import keep
+from tidemark.sources.offsets import bucket
 
 GAP = "30 minutes"
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -111,7 +112,7 @@ def _derived(df: DataFrame) -> DataFrame:
 
 
 def _slot(gap: str) -> Column:
-    return F.floor(F.unix_micros("ts") / gap_micros(gap))
+    return bucket(F.unix_micros("ts"), gap_micros(gap))
 
 
 def session_slots(events: DataFrame, gap: str = GAP) -> DataFrame:
@@ -197,7 +198,7 @@ def page_sequences(pages: DataFrame, chunk: int = 10_000, keys: tuple[str, ...]
     A session of up to `chunk` pages is one row (chunk_no 0) holding its whole list; a longer
     one continues in further rows, so no row grows with the data.
     """
-    numbered = pages.withColumn("chunk_no", F.floor(F.col("position") / chunk))
+    numbered = pages.withColumn("chunk_no", bucket(F.col("position"), chunk))
     return (
         numbered.groupBy(*keys, "chunk_no")
         .agg(F.array_sort(F.collect_list(F.struct("position", "page"))).alias("_p"))

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.agents import active_device_type
 from tidemark.functions.events import get_property, is_page_view
 from tidemark.operators.sessions import GAP, gap_micros
-from tidemark.sources.offsets import with_position
+from tidemark.sources.offsets import bucket, with_position
 
 
 def _bucket(width_seconds: int) -> Column:
-    return F.floor(F.unix_micros("ts") / (width_seconds * 1_000_000))
+    return bucket(F.unix_micros("ts"), width_seconds * 1_000_000)
 
 
 def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 3600) -> DataFrame:
@@ -128,7 +128,7 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
 def session_timeouts(events: DataFrame, timeout: str = GAP) -> DataFrame:
     """One timeout record per stretch of activity: the session it ended with and when, one
     timeout after its last event, the user counted as gone."""
-    slot = F.floor(F.unix_micros("ts") / gap_micros(timeout))
+    slot = bucket(F.unix_micros("ts"), gap_micros(timeout))
     per_user = Window.partitionBy("user_id").orderBy("slot")
     order = F.struct("ts", "event_id")
     return (

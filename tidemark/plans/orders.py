@@ -11,7 +11,7 @@ from tidemark.operators import quality, seam, watermark
 from tidemark.plans.registry import orders, orders_sql, query
 from tidemark.schemas import MONEY_SUM
 from tidemark.sources.derive import LATENESS_MS, PARTITIONS, wire_lines
-from tidemark.sources.offsets import assign_partition, with_log_offsets, with_position
+from tidemark.sources.offsets import assign_partition, bucket, with_log_offsets, with_position
 from tidemark.sources.wire import (
     accepted,
     decode_orders,
@@ -315,7 +315,7 @@ def snk6(spark: SparkSession, root: str) -> DataFrame:
         assign_partition(orders(spark, root).drop("partition_id"), "order_id", PARTITIONS),
         ["partition_id"],
         [F.col("emission")],
-        F.floor(F.col("emission") / (1 << 20)),
+        bucket(F.col("emission"), 1 << 20),
         "offset_id",
     )
     per_order = published.groupBy("order_id").agg(

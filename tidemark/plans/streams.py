@@ -35,31 +35,34 @@ from tidemark.streaming import fresh, keyed, landing, rollups, sinks
 SEGMENTS = 3
 
 
-def write_log(spark: SparkSession, root: str, path: str) -> None:
-    """The order log as files: segment after segment, a log partition never split inside one,
-    so that file age and offset order agree as they do in a broker's log."""
-    log = with_log_offsets(wire_lines(orders(spark, root))).drop("key")
+def stage_log(spark: SparkSession, root: str, path: str) -> list[str]:
+    """The order log as files, cut into segments that arrive one after the other.
+
+    Inside a segment files have no order; a segment is landed as one micro-batch, so the
+    offsets of a log partition still arrive in order.
+    """
     end = orders(spark, root).agg(F.max("emission")).head()[0] + 1
-    for i in range(SEGMENTS):
-        lower, upper = end * i // SEGMENTS, end * (i + 1) // SEGMENTS
-        segment = log.where((F.col("emission") >= lower) & (F.col("emission") < upper)).drop("emission")
-        (
-            segment.repartition(PARTITIONS, "partition_id")
-            .sortWithinPartitions("partition_id", "offset_id")
-            .write.mode("append")
-            .parquet(path)
-        )
+    log = with_log_offsets(wire_lines(orders(spark, root))).drop("key")
+    segment = F.floor(F.col("emission") * SEGMENTS / F.lit(end)).cast("int")
+    (
+        log.withColumn("segment", segment)
+        .drop("emission")
+        .write.partitionBy("segment")
+        .parquet(path)
+    )
+    return [f"{path}/segment={i}" for i in range(SEGMENTS)]
 
 
 def land(spark: SparkSession, root: str) -> tuple[str, str]:
-    """Write the log, land it, read it a second time into the fresh tier."""
+    """Let the log arrive segment by segment, land each, read all into the fresh tier."""
     base = ws.fresh_folder(spark, "landing")
     log, lake, fresh_table = f"{base}/log", f"{base}/lake", f"{base}/fresh"
-    write_log(spark, root, log)
-    landing.start_landing(
-        log_file_stream(spark, log, PARTITIONS), lake, f"{base}/cp-lake", PARTITIONS, LATENESS_MS, gapless=True
-    ).awaitTermination()
-    fresh.start_fresh(log_file_stream(spark, log, 2), fresh_table, f"{base}/cp-fresh").awaitTermination()
+    for i, segment in enumerate(stage_log(spark, root, f"{base}/staged")):
+        ws.publish(spark, segment, f"{log}/{i}")
+        landing.start_landing(
+            log_file_stream(spark, log), lake, f"{base}/cp-lake", PARTITIONS, LATENESS_MS, gapless=True
+        ).awaitTermination()
+    fresh.start_fresh(log_file_stream(spark, log), fresh_table, f"{base}/cp-fresh").awaitTermination()
     return lake, fresh_table
 
 
@@ -166,7 +169,6 @@ def land_with_crashes(spark: SparkSession, root: str) -> tuple[str, str, str]:
     base = ws.fresh_folder(spark, "crash")
     log, lake = f"{base}/log", f"{base}/lake"
     first, second = f"{base}/naive-first", f"{base}/naive-second"
-    write_log(spark, root, log)
     crashes = ["before", "after", "before"]
 
     def publish(s: SparkSession, staged: str, target: str) -> bool:
@@ -189,8 +191,11 @@ def land_with_crashes(spark: SparkSession, root: str) -> tuple[str, str, str]:
         if naive_crashes and naive_crashes.pop():
             raise Killed("between the two writes")
 
-    _until_done(log_file_stream(spark, log, 2), f"{base}/cp", handle)
-    _until_done(log_file_stream(spark, log, 2), f"{base}/cp-naive", sinks.dual_write(first, second, fail_between))
+    naive = sinks.dual_write(first, second, fail_between)
+    for i, segment in enumerate(stage_log(spark, root, f"{base}/staged")):
+        ws.publish(spark, segment, f"{log}/{i}")
+        _until_done(log_file_stream(spark, log), f"{base}/cp", handle)
+        _until_done(log_file_stream(spark, log), f"{base}/cp-naive", naive)
     return lake, first, second
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket(number: Column, width: int) -> Column:
+    """floor(number / width) in whole numbers, also below zero."""
+    return F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width))
+
+
 def with_position(
     df: DataFrame, group: list[str], order: list[Column], cut: Column, name: str = "position"
 ) -> DataFrame:
@@ -43,7 +48,7 @@ def with_position(
 def with_log_offsets(events: DataFrame, range_width: int = 1 << 20) -> DataFrame:
     """Give every event the offset its log partition would have given it."""
     return with_position(
-        events, ["partition_id"], [F.col("emission")], F.floor(F.col("emission") / range_width), "offset_id"
+        events, ["partition_id"], [F.col("emission")], bucket(F.col("emission"), range_width), "offset_id"
     )
 
 

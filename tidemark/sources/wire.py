@@ -65,8 +65,8 @@ def _log_columns(raw: DataFrame) -> DataFrame:
 
 
 def log_file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A log kept as Parquet files of (partition_id, offset_id, value), oldest file first."""
-    reader = spark.readStream.schema(LOG_RECORD)
+    """A log kept as Parquet files of (partition_id, offset_id, value) below `path`, oldest first."""
+    reader = spark.readStream.schema(LOG_RECORD).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
