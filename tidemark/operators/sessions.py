@@ -23,7 +23,6 @@ from tidemark.functions.events import (
     synthetic_session_id,
     whole_seconds_between,
 )
-from tidemark.operators.analytics import event_order
 from tidemark.operators.rollup import keep
 from tidemark.sources.offsets import bucket
 
@@ -52,61 +51,56 @@ def _user_events(events: DataFrame) -> DataFrame:
 
 
 def _facts() -> list[Column]:
-    """Everything about a stretch of events that merges: additive counts and ordered edges."""
-    order = event_order()
-    paged = F.when(F.col("page").isNotNull(), order)
-    agented = F.when(F.col("user_agent").isNotNull(), order)
+    """Everything about a stretch of events that merges. Each edge is one struct led by
+    (ts, event_id), so the smallest or largest of two of them is the edge of both."""
+    place = [F.col("ts"), F.col("event_id")]
+    page = F.when(F.col("page").isNotNull(), F.struct(*place, "page"))
+    agent = F.when(F.col("user_agent").isNotNull(), F.struct(*place, "user_agent"))
     return [
-        F.min("ts").alias("start_time"),
+        F.min(F.struct(*place, "session_id")).alias("first"),
         F.max("ts").alias("end_time"),
         F.count(F.lit(1)).alias("event_count"),
         F.count_if(is_page_view(F.col("event_type"))).alias("page_view_count"),
-        F.count("page").alias("page_count"),
         F.collect_set("country").alias("countries"),
-        F.min(order).alias("first_order"),
-        F.min_by(F.struct("session_id"), order).alias("first_session"),
-        F.min(paged).alias("first_page_order"),
-        F.min_by("page", paged).alias("landing_page"),
-        F.max(paged).alias("last_page_order"),
-        F.max_by("page", paged).alias("exit_page"),
-        F.min(agented).alias("agent_order"),
-        F.min_by("user_agent", agented).alias("user_agent"),
+        F.min(page).alias("landing"),
+        F.max(page).alias("exit"),
+        F.min(agent).alias("agent"),
     ]
 
 
 def _merged_facts() -> list[Column]:
     return [
-        F.min("start_time").alias("start_time"),
+        F.min("first").alias("first"),
         F.max("end_time").alias("end_time"),
         F.sum("event_count").alias("event_count"),
         F.sum("page_view_count").alias("page_view_count"),
         F.array_distinct(F.flatten(F.collect_list("countries"))).alias("countries"),
-        F.min_by("first_session", "first_order").alias("first_session"),
-        F.min_by("landing_page", "first_page_order").alias("landing_page"),
-        F.max_by("exit_page", "last_page_order").alias("exit_page"),
-        F.min_by("user_agent", "agent_order").alias("user_agent"),
+        F.min("landing").alias("landing"),
+        F.max("exit").alias("exit"),
+        F.min("agent").alias("agent"),
     ]
 
 
 def _derived(df: DataFrame) -> DataFrame:
     """Raw facts of a finished session -> the session record."""
-    start, end = F.col("start_time"), F.col("end_time")
+    start, end = F.col("first.ts"), F.col("end_time")
+    agent = F.col("agent.user_agent")
     optional = [c for c in ("session", "unique_urls_count") if c in df.columns]
     return df.select(
         *optional,
-        synthetic_session_id(F.col("first_session.session_id"), F.col("user_id"), start).alias("session_id"),
+        synthetic_session_id(F.col("first.session_id"), F.col("user_id"), start).alias("session_id"),
         "user_id",
-        start,
+        start.alias("start_time"),
         end,
         whole_seconds_between(start, end).alias("duration_seconds"),
         "event_count",
         "page_view_count",
         F.sort_array("countries").alias("countries"),
-        "landing_page",
-        "exit_page",
+        F.col("landing.page").alias("landing_page"),
+        F.col("exit.page").alias("exit_page"),
         (F.col("page_view_count") <= 1).alias("is_bounce"),
-        device_type(F.col("user_agent")).alias("device_type"),
-        browser(F.col("user_agent")).alias("browser"),
+        device_type(agent).alias("device_type"),
+        browser(agent).alias("browser"),
         day_text(start).alias("date_partition"),
     )
 
@@ -115,14 +109,14 @@ def _slot(gap: str) -> Column:
     return bucket(F.unix_micros("ts"), gap_micros(gap))
 
 
-def session_slots(events: DataFrame, gap: str = GAP) -> DataFrame:
+def session_slots(events: DataFrame, gap: str = GAP, *more: Column) -> DataFrame:
     """One row per user and slot with the slot's facts and its session's number.
 
     A session that is exactly one gap silent goes on; anything longer starts a new one.
     """
-    slots = _user_events(events).withColumn("slot", _slot(gap)).groupBy("user_id", "slot").agg(*_facts())
+    slots = _user_events(events).withColumn("slot", _slot(gap)).groupBy("user_id", "slot").agg(*_facts(), *more)
     in_order = Window.partitionBy("user_id").orderBy("slot")
-    silence = F.unix_micros("start_time") - F.unix_micros(F.lag("end_time").over(in_order))
+    silence = F.unix_micros("first.ts") - F.unix_micros(F.lag("end_time").over(in_order))
     broken = F.when(silence > gap_micros(gap), 1).otherwise(0)
     return slots.withColumn("_broken", broken).withColumn("session_no", F.sum("_broken").over(in_order)).drop(
         "_broken"
@@ -169,7 +163,7 @@ def session_pages(events: DataFrame, gap: str = GAP) -> DataFrame:
     Positions are counted inside a slot and shifted by the session's earlier slots, so a
     session of any length is spread over its slots.
     """
-    slots = session_slots(events, gap)
+    slots = session_slots(events, gap, F.count("page").alias("page_count"))
     before = (
         Window.partitionBy("user_id", "session_no").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     )

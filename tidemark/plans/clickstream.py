@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import agents, events as ev
 from tidemark.operators import adhoc, analytics, metrics, sessions, tracking
-from tidemark.plans.registry import clicks, clicks_sql, micros, pairs, query, text
+from tidemark.plans.registry import clicks, clicks_sql, micros, pairs, query, text, visits
 from tidemark.sources.derive import COUNTRY_CODES
 from tidemark.sources.wire import decode_events
 
@@ -288,21 +288,21 @@ def _run_errors(df: DataFrame, size: str) -> DataFrame:
 
 
 _METRICS = {
-    "agg12_win4_global_metrics": (_global_sql, _run_global, ("1s", "1h")),
-    "agg13_event_type_metrics": (_type_sql, lambda d, s: metrics.event_type_metrics(s)(d), ("1s", "1h")),
-    "agg14_country_metrics": (_country_sql, _run_country, ("1s", "1h")),
-    "agg15_active_users": (_active_sql, lambda d, s: metrics.active_users(s)(d), ("1m", "1h")),
-    "agg16_top1_page_views": (_views_sql, _run_views, ("1s", "1h")),
-    "agg17_error_metrics": (_error_sql, _run_errors, ("1s", "1h")),
+    "agg12_win4_global_metrics": (_global_sql, _run_global, ("1s", "1h"), visits),
+    "agg13_event_type_metrics": (_type_sql, lambda d, s: metrics.event_type_metrics(s)(d), ("1s", "1h"), visits),
+    "agg14_country_metrics": (_country_sql, _run_country, ("1s", "1h"), visits),
+    "agg15_active_users": (_active_sql, lambda d, s: metrics.active_users(s)(d), ("1m", "1h"), visits),
+    "agg16_top1_page_views": (_views_sql, _run_views, ("1s", "1h"), clicks),
+    "agg17_error_metrics": (_error_sql, _run_errors, ("1s", "1h"), clicks),
 }
 
 
 def _register_metrics() -> None:
-    for name, (sql, run, sizes) in _METRICS.items():
+    for name, (sql, run, sizes, read) in _METRICS.items():
         for size in sizes:
             spark_size, unit = _UNIT[size]
             query(f"{name}_{size}", sql(unit))(
-                lambda spark, root, run=run, s=spark_size: _texted(run(clicks(spark, root), s))
+                lambda spark, root, run=run, read=read, s=spark_size: _texted(run(read(spark, root), s))
             )
 
 
@@ -321,7 +321,7 @@ _register_metrics()
     ),
 )
 def agg18(spark: SparkSession, root: str) -> DataFrame:
-    out = analytics.hourly_stats()(clicks(spark, root))
+    out = analytics.hourly_stats()(visits(spark, root))
     return out.withColumn("window_end", text("window_end")).drop("window_start")
 
 
@@ -372,7 +372,7 @@ def agg20(spark: SparkSession, root: str) -> DataFrame:
     ),
 )
 def agg21(spark: SparkSession, root: str) -> DataFrame:
-    return analytics.daily_cohorts()(clicks(spark, root)).drop("window_start", "window_end")
+    return analytics.daily_cohorts()(visits(spark, root)).drop("window_start", "window_end")
 
 
 @query(
@@ -442,7 +442,7 @@ def agg23(spark: SparkSession, root: str) -> DataFrame:
     ),
 )
 def agg24(spark: SparkSession, root: str) -> DataFrame:
-    out = analytics.minute_counters()(clicks(spark, root))
+    out = analytics.minute_counters()(visits(spark, root))
     return out.withColumn("window_start", text("window_start")).drop("window_end")
 
 
@@ -454,7 +454,7 @@ def agg24(spark: SparkSession, root: str) -> DataFrame:
     ),
 )
 def agg24_user(spark: SparkSession, root: str) -> DataFrame:
-    out = analytics.minute_counters(per_user=True)(clicks(spark, root))
+    out = analytics.minute_counters(per_user=True)(visits(spark, root))
     return out.withColumn("window_start", text("window_start")).drop("window_end")
 
 
@@ -467,7 +467,7 @@ def agg24_user(spark: SparkSession, root: str) -> DataFrame:
 )
 def agg25(spark: SparkSession, root: str) -> DataFrame:
     as_of = F.lit("2024-01-10 12:34:56").cast("timestamp")
-    counters = analytics.minute_counters()(clicks(spark, root))
+    counters = analytics.minute_counters()(visits(spark, root))
     return analytics.realtime_metrics(counters, as_of).withColumn("timestamp", text("timestamp"))
 
 
@@ -487,7 +487,7 @@ def _geo(name: str, min_count: int) -> None:
         ),
     )
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return _texted(analytics.geo_analysis(clicks(spark, root), min_count))
+        return _texted(analytics.geo_analysis(visits(spark, root), min_count))
 
 
 _geo("agg26_geo_analysis", 100)

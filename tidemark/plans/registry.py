@@ -44,6 +44,11 @@ def clicks(spark: SparkSession, root: str) -> DataFrame:
     return clickstream(table(spark, root, "events"))
 
 
+def visits(spark: SparkSession, root: str) -> DataFrame:
+    """The click stream without the page columns."""
+    return clickstream(table(spark, root, "events"), pages=False)
+
+
 def clicks_stream(spark: SparkSession, root: str) -> DataFrame:
     return clickstream(table_stream(spark, root, "events"))
 

@@ -82,28 +82,45 @@ def wire_lines(events: DataFrame) -> DataFrame:
     return odd.select("partition_id", "emission", F.col("order_id").alias("key"), value.alias("value"))
 
 
-def clickstream(events: DataFrame) -> DataFrame:
-    """Typed click-stream events; every sixth user has no country."""
-    k = F.get_json_object("props", "$.k").cast("int")
+def clickstream(events: DataFrame, pages: bool = True) -> DataFrame:
+    """Typed click-stream events; every sixth user has no country.
+
+    The page columns (event_name, properties, url) come out of the JSON column. It is parsed
+    once per row, by a generator, so that filters on url do not call the parser again;
+    `pages=False` leaves these columns out and with them the JSON column out of the scan.
+    """
     u = F.col("user_id")
     event_type = F.col("event_type")
     for raw, name in EVENT_TYPE_NAMES.items():
         event_type = F.when(F.col("event_type") == raw, name).otherwise(event_type)
     country = F.get(F.array(*[F.lit(c) for c in COUNTRY_CODES]), (u % 6).cast("int"))
-    agent = F.get(F.array(*[F.lit(a) for a in USER_AGENTS]), k % 6)
     ts = F.col("ts").cast("timestamp")
     day = F.date_format(ts, "yyyy-MM-dd")
-    return events.select(
-        F.col("event_id").cast("string").alias("event_id"),
-        u.alias("user_id"),
-        F.concat_ws("-", u.cast("string"), day).alias("session_id"),
-        event_type.alias("event_type"),
-        F.when(k % 3 != 0, F.concat(F.lit("e"), (k % 5).cast("string"))).alias("event_name"),
-        F.to_json(F.struct(k.alias("k"), agent.alias("user_agent"))).alias("properties"),
-        F.concat(F.when(k % 2 == 0, "/product/").otherwise("/page/"), k.cast("string")).alias("url"),
-        country.alias("country"),
-        F.concat_ws("-", country, F.when(country.isNotNull(), (u % 5).cast("string"))).alias("city_text"),
-        ts.alias("ts"),
-        day.alias("date_partition"),
-        F.col("value").alias("value"),
-    ).withColumn("city", F.when(F.col("country").isNotNull(), F.col("city_text"))).drop("city_text")
+    columns = {
+        "event_id": F.col("event_id").cast("string"),
+        "user_id": u,
+        "session_id": F.concat_ws("-", u.cast("string"), day),
+        "event_type": event_type,
+        "country": country,
+        "city": F.when(country.isNotNull(), F.concat_ws("-", country, (u % 5).cast("string"))),
+        "ts": ts,
+        "date_partition": day,
+        "value": F.col("value"),
+    }
+    if not pages:
+        return events.select(*[c.alias(name) for name, c in columns.items()])
+    made = F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"))
+    parsed = events.select("event_id", "user_id", "event_type", "ts", "value", F.inline(F.array(made)))
+    k = F.col("k")
+    agent = F.get(F.array(*[F.lit(a) for a in USER_AGENTS]), k % 6)
+    columns |= {
+        "event_name": F.when(k % 3 != 0, F.concat(F.lit("e"), (k % 5).cast("string"))),
+        "properties": F.concat(
+            F.lit('{"k":'),
+            k.cast("string"),
+            F.coalesce(F.concat(F.lit(',"user_agent":"'), agent, F.lit('"')), F.lit("")),
+            F.lit("}"),
+        ),
+        "url": F.concat(F.when(k % 2 == 0, "/product/").otherwise("/page/"), k.cast("string")),
+    }
+    return parsed.select(*[c.alias(name) for name, c in columns.items()])
