@@ -14,7 +14,7 @@ from tidemark.plans import streams
 from tidemark.plans.orders import timed
 from tidemark.plans.registry import orders
 from tidemark.schemas import LOG_RECORD
-from tidemark.sources.wire import decode_orders, log_file_stream, quarantine
+from tidemark.sources.wire import decode_orders, log_file_stream, quarantine, starting_offsets
 from tidemark.streaming import fresh, landing, sinks
 
 W = 1000
@@ -180,3 +180,8 @@ def test_drop_and_recreate(spark, folder):
     landing.land_batch(records(spark, [(0, 0, line(0, 1_000))]), table, 1, W)
     landing.create_table(spark, table, drop_existing=True)
     assert landing.last_commit(spark, table).seq == 0
+
+
+def test_a_restart_names_every_partition(spark):
+    assert starting_offsets("orders", {}) == "earliest"
+    assert starting_offsets("orders", {0: 5, 2: 7}, 3) == '{"orders": {"0": 5, "1": -2, "2": 7}}'

@@ -193,3 +193,27 @@ def test_hot_table_without_key_has_one_row(spark, folder):
     sink(spark.createDataFrame([(T0, 1)], schema), 0)
     sink(spark.createDataFrame([], schema), 1)
     assert [r.n for r in sinks.hot_view(spark, f"{folder}/t", "global_metrics").collect()] == [1]
+
+
+def test_late_rows_are_counted(spark, folder):
+    path = f"{folder}/in"
+    for part in ([click(0, 36_000)], [click(1, 40_000)], [click(2, 0)], [click(3, 41_000)]):
+        clicks(spark, part).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(clicks(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    counts = s.withWatermark("ts", "5 seconds").groupBy(F.window("ts", "1 minute")).count()
+    q = rollups.start_append(counts, f"{folder}/out", f"{folder}/cp")
+    q.awaitTermination()
+    assert rollups.late_rows(q) == 1
+
+
+@pytest.mark.parametrize("name", list(sinks.HOT_TABLES))
+def test_every_hot_table_keeps_one_row_per_key(spark, folder, name):
+    keys, version = sinks.HOT_TABLES[name]
+    moments = [T0, T0 + dt.timedelta(hours=1), T0 + dt.timedelta(minutes=30)]
+    sink = sinks.hot_sink(f"{folder}/t", name)
+    for i, at in enumerate(moments):
+        rows = [(*[k] * len(keys), at, i) for k in ("a", "b")]
+        schema = ", ".join([*[f"{k} string" for k in keys], f"{version} timestamp", "n int"])
+        sink(spark.createDataFrame(rows, schema), i)
+    got = sinks.hot_view(spark, f"{folder}/t", name).collect()
+    assert len(got) == (2 if keys else 1) and {r.n for r in got} == {1}

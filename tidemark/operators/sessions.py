@@ -27,6 +27,7 @@ from tidemark.operators.rollup import keep
 from tidemark.sources.offsets import bucket
 
 GAP = "30 minutes"
+MINUTE_US = 60_000_000
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
@@ -109,12 +110,12 @@ def _slot(gap: str) -> Column:
     return bucket(F.unix_micros("ts"), gap_micros(gap))
 
 
-def session_slots(events: DataFrame, gap: str = GAP, *more: Column) -> DataFrame:
+def session_slots(events: DataFrame, gap: str = GAP) -> DataFrame:
     """One row per user and slot with the slot's facts and its session's number.
 
     A session that is exactly one gap silent goes on; anything longer starts a new one.
     """
-    slots = _user_events(events).withColumn("slot", _slot(gap)).groupBy("user_id", "slot").agg(*_facts(), *more)
+    slots = _user_events(events).withColumn("slot", _slot(gap)).groupBy("user_id", "slot").agg(*_facts())
     in_order = Window.partitionBy("user_id").orderBy("slot")
     silence = F.unix_micros("first.ts") - F.unix_micros(F.lag("end_time").over(in_order))
     broken = F.when(silence > gap_micros(gap), 1).otherwise(0)
@@ -160,26 +161,32 @@ def session_pages(events: DataFrame, gap: str = GAP) -> DataFrame:
     """The ordered page sequence of every session in long form: user_id, session_no, position,
     page, ts, event_id.
 
-    Positions are counted inside a slot and shifted by the session's earlier slots, so a
-    session of any length is spread over its slots.
+    Positions are counted inside a minute of a user and shifted by the session's earlier
+    minutes, so a session of any length is spread over its minutes.
     """
-    slots = session_slots(events, gap, F.count("page").alias("page_count"))
+    slot_us = gap_micros(gap)
+    part_us = MINUTE_US if slot_us % MINUTE_US == 0 else slot_us
+    pages = (
+        _user_events(events)
+        .where(F.col("page").isNotNull())
+        .select("user_id", "ts", "event_id", "page", bucket(F.unix_micros("ts"), part_us).alias("part"))
+    )
     before = (
-        Window.partitionBy("user_id", "session_no").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("user_id", "session_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = slots.select(
-        "user_id",
-        "slot",
-        "session_no",
-        F.coalesce(F.sum("page_count").over(before), F.lit(0)).alias("_start"),
+    starts = (
+        pages.groupBy("user_id", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("slot", bucket(F.col("part"), slot_us // part_us))
+        .join(session_slots(events, gap).select("user_id", "slot", "session_no"), ["user_id", "slot"])
+        .select(
+            "user_id", "part", "session_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
+        )
     )
-    local = Window.partitionBy("user_id", "slot").orderBy("ts", "event_id")
+    local = Window.partitionBy("user_id", "part").orderBy("ts", "event_id")
     return (
-        _user_events(events)
-        .where(F.col("page").isNotNull())
-        .select("user_id", "ts", "event_id", "page", _slot(gap).alias("slot"))
-        .withColumn("_local", F.row_number().over(local) - 1)
-        .join(starts, ["user_id", "slot"])
+        pages.withColumn("_local", F.row_number().over(local) - 1)
+        .join(starts, ["user_id", "part"])
         .select(
             "user_id", "session_no", (F.col("_start") + F.col("_local")).alias("position"), "page", "ts", "event_id"
         )

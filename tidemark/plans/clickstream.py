@@ -646,6 +646,29 @@ _daily("agg29_top6_set4_daily_sessions_30m", 30)
 _daily("agg29_top6_set4_daily_sessions_6h", 360)
 
 
+_Q = "CASE WHEN {0} IS NULL THEN 'null' ELSE concat('\"', {0}, '\"') END"
+
+
+@query(
+    "exp13_session_json",
+    clicks_sql(
+        f"""SELECT concat('{{"session_id":"', session_id, '","user_id":', user_id::VARCHAR, ',"start_time":"',
+        strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S.%f'), '","end_time":"',
+        strftime(make_timestamp(end_us), '%Y-%m-%dT%H:%M:%S.%f'), '","duration_seconds":', duration_seconds::VARCHAR,
+        ',"event_count":', event_count::VARCHAR, ',"page_view_count":', page_view_count::VARCHAR,
+        ',"unique_urls_count":', unique_urls_count::VARCHAR, ',"countries":[',
+        CASE WHEN countries = '' THEN '' ELSE concat('"', replace(countries, ',', '","'), '"') END,
+        '],"landing_page":', {_Q.format("landing_page")}, ',"exit_page":', {_Q.format("exit_page")},
+        ',"is_bounce":', is_bounce::VARCHAR, ',"device_type":', {_Q.format("device_type")},
+        ',"browser":', {_Q.format("browser")}, ',"date_partition":"', date_partition, '"}}') AS value FROM z""",
+        *_session_ctes(360),
+    ),
+)
+def exp13_session(spark: SparkSession, root: str) -> DataFrame:
+    finished = sessions.sessions(clicks(spark, root), "6 hours")
+    return finished.select(ev.session_json().alias("value"))
+
+
 @query(
     "exp27_session_extras",
     clicks_sql(

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import workspace as ws
-from tidemark.operators import analytics, metrics, quality, seam
+from tidemark.functions.events import event_json, with_defaults
+from tidemark.operators import analytics, metrics, quality, seam, tiers
 from tidemark.operators.rollup import Rollup
 from tidemark.plans import clickstream as cs
 from tidemark.plans.orders import GMV, MONEY_SQL, SEAM_SQL, _VERDICT
 from tidemark.plans.registry import (
     REGISTRY,
+    clicks,
     clicks_sql,
     clicks_stream,
     micros,
@@ -25,9 +27,10 @@ from tidemark.plans.registry import (
     query,
     text,
 )
+from tidemark.plans.storage import AS_OF, POLICY, WARM_FROM, _t
 from tidemark.sources.derive import LATENESS_MS, PARTITIONS, wire_lines
 from tidemark.sources.offsets import with_log_offsets
-from tidemark.sources.wire import log_file_stream
+from tidemark.sources.wire import decode_events, log_file_stream
 from tidemark.streaming import fresh, keyed, landing, rollups, sinks
 
 # ---------------------------------------------------------------- landing
@@ -416,6 +419,48 @@ def panes(spark: SparkSession, root: str) -> DataFrame:
     return run_append(spark, analytics.geo_panes(events), "panes").withColumn("pane", text("pane"))
 
 
+@query(
+    "src9_stream_decode",
+    clicks_sql(
+        """SELECT event_id, user_id, event_type, country, url, epoch_us(ts) AS ts_us, date_partition FROM clicks
+        WHERE k % 13 <> 0"""
+    ),
+)
+def stream_decode(spark: SparkSession, root: str) -> DataFrame:
+    """JSON lines of a topic, read as a stream; a cut-off line has no id and is left out."""
+    base = ws.fresh_folder(spark, "topic")
+    k = F.get_json_object("properties", "$.k").cast("int")
+    text_of = event_json()
+    lines = clicks(spark, root).select(
+        F.lit(0).alias("partition_id"),
+        F.col("event_id").cast("long").alias("offset_id"),
+        F.when(k % 13 == 0, F.substring(text_of, 1, 9)).otherwise(text_of).alias("value"),
+    )
+    lines.write.parquet(f"{base}/log")
+    decoded = decode_events(log_file_stream(spark, f"{base}/log")).where(F.col("event_id").isNotNull())
+    events = with_defaults(decoded, F.lit("2024-06-01").cast("timestamp"))
+    rollups.start_append(events, f"{base}/table", f"{base}/cp").awaitTermination()
+    return sinks.read_batches(spark, f"{base}/table").select(
+        "event_id", "user_id", "event_type", "country", "url", micros("ts").alias("ts_us"), "date_partition"
+    )
+
+
+@query(
+    "str8_partition_min_watermark",
+    clicks_sql(
+        """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events
+        FROM clicks WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT min(m) - INTERVAL 5 SECOND
+          FROM (SELECT max(ts) AS m FROM clicks GROUP BY user_id % 4)) GROUP BY ALL"""
+    ),
+)
+def partition_min(spark: SparkSession, root: str) -> DataFrame:
+    """Four log partitions as four streams: hours close when the slowest one has passed them."""
+    parts = [clicks_stream(spark, root).where(F.col("user_id") % 4 == p) for p in range(4)]
+    events = rollups.per_partition_watermark(parts, "5 seconds")
+    hours = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return run_append(spark, hours, "partition-min").select(text("w.start").alias("window_start"), "events")
+
+
 # ---------------------------------------------------------------- sessions and keyed state
 
 _SESSION_DROP = "unique_urls_count"
@@ -491,8 +536,6 @@ def stream_timeouts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def clicks_newest(spark: SparkSession, root: str):
-    from tidemark.plans.registry import clicks
-
     return clicks(spark, root).agg(F.max(F.unix_micros("ts")).alias("m")).scalar()
 
 
@@ -591,6 +634,28 @@ def fallback(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "snk15_retention_rewrite",
+    clicks_sql(
+        f"""SELECT date_partition, count(*) AS events, epoch_us(min(ts)) AS first_us FROM clicks
+        WHERE ts >= {_t(WARM_FROM)} GROUP BY date_partition"""
+    ),
+)
+def retention_rewrite(spark: SparkSession, root: str) -> DataFrame:
+    """The warm table by day, then its rewrite under the retention policy."""
+    base = ws.fresh_folder(spark, "retention")
+    sinks.rewrite_by_day(clicks(spark, root), f"{base}/warm")
+    warm = spark.read.parquet(f"{base}/warm").withColumn(
+        "date_partition", F.date_format("date_partition", "yyyy-MM-dd")
+    )
+    sinks.rewrite_by_day(tiers.expire(warm, POLICY, AS_OF), f"{base}/kept")
+    return (
+        spark.read.parquet(f"{base}/kept")
+        .groupBy(F.date_format("date_partition", "yyyy-MM-dd").alias("date_partition"))
+        .agg(F.count(F.lit(1)).alias("events"), F.min(micros("ts")).alias("first_us"))
+    )
+
+
 @query(
     "plan1_stream_deduplicate",
     clicks_sql("SELECT event_id, epoch_us(ts) AS ts_us FROM clicks"),

@@ -12,6 +12,15 @@ from tidemark.functions.orders import wire_json
 from tidemark.schemas import EVENT_WIRE, LOG_RECORD, MONEY, ORDER_EVENT_TYPES, ORDER_WIRE
 
 
+def starting_offsets(topic: str, next_offsets: dict[int, int] | None, partitions: int | None = None) -> str:
+    """Where to start: the committed next offset of every partition, -2 (the beginning) for
+    partitions nobody has committed."""
+    if not next_offsets:
+        return "earliest"
+    known = {p: -2 for p in range(partitions or 0)} | next_offsets
+    return json.dumps({topic: {str(p): o for p, o in sorted(known.items())}})
+
+
 def kafka_stream(
     spark: SparkSession,
     servers: str,
@@ -20,20 +29,16 @@ def kafka_stream(
     partitions: int | None = None,
     max_per_trigger: int | None = None,
 ) -> DataFrame:
-    """A topic from explicit offsets; partitions without one start at the beginning (-2).
+    """A topic from explicit offsets.
 
     Offsets come from the lake's last commit, never from a consumer group. The connector
     ships separately from Spark and must be on the class path.
     """
-    start = "earliest"
-    if next_offsets:
-        known = {p: -2 for p in range(partitions or 0)} | next_offsets
-        start = json.dumps({topic: {str(p): o for p, o in sorted(known.items())}})
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
-        .option("startingOffsets", start)
+        .option("startingOffsets", starting_offsets(topic, next_offsets, partitions))
         .option("failOnDataLoss", "true")
     )
     if max_per_trigger:

@@ -112,3 +112,12 @@ def per_partition_watermark(sources: list[DataFrame], delay: str) -> DataFrame:
     for s in marked[1:]:
         out = out.unionByName(s)
     return out
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark has turned away in the batches the query still remembers."""
+    return sum(
+        int(op["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for op in progress["stateOperators"]
+    )

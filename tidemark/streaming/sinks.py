@@ -86,6 +86,12 @@ def start(
     )
 
 
+def rewrite_by_day(rows: DataFrame, path: str) -> None:
+    """A copy of a table in day folders, under a new path. Small days share a task, a large day
+    is cut into several."""
+    rows.hint("rebalance", "date_partition").write.partitionBy("date_partition").parquet(path)
+
+
 def newest_per_key(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The newest row of every key; rows of a key combine map-side."""
     whole = F.struct(*rows.columns)
