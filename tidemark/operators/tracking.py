@@ -21,7 +21,7 @@ def _bucket(width_seconds: int) -> Column:
     return bucket(F.unix_micros("ts"), width_seconds * 1_000_000)
 
 
-def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 60) -> DataFrame:
+def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 300) -> DataFrame:
     """One row per event: the user's active session as it stood right after the event.
 
     A run goes on while the session id stays the same and the user is never silent for longer
@@ -31,7 +31,6 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
     order = F.struct("ts", "event_id")
     in_bucket = Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
     in_run = Window.partitionBy("user_id", "bucket", "run_in_bucket").orderBy("ts", "event_id")
-    in_country = Window.partitionBy("user_id", "bucket", "run_in_bucket", "country").orderBy("ts", "event_id")
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
     def goes_on(before: str, after: str) -> Column:
@@ -52,6 +51,7 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
             active_device_type(get_property(F.col("properties"), "user_agent")).alias("device_type"),
             _bucket(bucket_seconds).alias("bucket"),
         )
+        .where(F.col("bucket").isNotNull())
         .withColumn("before", F.lag("here").over(in_bucket))
         .withColumn(
             "run_in_bucket",
@@ -60,11 +60,15 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
             ),
         )
         .withColumn("run_row", F.row_number().over(in_run))
-        .withColumn("sight", F.row_number().over(in_country))
+        # Countries are few, so the set and the list of a run stay short however long it is.
+        .withColumn("seen", F.collect_set("country").over(in_run.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn(
             "run_countries",
-            F.collect_list(F.when(F.col("sight") == 1, F.col("country"))).over(in_run.rowsBetween(*so_far)),
+            F.collect_list(F.when(~F.array_contains("seen", F.col("country")), F.col("country"))).over(
+                in_run.rowsBetween(*so_far)
+            ),
         )
+        .drop("seen")
     )
 
     # Across buckets: the run open at the end of a bucket goes on through every later bucket
@@ -75,7 +79,9 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
         local.groupBy("user_id", "bucket")
         .agg(
             F.min_by("here", order).alias("head"),
-            F.max_by("here", order).alias("tail"),
+            # device_type rides along so that both uses of `local` shuffle the same columns and
+            # the second one reads the first one's shuffle.
+            F.max_by(F.struct("here", "device_type"), order).getField("here").alias("tail"),
             F.max_by("run_in_bucket", order).alias("last_run"),
             F.max_by("run_row", order).alias("tail_rows"),
             F.max_by("run_countries", order).alias("tail_countries"),
@@ -159,7 +165,7 @@ def _journey_views(events: DataFrame) -> DataFrame:
     ).select("user_id", "session_id", "url", "ts", "event_id", "country")
 
 
-def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 60) -> DataFrame:
+def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 300) -> DataFrame:
     """One row per page view: its place in the journey, how many pages the journey then keeps
     (the newest `keep`), and when it started."""
     views = _journey_views(events)
