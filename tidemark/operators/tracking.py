@@ -21,7 +21,7 @@ def _bucket(width_seconds: int) -> Column:
     return bucket(F.unix_micros("ts"), width_seconds * 1_000_000)
 
 
-def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 300) -> DataFrame:
+def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 900) -> DataFrame:
     """One row per event: the user's active session as it stood right after the event.
 
     A run goes on while the session id stays the same and the user is never silent for longer
@@ -165,7 +165,7 @@ def _journey_views(events: DataFrame) -> DataFrame:
     ).select("user_id", "session_id", "url", "ts", "event_id", "country")
 
 
-def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 300) -> DataFrame:
+def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 900) -> DataFrame:
     """One row per page view: its place in the journey, how many pages the journey then keeps
     (the newest `keep`), and when it started."""
     views = _journey_views(events)
