@@ -2,12 +2,13 @@
 
 Everything that outlives a task (stream checkpoints, landed tables, cut lineage) lies in
 the folder named by `spark.checkpoint.dir`, which every executor and any restarted driver
-can see. Only a local session may fall back to a temporary folder.
+can see. Only a session whose tasks run inside the driver may fall back to a temporary folder.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -15,15 +16,19 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+#: Masters without executors of their own; local-cluster is not one of them.
+ONE_PROCESS = re.compile(r"local(\[[^\]]*\])?")
+
+
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not ONE_PROCESS.fullmatch(context.master):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all nodes")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
