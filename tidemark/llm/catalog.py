@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, tokens, warc
+from tidemark.llm import bpe, decontaminate, lempel, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -30,10 +30,28 @@ def op5_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return tokens.count_tokens(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.summary(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the bytes of repeated strings."""
+    return suffix.summary(table(spark, root, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the words of windows that an earlier one holds."""
+    return lempel.cut(table(spark, root, "documents"), with_text=False)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL = {

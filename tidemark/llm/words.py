@@ -109,11 +109,10 @@ def anchors(values: np.ndarray, width: int) -> np.ndarray:
 
     The place depends on the window's content alone, so equal windows agree on it.
     """
-    if len(values) < width:
-        return np.empty(0, np.int64)
-    low = np.uint64((1 << 24) - 1)
-    if len(values) > 1 << 24:
-        raise ValueError("slice too long for packed places")
-    places = np.arange(len(values), dtype=np.uint64)
-    least = sliding_min((values & ~low) | (low - places), width)
-    return (low - (least & low)).astype(np.int64)
+    low, block = np.uint64((1 << 24) - 1), 1 << 23
+    out = [np.empty(0, np.int64)]
+    for a in range(0, len(values) - width + 1, block):  # places are packed into the low bits, block by block
+        part = values[a : a + block + width - 1]
+        least = sliding_min((part & ~low) | (low - np.arange(len(part), dtype=np.uint64)), width)
+        out.append((low - (least & low)).astype(np.int64) + a)
+    return np.concatenate(out)
