@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, decontaminate, lempel, suffix, tokens, warc
+from tidemark.llm import bpe, decontaminate, lempel, minhash, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix.summary(table(spark, root, "documents"))
 
 
+def op9_minhash(spark: SparkSession, root: str) -> DataFrame:
+    """The component of every document among near-duplicates."""
+    return minhash.cluster(table(spark, root, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Every document without the words of windows that an earlier one holds."""
     return lempel.cut(table(spark, root, "documents"), with_text=False)
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_minhash": op9_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
