@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, decontaminate, lempel, minhash, suffix, tokens, warc
+from tidemark.llm import bpe, decontaminate, language, lempel, minhash, quality, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents"), path, ids=False, digests=True)
 
 
+def op4_quality(spark: SparkSession, root: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return tokens.count_tokens(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -40,6 +45,11 @@ def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix.summary(table(spark, root, "documents"))
 
 
+def op8_language(spark: SparkSession, root: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify(table(spark, root, "documents"))
+
+
 def op9_minhash(spark: SparkSession, root: str) -> DataFrame:
     """The component of every document among near-duplicates."""
     return minhash.cluster(table(spark, root, "documents"))
@@ -53,9 +63,11 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_language": op8_language,
     "op9_minhash": op9_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
