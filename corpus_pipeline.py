@@ -1,21 +1,55 @@
-"""A corpus from raw documents to tokens, stage by stage; every stage reads what the one before has kept."""
+"""A corpus from raw documents to tokens, stage by stage; every stage reads what the one before has kept.
+
+| Stage | Decision |
+|---|---|
+| language | documents without letters, or whose language is found with a probability below 0.5, go |
+| near-duplicates | of each group of near-duplicates the smallest doc_id stays |
+| repeated strings | bytes covered by a 400-byte string that starts twice go; a text left empty goes |
+| decontamination | documents that hold a benchmark window go |
+| encoding | token ids of each text, with digests of the ids and of the text decoded from them |
+
+Rows keep the columns of documents up to the last stage. A row with a null text has no letter and
+goes in the first stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, decontaminate, language, minhash, suffix
 from tidemark.llm.store import settled
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.remove(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("language", known_language),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("decontamination", benchmark_passages),
+    ("encoding", encode),
+]
 
-#: The language and similarity stages have no SQL form; tests/llm compares the pipeline with plain Python.
+#: The language and similarity stages have no SQL form; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, decontaminate, language, lempel, minhash, quality, suffix, tokens, warc
+from tidemark.llm import bpe, decontaminate, language, lempel, minhash, neighbours, quality, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents"), path, ids=False, digests=True)
 
 
+def op3_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The nearest vectors of every twentieth one."""
+    return neighbours.nearest(table(spark, root, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, root: str) -> DataFrame:
     """The quality score of every document."""
     return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))
@@ -63,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_neighbours": op3_neighbours,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
