@@ -78,6 +78,10 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
 SQL = {
     "op1_warc": """
 WITH d AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -87,5 +91,49 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id > f THEN f END AS refers_to
 FROM m
+""",
+    "op6_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_ALNUM}), []) AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, coalesce(regexp_extract_all({_LOWER}, {_ALNUM}), []) AS w FROM benchmark),
+     bw AS (SELECT DISTINCT item_id, CAST(least(len(w), 10) AS INTEGER) AS n,
+                   array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+            FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+     dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+            FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(w) - n + 2)) AS t(i)),
+     hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+     pos AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, n)) AS t(j) GROUP BY doc_id),
+     its AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op9_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_SPACED}), []) AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS k
+           FROM d, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+               FROM s AS x JOIN s AS y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+     link AS (SELECT a, b FROM both_ JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
+              WHERE 100 * c >= 80 * (p.n + q.n - c)),
+     reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) AS c USING (doc_id)
+""",
+    "op10_substring_dedup": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED}), []) AS w FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+             FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+     least_ AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+     gone AS (SELECT DISTINCT win.doc_id, i + j AS p
+              FROM win JOIN least_ USING (k), unnest(range(0, 13)) AS t(j) WHERE m < win.doc_id),
+     word AS (SELECT doc_id, i AS p, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+              FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+     cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
 """,
 }
