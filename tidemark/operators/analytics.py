@@ -133,7 +133,13 @@ def daily_cohorts(size: str = DAY, frame_rows: int = 7) -> Rollup:
             split_window(out).withColumn("date_partition", day_text(F.col("window_start"))), frame_rows
         )
 
-    return Rollup(partial, finish)
+    def carry(new: DataFrame, earlier: DataFrame) -> DataFrame:
+        newest = Window.partitionBy("country", "event_type").orderBy(F.desc("window_start"))
+        last = earlier.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") < frame_rows).drop("_r")
+        both = new.withColumn("_new", F.lit(True)).unionByName(last.withColumn("_new", F.lit(False)))
+        return with_trailing_average(both, frame_rows).where("_new").select(new.columns)
+
+    return Rollup(partial, finish, carry)
 
 
 def with_trailing_average(daily: DataFrame, frame_rows: int = 7) -> DataFrame:
@@ -166,8 +172,8 @@ def user_journeys(min_events: int = 2) -> Rollup:
         )
 
     def partial(df: DataFrame) -> DataFrame:
-        # A stream needs a window to know when a session is over; sessions carry their day.
-        keys = [_window(DAY)] if df.isStreaming else []
+        # A stream needs a window to know when a session is over: a day without a row of it.
+        keys = [F.session_window("ts", DAY).alias("w")] if df.isStreaming else []
         return aggregate(df, [*keys, "session_id", "user_id"]).drop("w")
 
     def finish(t: DataFrame) -> DataFrame:

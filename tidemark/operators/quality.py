@@ -62,8 +62,11 @@ def deduplicate(events: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def split_late(arrivals: DataFrame, t_at_arrival: str = "t_at_arrival_ms") -> tuple[DataFrame, DataFrame]:
-    """(in time, late): late rows lie below the watermark that was published when they came."""
-    late = F.col("event_time_ms") < F.col(t_at_arrival)
+    """(in time, late): late rows lie below the watermark that was published when they came.
+
+    A row without event time or without a watermark is not late, so no row is in neither part.
+    """
+    late = F.coalesce(F.col("event_time_ms") < F.col(t_at_arrival), F.lit(False))
     return arrivals.where(~late), arrivals.where(late)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT, WARM, COLD = "kafka", "clickhouse", "cold_storage"
-MAX_LITERAL_KEYS = 1000
 
 
 @dataclass(frozen=True)
@@ -158,15 +157,12 @@ def alive(values: DataFrame, as_of: Column) -> DataFrame:
 def lookup(values: DataFrame, key: str, keys: list | DataFrame) -> DataFrame:
     """Values of the given keys; a key that is not there yields no row.
 
-    A short list becomes a pushed-down IN filter. Keys in a table are semi-joined; Spark picks
-    a broadcast only if the measured size allows it.
+    A list becomes a pushed-down IN filter. Keys in a table are semi-joined; Spark picks a
+    broadcast only if the measured size allows it.
     """
     if isinstance(keys, DataFrame):
         return values.join(keys.select(key), key, "left_semi")
-    if len(keys) <= MAX_LITERAL_KEYS:
-        return values.where(F.col(key).isin(*keys))
-    listed = values.sparkSession.createDataFrame([(k,) for k in keys], values.select(key).schema)
-    return values.join(listed, key, "left_semi")
+    return values.where(F.col(key).isin(*keys))
 
 
 def without_keys(values: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -1,15 +1,12 @@
-"""The safe watermark T: everything with event_time < T has already been landed.
+"""Progress per log partition, and the safe watermark T that follows from it.
 
-Per log partition the largest landed event time minus the lateness window is a bound; T is
-the smallest of these bounds and never goes back. A partition nobody has heard from yet
-holds T where it is. A single maximum over all partitions would be wrong: a fast partition
-would drag T past rows a slow one has still to deliver.
+`partition_progress` reduces records to one row per partition, `merge_progress` adds it to what a
+commit already states, and `safe_watermark` reads T off the merged rows. Landing, the seam and the
+queries all use these three; there is no second form of the rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +55,3 @@ def safe_watermark(
             expected_partitions,
         ).alias("watermark_ms")
     )
-
-
-def safe_watermark_ms(
-    max_by_partition: Mapping[int, int],
-    lateness_ms: int,
-    previous_t_ms: int = 0,
-    expected_partitions: int | None = None,
-) -> int:
-    """The same rule for the handful of numbers a commit carries on the driver."""
-    heard = len(max_by_partition)
-    if heard == 0 or (expected_partitions is not None and heard < expected_partitions):
-        return previous_t_ms
-    return max(previous_t_ms, min(max_by_partition.values()) - lateness_ms)

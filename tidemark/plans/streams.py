@@ -38,7 +38,7 @@ from tidemark.streaming import fresh, keyed, landing, rollups, sinks
 SEGMENTS = 3
 
 
-def stage_log(spark: SparkSession, root: str, path: str) -> list[str]:
+def stage_log(spark: SparkSession, root: str, path: str, segments: int = SEGMENTS) -> list[str]:
     """The order log as files, cut into segments that arrive one after the other.
 
     Inside a segment files have no order; a segment is landed as one micro-batch, so the
@@ -46,14 +46,15 @@ def stage_log(spark: SparkSession, root: str, path: str) -> list[str]:
     """
     end = orders(spark, root).agg(F.max("emission")).head()[0] + 1
     log = with_log_offsets(wire_lines(orders(spark, root))).drop("key")
-    segment = F.floor(F.col("emission") * SEGMENTS / F.lit(end)).cast("int")
+    segment = F.floor(F.col("emission") * segments / F.lit(end)).cast("int")
     (
         log.withColumn("segment", segment)
         .drop("emission")
+        .repartition("segment")
         .write.partitionBy("segment")
         .parquet(path)
     )
-    return [f"{path}/segment={i}" for i in range(SEGMENTS)]
+    return [f"{path}/segment={i}" for i in range(segments)]
 
 
 def land(spark: SparkSession, root: str) -> tuple[str, str]:
@@ -69,6 +70,15 @@ def land(spark: SparkSession, root: str) -> tuple[str, str]:
     return lake, fresh_table
 
 
+def backlog(spark: SparkSession, root: str, segments: int = 24) -> str:
+    """The whole log at once, one file per segment, each a second younger than the one before."""
+    base = ws.fresh_folder(spark, "backlog")
+    for i, segment in enumerate(stage_log(spark, root, f"{base}/staged", segments)):
+        ws.publish(spark, segment, f"{base}/log/{i}")
+        ws.set_age(spark, f"{base}/log/{i}", i)
+    return base
+
+
 def _landed_sql(select: str, *ctes: str) -> str:
     """SQL over the rows decoding accepts."""
     return orders_sql(
@@ -162,6 +172,42 @@ def snk3(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("event_time_ms", F.unix_millis("event_time")).drop("event_time")
 
 
+_ACCEPTED_SQL = _landed_sql(
+    f"""SELECT count(*) AS total, count(DISTINCT event_id) AS distinct_ids,
+    CAST(sum({GMV}) AS {MONEY_SQL}) AS gmv FROM good"""
+)
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_distinct("event_id").alias("distinct_ids"), seam._totals()[1]
+    )
+
+
+@query("str9_bounded_landing", _ACCEPTED_SQL)
+def str9(spark: SparkSession, root: str) -> DataFrame:
+    """A backlog of 24 files landed one file per micro-batch, so by 24 commits."""
+    base = backlog(spark, root)
+    landing.start_landing(
+        log_file_stream(spark, f"{base}/log", max_files=1), f"{base}/lake", f"{base}/cp", PARTITIONS, LATENESS_MS
+    ).awaitTermination()
+    return _accepted(landing.lake_rows(spark, f"{base}/lake"))
+
+
+@query("str12_fresh_after_lost_checkpoint", _ACCEPTED_SQL)
+def str12_lost(spark: SparkSession, root: str) -> DataFrame:
+    """The fresh tier after its checkpoint is lost while the log goes on growing."""
+    base = ws.fresh_folder(spark, "lost")
+    segments = stage_log(spark, root, f"{base}/staged")
+    for i, segment in enumerate(segments):
+        ws.publish(spark, segment, f"{base}/log/{i}")
+        if i != 1:
+            fresh.start_fresh(
+                log_file_stream(spark, f"{base}/log"), f"{base}/fresh", f"{base}/cp-{i}"
+            ).awaitTermination()
+    return _accepted(fresh.fresh_rows(spark, f"{base}/fresh"))
+
+
 class Killed(RuntimeError):
     """Stands for a job that dies."""
 

@@ -10,8 +10,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Keyed aggregates with sets or structs stay hash-based for realistic group counts per task.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 # For streaming jobs on a cluster: state beyond executor memory, changelog checkpoints.

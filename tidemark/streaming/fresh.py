@@ -1,18 +1,27 @@
-"""The fresh tier: a second, independent reader of the same log, seconds behind it."""
+"""The fresh tier: a second, independent reader of the same log, seconds behind it.
+
+A published batch carries the positions it reaches, and the next one goes on from there. A new or
+lost checkpoint thus neither drops nor doubles rows: what comes again lies below the positions.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidemark import workspace as ws
 from tidemark.functions.orders import event_time
 from tidemark.schemas import ORDER_ROW
 from tidemark.sources.wire import accepted, decode_orders
-from tidemark.streaming.sinks import publish_batch, read_batches, start
+from tidemark.streaming.landing import in_order, not_yet_read
+from tidemark.streaming.sinks import read_batches, start
 
 _COLUMNS = [f.name for f in ORDER_ROW.fields]
+_POSITIONS = "_positions.json"
 
 
 def fresh_view(records: DataFrame) -> DataFrame:
@@ -21,13 +30,46 @@ def fresh_view(records: DataFrame) -> DataFrame:
     return good.withColumn("event_time", event_time(F.col("event_time_ms"))).select(*_COLUMNS)
 
 
-def start_fresh(log: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Files are sorted by (event_time, event_id), so a time bound skips most row groups."""
+def positions(spark: SparkSession, table: str) -> tuple[int, dict[int, int]]:
+    """Number of the next batch, and the next offset of each log partition."""
+    found = [int(n.split("=")[1]) for n in ws.child_names(spark, table) if n.startswith("batch_id=")]
+    if not found:
+        return 0, {}
+    kept = ws.read_json(spark, f"{table}/batch_id={max(found)}/{_POSITIONS}")
+    return max(found) + 1, {int(p): o for p, o in kept.items()}
+
 
-    def handle(records: DataFrame, batch_id: int) -> None:
-        publish_batch(fresh_view(records).sortWithinPartitions("event_time", "event_id"), table, batch_id)
+def add_fresh(records: DataFrame, table: str) -> bool:
+    """Publish the records past the stored positions; False when there are none.
 
-    return start(log, checkpoint, handle, every)
+    Records of a partition must go on where the last batch ended. Files are sorted by (event_time,
+    event_id), so a time bound skips most row groups.
+    """
+    spark = records.sparkSession
+    number, offsets = positions(spark, table)
+    new = records.where(not_yet_read(offsets))
+    reached = (
+        new.groupBy("partition_id")
+        .agg(
+            F.min("offset_id").alias("first_offset"),
+            (F.max("offset_id") + 1).alias("next_offset"),
+            F.count_distinct("offset_id").alias("offsets"),
+        )
+        .collect()
+    )
+    if not reached:
+        return False
+    in_order(reached, offsets)
+    path = f"{table}/_staging/{number}-{uuid.uuid4().hex}"
+    fresh_view(new).sortWithinPartitions("event_time", "event_id").write.parquet(path)
+    ws.write_json(spark, f"{path}/{_POSITIONS}", offsets | {r.partition_id: r.next_offset for r in reached})
+    if not ws.publish(spark, path, f"{table}/batch_id={number}"):
+        raise RuntimeError(f"batch {number} of {table} exists: another reader is running")
+    return True
+
+
+def start_fresh(log: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    return start(log, checkpoint, lambda records, _: add_fresh(records, table), every)
 
 
 def fresh_rows(spark: SparkSession, table: str) -> DataFrame:

@@ -9,6 +9,10 @@ job leaves at most an unreferenced staging folder.
 Progress lives in the commit, so a restart needs nothing else: rows whose offset lies below
 the committed next offset are skipped, whether they come back because a micro-batch is
 repeated or because the stream's checkpoint was lost and the log is read from the start.
+Skipping is only right if such rows have been landed. In a gapless log (the default) each batch
+must go on exactly where the commit ends and hold every offset up to its last, so nothing below
+can be missing; in a log with holes the skipped rows are looked up in the table. Otherwise the
+batch is refused.
 
 The rename must be atomic, as it is on HDFS-like file systems. On an object store without
 atomic rename a table format's commit has to take its place.
@@ -29,7 +33,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark import workspace as ws
 from tidemark.functions.orders import below, event_time
-from tidemark.operators.watermark import safe_watermark_ms
+from tidemark.operators.watermark import merge_progress, safe_watermark
 from tidemark.schemas import ORDER_ROW
 from tidemark.sources.wire import decode_orders
 
@@ -123,34 +127,58 @@ def rejected_lines(spark: SparkSession, table: str, commit: Commit | None = None
     return bad.select("partition_id", "offset_id", "value", "reject_reason")
 
 
-def _not_yet_landed(offsets: dict[int, int]) -> Column:
-    """Rows at or past the committed next offset of their partition."""
+def not_yet_read(offsets: dict[int, int]) -> Column:
+    """Rows at or past the next offset stored for their partition."""
     if not offsets:
         return F.lit(True)
     known = F.create_map(*[F.lit(x) for p, o in sorted(offsets.items()) for x in (p, o)])
     return F.col("offset_id") >= F.coalesce(F.try_element_at(known, F.col("partition_id")), F.lit(0))
 
 
+def in_order(positions: list, offsets: dict[int, int]) -> None:
+    """Refuse a batch of a gapless log that leaves out an offset.
+
+    `positions`: partition_id, first_offset, next_offset and the number of distinct offsets.
+    """
+    for p in positions:
+        expected = offsets.get(p.partition_id, 0)
+        if p.first_offset != expected:
+            raise ValueError(f"partition {p.partition_id}: log jumps from offset {expected} to {p.first_offset}")
+        if p.next_offset - p.first_offset != p.offsets:
+            raise ValueError(f"partition {p.partition_id}: offsets are missing below {p.next_offset}")
+
+
+def skipped_are_landed(records: DataFrame, table: str, state: Commit) -> None:
+    """Refuse a batch that holds a row below the committed offsets which is not in the table."""
+    old = records.where(~not_yet_read(state.offsets)).select("partition_id", "offset_id")
+    landed = read_table(records.sparkSession, table, state).select("partition_id", "offset_id")
+    lost = old.join(landed, ["partition_id", "offset_id"], "left_anti").head()
+    if lost is not None:
+        raise ValueError(f"partition {lost.partition_id}: offset {lost.offset_id} comes after later ones")
+
+
 def land_batch(
     records: DataFrame,
     table: str,
     partitions: int,
     lateness_ms: int,
-    gapless: bool = False,
+    gapless: bool = True,
     publish: Callable[[SparkSession, str, str], bool] = ws.publish,
 ) -> Commit | None:
     """Land one micro-batch of log records (partition_id, offset_id, value) as one commit.
 
     Returns the new commit, or None when every record had been landed before. Offsets of a
-    partition must arrive in order; `gapless` (for logs without holes) checks that they do.
+    partition must arrive in order, which is checked; `gapless=False` is for logs with holes.
     """
     spark = records.sparkSession
     state = last_commit(spark, table)
+    if not gapless and state.offsets:
+        skipped_are_landed(records, table, state)
     seq = state.seq + 1
     staged = f"{table}/_staging/{seq}-{uuid.uuid4().hex}"
 
     # One pass: decode, route good rows and rejected lines to their folders, write.
-    decoded = decode_orders(records.where(_not_yet_landed(state.offsets)))
+    decoded = decode_orders(records.where(not_yet_read(state.offsets)))
     good = F.col("reject_reason").isNull()
     (
         decoded.withColumns(
@@ -176,26 +204,32 @@ def land_batch(
             (F.max("offset_id") + 1).alias("next_offset"),
             F.max(F.when(F.col("kind") == "rows", F.unix_millis("event_time"))).alias("max_ms"),
             F.count_if(F.col("kind") == "rows").alias("n"),
+            F.count_distinct("offset_id").alias("offsets"),
         )
         .collect()
     )
+    try:
+        if gapless:
+            in_order(progress, state.offsets)
+    except ValueError:
+        ws.drop_folder(spark, staged)
+        raise
     if not progress:
+        ws.drop_folder(spark, staged)
         return None
 
-    offsets, newest = dict(state.offsets), dict(state.max_event_time_ms)
-    for row in progress:
-        if gapless and row.first_offset != offsets.get(row.partition_id, 0):
-            raise ValueError(f"partition {row.partition_id}: log jumps to offset {row.first_offset}")
-        offsets[row.partition_id] = max(offsets.get(row.partition_id, 0), row.next_offset)
-        if row.max_ms is not None:
-            newest[row.partition_id] = max(newest.get(row.partition_id, row.max_ms), row.max_ms)
+    shape = "partition_id int, next_offset long, max_event_time_ms long"
+    new = spark.createDataFrame([(p.partition_id, p.next_offset, p.max_ms) for p in progress], shape)
+    known = [(p, o, state.max_event_time_ms.get(p)) for p, o in state.offsets.items()]
+    merged = merge_progress(new, spark.createDataFrame(known, shape)).collect()
+    heard = spark.createDataFrame([tuple(r) for r in merged], shape)
     commit = Commit(
         seq=seq,
-        watermark_ms=safe_watermark_ms(newest, lateness_ms, state.watermark_ms, partitions),
+        watermark_ms=safe_watermark(heard, lateness_ms, state.watermark_ms, partitions).head()[0],
         lateness_ms=lateness_ms,
         batch_count=sum(row.n for row in progress),
-        offsets=offsets,
-        max_event_time_ms=newest,
+        offsets={r.partition_id: r.next_offset for r in merged},
+        max_event_time_ms={r.partition_id: r.max_event_time_ms for r in merged if r.max_event_time_ms is not None},
     )
     ws.write_json(spark, f"{staged}/{MANIFEST}", vars(commit))
     if not publish(spark, staged, f"{table}/seq={seq}"):
@@ -210,7 +244,7 @@ def start_landing(
     partitions: int,
     lateness_ms: int = 1000,
     every: str | None = None,
-    gapless: bool = False,
+    gapless: bool = True,
 ) -> StreamingQuery:
     """Land a stream of log records. Without `every` (e.g. "2 seconds") the job reads what is
     there, in batches of the source's size limit, and ends."""

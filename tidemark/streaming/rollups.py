@@ -12,21 +12,13 @@ from tidemark import workspace as ws
 from tidemark.operators.metrics import global_metrics, with_rate_change
 from tidemark.operators.rollup import Rollup
 from tidemark.operators.sessions import GAP, daily_session_metrics, stream_sessions
-from tidemark.streaming.sinks import publish_batch, start
+from tidemark.streaming.sinks import publish_batch, publish_staged, published, read_batches, staged, start
 
 METRICS_DELAY = "5 seconds"
 SESSION_DELAY = "10 seconds"
 _LAST = "_last.json"
 
 
-def staged(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
-    """The micro-batch as a written table, so that using it twice does not run the stateful
-    plan twice and a lost executor does not either."""
-    path = f"{table}/_staging/partial-{batch_id}-{uuid.uuid4().hex}"
-    batch.write.parquet(path)
-    return batch.sparkSession.read.schema(batch.schema).parquet(path)
-
-
 def start_rollup(
     events: DataFrame,
     rollup: Rollup,
@@ -35,11 +27,18 @@ def start_rollup(
     delay: str = METRICS_DELAY,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Closed windows of a rollup, appended to `table`."""
+    """Closed windows of a rollup, appended to `table`. A rollup that looks back over its own rows
+    is given those of earlier batches."""
     partial = rollup.partial(events.withWatermark("ts", delay))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(rollup.finish(staged(batch, table, batch_id)), table, batch_id)
+        spark = batch.sparkSession
+        if published(spark, table, batch_id):
+            return
+        rows = rollup.finish(staged(batch, table, batch_id))
+        if rollup.carry is not None and any(n.startswith("batch_id=") for n in ws.child_names(spark, table)):
+            rows = rollup.carry(rows, read_batches(spark, table).drop("batch_id"))
+        publish_batch(rows, table, batch_id)
 
     return start(partial, checkpoint, handle, every)
 
@@ -59,8 +58,7 @@ def start_global_metrics(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{table}/batch_id={batch_id}"
-        if ws.exists(spark, target):
+        if published(spark, table, batch_id):
             return
         windows = rollup.finish(staged(batch, table, batch_id))
         last = _last_window(spark, table, batch_id)
@@ -74,7 +72,7 @@ def start_global_metrics(
             last = {"event_count": newest}
         if last is not None:
             ws.write_json(spark, f"{path}/{_LAST}", last)
-        ws.publish(spark, path, target)
+        publish_staged(spark, path, table, batch_id)
 
     return start(partial, checkpoint, handle, every)
 

@@ -1,5 +1,8 @@
 """Sinks for micro-batches. Every write goes to <table>/batch_id=N, published by one rename,
-so a repeated micro-batch finds its folder already there and adds nothing."""
+so a repeated micro-batch finds its folder already there and adds nothing.
+
+Batch numbers start again with a new checkpoint. Each published batch therefore names the stream
+it came from, and a number that another stream has used is an error, never a skipped batch."""
 
 from __future__ import annotations
 
@@ -43,16 +46,56 @@ WARM_TABLES = (
 )
 
 
+_STREAM = "_stream.json"
+
+
+class BatchId(int):
+    """The number of a micro-batch, and the id of the stream (its checkpoint) that counts it."""
+
+    stream: str = ""
+
+    @classmethod
+    def of(cls, number: int, stream: str) -> BatchId:
+        made = cls(number)
+        made.stream = stream
+        return made
+
+
+def published(spark: SparkSession, table: str, batch_id: int) -> bool:
+    """Whether this stream has published the batch; another stream's batch of that number is an error."""
+    target = f"{table}/batch_id={batch_id}"
+    if not ws.exists(spark, target):
+        return False
+    stream = getattr(batch_id, "stream", "")
+    there = ws.read_json(spark, f"{target}/{_STREAM}")["stream"] if ws.exists(spark, f"{target}/{_STREAM}") else ""
+    if there != stream:
+        raise RuntimeError(f"batch {batch_id} of {table} was published under another checkpoint")
+    return True
+
+
+def publish_staged(spark: SparkSession, staged: str, table: str, batch_id: int) -> bool:
+    """Publish a written folder as the batch."""
+    ws.write_json(spark, f"{staged}/{_STREAM}", {"stream": getattr(batch_id, "stream", "")})
+    return ws.publish(spark, staged, f"{table}/batch_id={batch_id}") or not published(spark, table, batch_id)
+
+
 def publish_batch(df: DataFrame, table: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> bool:
-    """Write a micro-batch once; False when it had been published before."""
+    """Write a micro-batch once; False when this stream had published it before."""
     spark = df.sparkSession
-    target = f"{table}/batch_id={batch_id}"
-    if ws.exists(spark, target):
+    if published(spark, table, batch_id):
         return False
     staged = f"{table}/_staging/{batch_id}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(staged)
-    return ws.publish(spark, staged, target)
+    return publish_staged(spark, staged, table, batch_id)
+
+
+def staged(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
+    """The micro-batch as a written table, so that using it twice does not run the stateful
+    plan twice and a lost executor does not either."""
+    path = f"{table}/_staging/partial-{batch_id}-{uuid.uuid4().hex}"
+    batch.write.parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
 
 def read_batches(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
@@ -77,10 +120,15 @@ def start(
 ) -> StreamingQuery:
     """Run `handle` on every micro-batch; without `every` until the source is read."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        stream = ws.read_json(batch.sparkSession, f"{checkpoint}/metadata")["id"]
+        handle(batch, BatchId.of(batch_id, stream))
+
     return (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(handle)
+        .foreachBatch(numbered)
         .trigger(**trigger)
         .start()
     )
@@ -93,9 +141,11 @@ def rewrite_by_day(rows: DataFrame, path: str) -> None:
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of every key; rows of a key combine map-side."""
+    """The newest row of every key; rows of a key combine map-side. A row without version is the
+    oldest, and the one of a key that has no other."""
     whole = F.struct(*rows.columns)
-    return rows.groupBy(*keys).agg(F.max_by(whole, version).alias("_r")).where("_r IS NOT NULL").select("_r.*")
+    order = F.struct(F.col(version).isNotNull(), F.col(version))
+    return rows.groupBy(*keys).agg(F.max_by(whole, order).alias("_r")).where("_r IS NOT NULL").select("_r.*")
 
 
 def hot_sink(table: str, name: str) -> Callable[[DataFrame, int], object]:
@@ -115,11 +165,13 @@ def warm_sink(table: str) -> Callable[[DataFrame, int], object]:
 
 
 def split_sink(main: str, fallback: str, ok: Column) -> Callable[[DataFrame, int], object]:
-    """Rows whose publishing failed go to the fallback table, row by row."""
+    """Rows whose publishing failed, or of which nobody knows, go to the fallback table, row by row."""
+    sent = F.coalesce(ok, F.lit(False))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(batch.where(ok), main, batch_id)
-        publish_batch(batch.where(~ok), fallback, batch_id)
+        batch = staged(batch, main, batch_id)
+        publish_batch(batch.where(sent), main, batch_id)
+        publish_batch(batch.where(~sent), fallback, batch_id)
 
     return handle
 
@@ -132,6 +184,7 @@ def tiered_store(root: str, ttl_seconds: int = 3600) -> Callable[[DataFrame, int
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = staged(batch, root, batch_id)
         publish_batch(warm_rows(batch), f"{root}/warm", batch_id, ("date_partition",))
         publish_batch(search_index(batch), f"{root}/search", batch_id, ("month",))
         value = F.to_json(F.struct("event_id", "user_id", "event_type", "url"))

@@ -75,6 +75,13 @@ def drop_folder(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).delete(_path(spark, path), True)
 
 
+def set_age(spark: SparkSession, path: str, second: int) -> None:
+    """Give the files of a folder a modification time, in seconds since 1970 plus one day."""
+    fs = _fs(spark, path)
+    for status in fs.listStatus(_path(spark, path)):
+        fs.setTimes(status.getPath(), (86_400 + second) * 1000, -1)
+
+
 def publish(spark: SparkSession, staged: str, target: str) -> bool:
     """Make a finished folder visible under its final name in one rename.
 
