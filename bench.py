@@ -35,7 +35,7 @@ HEADLINES = {
     "daily_cohorts": "agg21_win1_daily_cohorts",
     "user_journeys": "agg22_user_journeys",
     "conversion_funnel": "agg23_conversion_funnel",
-    "geo_analysis": "agg26_geo_analysis",
+    "geo_analysis": "agg26_geo_analysis_min2",
     "sessions": "agg27_sessions_30m",
     "daily_sessions": "agg29_top6_set4_daily_sessions_30m",
     "session_pages": "str6_top2_session_pages_6h",

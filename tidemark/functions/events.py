@@ -104,7 +104,7 @@ def iso(ts: Column) -> Column:
 
 
 def event_json() -> Column:
-    """A typed event as JSON text with an ISO timestamp."""
+    """A typed event as JSON text with an ISO timestamp; properties are an object of texts."""
     return F.to_json(
         F.struct(
             "event_id",
@@ -112,7 +112,7 @@ def event_json() -> Column:
             "session_id",
             "event_type",
             "event_name",
-            "properties",
+            F.from_json("properties", "map<string,string>").alias("properties"),
             "url",
             "country",
             "city",

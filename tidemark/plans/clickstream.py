@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import agents, events as ev
 from tidemark.operators import adhoc, analytics, metrics, sessions, tracking
 from tidemark.plans.registry import clicks, clicks_sql, micros, pairs, query, text, visits
-from tidemark.sources.derive import COUNTRY_CODES
+from tidemark.sources.derive import COUNTRY_CODES, clickstream
+from tidemark.sources.tables import table
 from tidemark.sources.wire import decode_events
 
 # ---------------------------------------------------------------- event expressions
@@ -106,15 +107,16 @@ def exp12(spark: SparkSession, root: str) -> DataFrame:
     clicks_sql(
         """SELECT concat('{"event_id":"', event_id, '","user_id":', CAST(user_id AS VARCHAR), ',"session_id":"', session_id,
         '","event_type":"', event_type, '","event_name":', CASE WHEN event_name IS NULL THEN 'null'
-          ELSE concat('"', event_name, '"') END, ',"properties":null,"url":"', url, '","country":',
+          ELSE concat('"', event_name, '"') END, ',"properties":{"k":"', CAST(k AS VARCHAR), '"',
+        CASE WHEN user_agent IS NULL THEN '' ELSE concat(',"user_agent":"', user_agent, '"') END,
+        '},"url":"', url, '","country":',
         CASE WHEN country IS NULL THEN 'null' ELSE concat('"', country, '"') END, ',"city":',
         CASE WHEN city IS NULL THEN 'null' ELSE concat('"', city, '"') END, ',"timestamp":"',
         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '","date_partition":"', date_partition, '"}') AS value FROM clicks"""
     ),
 )
 def exp13(spark: SparkSession, root: str) -> DataFrame:
-    plain = clicks(spark, root).withColumn("properties", F.lit(None).cast("string"))
-    return plain.select(ev.event_json().alias("value"))
+    return clicks(spark, root).select(ev.event_json().alias("value"))
 
 
 _DEVICE = """CASE WHEN user_agent IS NULL THEN NULL
@@ -467,7 +469,10 @@ def agg24_user(spark: SparkSession, root: str) -> DataFrame:
 )
 def agg25(spark: SparkSession, root: str) -> DataFrame:
     as_of = F.lit("2024-01-10 12:34:56").cast("timestamp")
-    counters = analytics.minute_counters()(visits(spark, root))
+    # The minute bounds the scan: nothing else is read or counted.
+    first, last = (F.lit(f"2024-01-10 12:{m}:00").cast("timestamp_ntz") for m in (34, 35))
+    minute = table(spark, root, "events").where((F.col("ts") >= first) & (F.col("ts") < last))
+    counters = analytics.minute_counters()(clickstream(minute, pages=False))
     return analytics.realtime_metrics(counters, as_of).withColumn("timestamp", text("timestamp"))
 
 

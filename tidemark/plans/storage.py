@@ -137,14 +137,15 @@ def snk15(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "snk9_warm_rows",
     clicks_sql(
-        """SELECT event_id, user_id, session_id, event_type, coalesce(event_name, '') AS event_name, '{}' AS properties,
+        """SELECT event_id, user_id, session_id, event_type, coalesce(event_name, '') AS event_name,
+        concat('{"k":', CAST(k AS VARCHAR), CASE WHEN user_agent IS NULL THEN ''
+          ELSE concat(',"user_agent":"', user_agent, '"') END, '}') AS properties,
         url, coalesce(country, '') AS country, coalesce(city, '') AS city, epoch_us(ts) AS ts_us, date_partition
         FROM clicks"""
     ),
 )
 def snk9(spark: SparkSession, root: str) -> DataFrame:
-    plain = clicks(spark, root).withColumn("properties", F.lit(None).cast("string"))
-    return tiers.warm_rows(plain).withColumn("ts_us", micros("ts")).drop("ts")
+    return tiers.warm_rows(clicks(spark, root)).withColumn("ts_us", micros("ts")).drop("ts")
 
 
 # Every event is a put: key user, value event id, lifetime by event type (purchases never expire).

@@ -465,6 +465,28 @@ def panes(spark: SparkSession, root: str) -> DataFrame:
     return run_append(spark, analytics.geo_panes(events), "panes").withColumn("pane", text("pane"))
 
 
+@query(
+    "agg26_stream_geo_report",
+    clicks_sql(
+        """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start,
+        strftime(s + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, country, city,
+        count(*) AS total_events, count(DISTINCT user_id) AS unique_users,
+        avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS purchase_rate,
+        count(*) FILTER (event_type = 'error') AS error_count,
+        CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS error_rate
+        FROM (SELECT *, date_trunc('hour', ts) - INTERVAL 1 HOUR * h AS s
+          FROM clicks, (SELECT unnest(range(24)) AS h) WHERE country IS NOT NULL
+            AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events))
+        GROUP BY s, country, city HAVING count(*) >= 10"""
+    ),
+)
+def geo_report(spark: SparkSession, root: str) -> DataFrame:
+    """Users, purchase and error rate of every 24 hours, from the panes a stream has landed."""
+    events = clicks_stream(spark, root).withWatermark("ts", "5 seconds")
+    landed = run_append(spark, analytics.geo_panes(events), "geo")
+    return cs._texted(analytics.geo_windows(landed, min_count=10))
+
+
 @query(
     "src9_stream_decode",
     clicks_sql(
