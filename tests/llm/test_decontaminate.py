@@ -59,8 +59,8 @@ def test_summary(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, brute(docs, items)))
     kept = d.clean(frame, bench)
     assert kept.columns == frame.columns
-    clean = {r[0] for r in got if not r[5]} - {r[0] for r in got if r[5]}
-    assert {r.doc_id for r in kept.collect()} == clean
+    clean = [row for row, found in zip(docs, brute(docs, items), strict=True) if not found[5]]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, clean))
 
 
 def test_only_short_items_or_none(spark):

@@ -18,7 +18,6 @@ nothing is contaminated. Only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
 from tidemark.llm.arrow import lists, slices
-from tidemark.llm.store import settled
+from tidemark.llm.store import row_key, settled
 
 WIDTH, GRAM = 10, 5
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
@@ -102,8 +101,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 def bit_table(windows: DataFrame) -> np.ndarray:
     """The marks of all windows as bits; at most `MAX_BITS` of them reach the driver."""
     marks = windows.select("mark").distinct()
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, 16 * marks.count()):
+    bits, wanted = MIN_BITS, 16 * marks.count()
+    while bits < min(MAX_BITS, wanted):
         bits *= 2
     place = F.col("mark").bitwiseAND(bits - 1)
     cells = (
@@ -142,17 +141,10 @@ def candidates(
             rows, starts, lengths, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(rows, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
-            ids = batch.column(0)
-            keys = [
-                f"text {hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).hexdigest()}"
-                if x is None
-                else str(x)
-                for i, x in enumerate(ids.to_pylist())
-            ]
             yield pa.record_batch(
                 [
-                    ids,
-                    pa.array(keys, pa.string()),
+                    batch.column(0),
+                    batch.column(2),
                     pa.array(np.diff(first), pa.int64()),
                     lists(starts[order].astype(np.int32), ends, pa.int32()),
                     lists(lengths[order].astype(np.int32), ends, pa.int32()),
@@ -163,7 +155,8 @@ def candidates(
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("_key"))
+    return rows.mapInArrow(
         run,
         f"id {kind}, key string, n_words long, start array<int>, length array<int>, h1 array<long>, h2 array<long>",
     )
@@ -183,7 +176,9 @@ def find(
     rows = settled(candidates(docs, bit_table(windows), short, id_col, text_col), "document-windows")
     hits = rows.select("key", F.explode(F.arrays_zip("start", "length", "h1", "h2")).alias("x")).select("key", "x.*")
     same = ["length", "h1", "h2"]
-    hits = settled(hits.join(windows.select(same).distinct(), same, "left_semi"), "hits")
+    # Both sides come from tables, so Spark can split the rows of a window that very many documents hold.
+    kinds = settled(windows.select(same).distinct(), "window-kinds")
+    hits = settled(hits.join(kinds, same, "left_semi"), "hits")
     pairs = hits.select("key", *same).distinct().join(windows.select("item_id", *same), same).select("key", "item_id").distinct()
     return rows.select("id", "key", "n_words"), hits.select("key", "start", "length"), pairs
 
@@ -216,6 +211,6 @@ def summary(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of any item."""
-    found = summary(docs, items, id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("_id"))
-    found = found.distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    _, hits, _ = find(docs, items, id_col, text_col)
+    found = hits.select(F.col("key").alias("_found")).distinct()
+    return docs.join(found, row_key(id_col, text_col) == F.col("_found"), "left_anti")

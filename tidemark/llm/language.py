@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
 from tidemark.llm.arrow import lists, slices
+from tidemark.llm.store import row_key
 
 FEATURES, ORDER, SAMPLE = 1 << 15, 3, 600
 UNKNOWN = "und"
@@ -240,15 +241,26 @@ def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
     """Learn from the rows that are not held out and predict all."""
-    rows = docs.where(~held_out(id_col)).select(
+    return predict(docs, fit(_learnable(docs, id_col, text_col, label_col), sample), id_col, text_col)
+
+
+def _learnable(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    return docs.where(~held_out(id_col)).select(
         F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")
     )
-    return predict(docs, fit(rows, sample), id_col, text_col)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
+def keep_known(
+    docs: DataFrame,
+    least: float = 0.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "lang",
+    sample: int = SAMPLE,
+) -> DataFrame:
     """The rows of `docs`, all columns, whose language is found with a probability of `least` or more."""
-    found = identify(docs, **options).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    id_col = options.get("id_col", "doc_id")
-    gone = found.select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    model = fit(_learnable(docs, id_col, text_col, label_col), sample)
+    keyed = docs.select(row_key(id_col, text_col).alias("_found"), F.col(text_col).alias("text"))
+    found = predict(keyed, model, "_found").where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    gone = found.select("_found").distinct()
+    return docs.join(gone, row_key(id_col, text_col) == F.col("_found"), "left_anti")

@@ -53,13 +53,13 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nodes(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """(node, v) of distinct vectors, and (id, node, place) of the `top` + 1 smallest ids of each.
+    """(node, v, h) of distinct vectors, h in half precision, and (id, node) of their `top` + 1 smallest ids.
 
     Copies are found by hash and vector; the smallest ids of a vector that very many rows share
     are found in parts of the ids first, so no group is ever sorted in one task.
     """
     rows = rows.withColumn("key", F.xxhash64("v"))
-    first = rows.groupBy("key", "v").agg(F.min("id").alias("node"))
+    first = settled(rows.groupBy("key", "v").agg(F.min("id").alias("node")), "distinct-vectors")
     most = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 1.0
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def nodes(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     part = Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
     few = member.withColumn("p", F.row_number().over(part)).where(F.col("p") <= top + 1)
     place = F.row_number().over(Window.partitionBy("node").orderBy("id"))
-    few = few.withColumn("place", place).where(F.col("place") <= top + 1).select("id", "node", "place")
+    few = few.withColumn("p", place).where(F.col("p") <= top + 1).select("id", "node")
     return named, settled(few, "members")
 
 

@@ -117,9 +117,8 @@ def revisits(digested: DataFrame, min_bytes: int = MIN_SHARED_BYTES) -> DataFram
         .where("refers_to < _last")
         .drop("_last")
     )
-    return (
-        shared.join(first.hint("merge"), "payload_digest").where("page_id > refers_to").select("page_id", "refers_to")
-    )
+    first = settled(first, "first-pages")
+    return shared.join(first.hint("merge"), "payload_digest").where("page_id > refers_to").select("page_id", "refers_to")
 
 
 def _name(page_id, n: int) -> str:
