@@ -647,7 +647,8 @@ def hot(spark: SparkSession, root: str) -> DataFrame:
     sink = sinks.hot_sink(f"{base}/table", "event_type_metrics")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sink(rollup.finish(rollups.staged(batch, f"{base}/partial", batch_id)), batch_id)
+        with sinks.staged(batch, f"{base}/partial", batch_id) as partials:
+            sink(rollup.finish(partials), batch_id)
 
     sinks.start(partial, f"{base}/cp", handle).awaitTermination()
     return cs._texted(sinks.hot_view(spark, f"{base}/table", "event_type_metrics"))

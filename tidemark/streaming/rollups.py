@@ -35,10 +35,11 @@ def start_rollup(
         spark = batch.sparkSession
         if published(spark, table, batch_id):
             return
-        rows = rollup.finish(staged(batch, table, batch_id))
-        if rollup.carry is not None and any(n.startswith("batch_id=") for n in ws.child_names(spark, table)):
-            rows = rollup.carry(rows, read_batches(spark, table).drop("batch_id"))
-        publish_batch(rows, table, batch_id)
+        with staged(batch, table, batch_id) as partials:
+            rows = rollup.finish(partials)
+            if rollup.carry is not None and any(n.startswith("batch_id=") for n in ws.child_names(spark, table)):
+                rows = rollup.carry(rows, read_batches(spark, table).drop("batch_id"))
+            publish_batch(rows, table, batch_id)
 
     return start(partial, checkpoint, handle, every)
 
@@ -60,14 +61,15 @@ def start_global_metrics(
         spark = batch.sparkSession
         if published(spark, table, batch_id):
             return
-        windows = rollup.finish(staged(batch, table, batch_id))
         last = _last_window(spark, table, batch_id)
         previous = None
         if last is not None:
             previous = spark.createDataFrame([(last["event_count"],)], "event_count long")
         path = f"{table}/_staging/{batch_id}-{uuid.uuid4().hex}"
-        with_rate_change(windows, previous).write.parquet(path)
-        newest = windows.agg(F.max_by("event_count", "window_start")).head()[0]
+        with staged(batch, table, batch_id) as partials:
+            windows = rollup.finish(partials)
+            with_rate_change(windows, previous).write.parquet(path)
+            newest = windows.agg(F.max_by("event_count", "window_start")).head()[0]
         if newest is not None:
             last = {"event_count": newest}
         if last is not None:

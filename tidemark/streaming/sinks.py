@@ -7,7 +7,8 @@ it came from, and a number that another stream has used is an error, never a ski
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,12 +91,15 @@ def publish_batch(df: DataFrame, table: str, batch_id: int, partition_by: tuple[
     return publish_staged(spark, staged, table, batch_id)
 
 
-def staged(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
+@contextmanager
+def staged(batch: DataFrame, table: str, batch_id: int) -> Iterator[DataFrame]:
     """The micro-batch as a written table, so that using it twice does not run the stateful
-    plan twice and a lost executor does not either."""
+    plan twice and a lost executor does not either. It goes when the block is done."""
+    spark = batch.sparkSession
     path = f"{table}/_staging/partial-{batch_id}-{uuid.uuid4().hex}"
     batch.write.parquet(path)
-    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+    yield spark.read.schema(batch.schema).parquet(path)
+    ws.drop_folder(spark, path)
 
 
 def read_batches(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
@@ -169,9 +173,9 @@ def split_sink(main: str, fallback: str, ok: Column) -> Callable[[DataFrame, int
     sent = F.coalesce(ok, F.lit(False))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = staged(batch, main, batch_id)
-        publish_batch(batch.where(sent), main, batch_id)
-        publish_batch(batch.where(~sent), fallback, batch_id)
+        with staged(batch, main, batch_id) as rows:
+            publish_batch(rows.where(sent), main, batch_id)
+            publish_batch(rows.where(~sent), fallback, batch_id)
 
     return handle
 
@@ -184,15 +188,15 @@ def tiered_store(root: str, ttl_seconds: int = 3600) -> Callable[[DataFrame, int
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = staged(batch, root, batch_id)
-        publish_batch(warm_rows(batch), f"{root}/warm", batch_id, ("date_partition",))
-        publish_batch(search_index(batch), f"{root}/search", batch_id, ("month",))
-        value = F.to_json(F.struct("event_id", "user_id", "event_type", "url"))
-        hot = latest_values(batch, "event_id", value, "ts", F.lit(ttl_seconds))
-        publish_batch(hot, f"{root}/hot", batch_id)
-        minute = F.date_trunc("minute", "ts").alias("minute")
-        counts = batch.groupBy(minute, "user_id").agg(F.count(F.lit(1)).alias("events"))
-        publish_batch(counts, f"{root}/counters", batch_id)
+        with staged(batch, root, batch_id) as rows:
+            publish_batch(warm_rows(rows), f"{root}/warm", batch_id, ("date_partition",))
+            publish_batch(search_index(rows), f"{root}/search", batch_id, ("month",))
+            value = F.to_json(F.struct("event_id", "user_id", "event_type", "url"))
+            hot = latest_values(rows, "event_id", value, "ts", F.lit(ttl_seconds))
+            publish_batch(hot, f"{root}/hot", batch_id)
+            minute = F.date_trunc("minute", "ts").alias("minute")
+            counts = rows.groupBy(minute, "user_id").agg(F.count(F.lit(1)).alias("events"))
+            publish_batch(counts, f"{root}/counters", batch_id)
 
     return handle
 
