@@ -11,6 +11,9 @@
 3. What a shard finds out (ranges of repeated windows in a piece) is joined with the places where
    the piece occurs, and gives spans by document.
 
+A hot anchor's rows meet an aggregate's one row in sort-merge joins whose sides are both read from
+tables, which is the form whose skewed partitions Spark splits.
+
 The method of a caller enters in step 1 (units, hashes) and in the comparison of shards.
 """
 
@@ -183,7 +186,8 @@ def spans(docs: DataFrame, method: Method, shard_bytes: int = SHARD_BYTES) -> Da
         shared = at.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     else:
         shared = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("a")).where("a > 1")
-    at = settled(at.join(shared.select("anchor").hint("merge"), "anchor"), f"{method.name}-shared")
+    shared = settled(shared.select("anchor"), f"{method.name}-anchors")
+    at = settled(at.join(shared.hint("merge"), "anchor"), f"{method.name}-shared")
     release(at)
 
     pieces = settled(
@@ -194,6 +198,7 @@ def spans(docs: DataFrame, method: Method, shard_bytes: int = SHARD_BYTES) -> Da
     )
     size = (F.col("first.n") + method.width) * method.unit_bytes
     rivals = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum(size).alias("bytes")).where("rivals > 1")
+    rivals = settled(rivals, f"{method.name}-rivals")
     wanted = settled(
         pieces.join(rivals.hint("merge"), "anchor").select(
             "anchor",
@@ -215,7 +220,7 @@ def spans(docs: DataFrame, method: Method, shard_bytes: int = SHARD_BYTES) -> Da
         everywhere = F.col("doc_id") > F.col("first.doc_id")
     else:
         everywhere = F.col("times") > 1
-    known = known.where((F.col("times") > 1) | F.col("windows").isNotNull())
+    known = settled(known.where((F.col("times") > 1) | F.col("windows").isNotNull()), f"{method.name}-known")
     window = F.when(everywhere, F.array(F.lit(0), F.col("n"))).otherwise(F.col("windows"))
     hits = (
         at.join(known.hint("merge"), ["anchor", "piece"])
