@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         met = settled(
             labels.join(near.hint("merge"), "a").select("a", "label", F.least("label", "near").alias("least")), "met"
         )
-        roots = met.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("up"))
+        roots = settled(met.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("up")), "roots")
         hooked = settled(
             met.join(roots.hint("merge"), F.col("label") == F.col("root")).select("a", "label", F.least("least", "up").alias("new")),
             "hooked",

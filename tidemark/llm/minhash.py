@@ -8,13 +8,21 @@ that was not empty. `BANDS` bands of `BINS / BANDS` bins are buckets. Two sets t
 their union miss each other in all buckets with probability (1 - 0.8**4)**32, below 1e-7.
 
 In a bucket, candidates form a star: all members are compared with one centre, the member that
-meets most others over all its buckets, and pairs are confirmed on the full sets. A member that the
-centre did not confirm may still be linked with another one. So in each bucket that is not of one
-component now, a second round takes the members outside the centre's component. A pair can only
-share shingles that more than one document has; with the counts of those, most outsiders cannot
-reach the threshold with anything of their bucket's sizes and need no partner. The others are
-compared with every member of another component with which the counts allow a link. After that
-each pair of each bucket is connected, refuted by its counts or refuted by its sets.
+meets most others over all its buckets, and pairs are confirmed on the full sets. Members outside
+the centre's component form the next star among themselves, as long as that links many of them.
+
+What is left are single outsiders. One may still be linked with another document z of a first
+centre c, and that is decided by how both differ from c. With D the shingles of c that a document
+lacks and A those it has beyond c, two documents of c share |c| - |D1 u D2| + |A1 n A2| shingles, so a
+link needs max(|D1|, |D2|) - |c| plus the shingles a link takes to be held in common by A1 and A2. Outsiders
+lack so much of c that this is nearly always positive: only documents meeting in a rare enough
+shingle of A (prefix filter on the counts within c's group) are candidates. Where no common
+shingle of A is needed, sizes decide who is a candidate; and where not even common shingles of D
+are needed, every such pair is linked with the group's document of least size and difference, so a
+star around that one connects them. Candidates are confirmed on the full sets. So each pair of each
+bucket is connected, refuted by counts or refuted by its sets, and no list of all pairs is made.
+
+Joins with a hot bucket or class read both sides from tables, so that Spark can split them.
 
 Defined cases: a document of one word has that word as its set; without words, or without text,
 the set is empty and linked with nothing; rows without doc_id are linked with nothing and kept;
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
@@ -157,7 +165,7 @@ def links(members: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
     several = spread.groupBy("bucket").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")
     )
-    several = several.where("low < high").select("bucket", "size")
+    several = settled(several.where("low < high").select("bucket", "size"), "shared-buckets")
     rest = settled(spread.join(several.hint("merge"), "bucket"), "bucket-members")
     met = rest.groupBy("doc_id").agg(F.sum("size").alias("met"))
     rest = settled(rest.drop("size").join(met.hint("merge"), "doc_id"), "bucket-members")
@@ -166,80 +174,127 @@ def links(members: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
     )
     release(docs)
 
-    centres = rest.groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "doc_id", "n")).alias("c"))
-    centres = centres.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"))
-    stars = settled(rest.join(centres.hint("merge"), "bucket").drop("met"), "stars")
-    near = (F.col("doc_id") != F.col("centre")) & _sizes_allow("n", "m", threshold)
-    pairs = stars.where(near).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    edges = settled(confirm(pairs, texts, threshold), "links")
-    if edges.isEmpty():
-        labels = edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
-    else:
+    first, edges, labels = _stars(rest), None, None
+    stars, inside = first, 0.0
+    while True:
+        near = (F.col("doc_id") != F.col("centre")) & _sizes_allow("n", "m", threshold)
+        pairs = stars.where(near).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+        found = settled(confirm(pairs, texts, threshold), "links")
+        if found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
-    more = settled(confirm(_outsiders(stars, labels, texts, threshold), texts, threshold), "more-links")
+        outside = settled(_outside(stars, labels), "outside")
+        left = outside.select("doc_id").distinct().count()
+        if not left or (inside and left > 0.9 * inside):
+            break
+        stars, inside = _stars(outside), left
+    if labels is None:
+        return members.select("doc_id", F.col("doc_id").alias("component_id")).limit(0)
+    more = settled(confirm(_rest(first, labels, texts, threshold), texts, threshold), "more-links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
-def _sizes_allow(x: str, y: str, threshold: int):
-    return (F.col(x) * 100 >= F.col(y) * threshold) & (F.col(y) * 100 >= F.col(x) * threshold)
+def _stars(rest: DataFrame) -> DataFrame:
+    """(bucket, doc_id, n, met, centre, m): every member of a bucket with its centre."""
+    centres = rest.groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "doc_id", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
+    centres = centres.where("k > 1").select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"))
+    return settled(rest.join(settled(centres, "centres").hint("merge"), "bucket"), "stars")
 
 
-def _outsiders(stars: DataFrame, labels: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that share a bucket, are not connected, and may be linked as far as counts tell."""
-    comp = F.coalesce("component_id", "doc_id")
-    rows = stars.join(labels.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "n", "centre", comp.alias("comp"))
-    mixed = (
-        rows.groupBy("bucket")
-        .agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("comp"))).alias("main"),
-            F.min("n").alias("least"),
-            F.count(F.lit(1)).alias("size"),
-        )
-        .where("low < high AND size > 2")
-        .drop("low", "high", "size")
-    )
-    rows = settled(rows.join(mixed.hint("merge"), "bucket"), "mixed-buckets")
-    own = settled(_own_counts(texts, rows.select("doc_id").distinct()), "own-shingles")
-    rows = rows.join(own.hint("merge"), "doc_id", "left")
-    rows = settled(rows.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "mixed-members")
-
-    def reachable(most, n, m):
-        return most * 100 >= (n + m - most) * threshold
-
-    alone = reachable(F.col("shared"), F.col("n"), F.greatest("least", "shared"))
-    out = rows.where((F.col("comp") != F.col("main")) & (F.col("doc_id") != F.col("centre")) & alone)
-    left = out.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "comp", "main", "shared")))
-    both = F.least("shared", "shared_a")
-    within = (
-        (F.col("left.bucket") == F.col("right.bucket"))
-        & (F.col("comp_a") != F.col("comp"))
-        & ((F.col("comp") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id")))
-        & (F.col("doc_id") != F.col("centre"))
-        & reachable(both, F.col("n"), F.col("n_a"))
-    )
-    joined = left.alias("left").hint("merge").join(rows.alias("right"), within)
-    return settled(joined.select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct(), "outsider-pairs")
+def _named(rows: DataFrame, labels: DataFrame, by: str, name: str) -> DataFrame:
+    labels = labels.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"))
+    joined = rows.join(labels.hint("merge"), F.col(by) == F.col("_id"), "left")
+    return joined.withColumn(name, F.coalesce("_c", by)).drop("_id", "_c")
+
+
+def _outside(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets outside the component of their centre."""
+    rows = _named(_named(stars, labels, "doc_id", "comp"), labels, "centre", "main")
+    return rows.where("comp <> main").select("bucket", "doc_id", "n", "met")
+
+
+def _sizes_allow(x: str, y: str, threshold: int):
+    return (F.col(x) * 100 >= F.col(y) * threshold) & (F.col(y) * 100 >= F.col(x) * threshold)
 
 
-def _own_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, own): how many of its shingles no other of the wanted documents has; none: no row."""
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, centre, removed, added): shingles the centre has alone, counted, and the document alone."""
+    left = texts.select("doc_id", F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches, "text"):
-            sets = shingles(data, offsets)
-            rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            flat_sets = np.concatenate([*sets, np.empty(0, np.uint64)])
+        for batch, data, offsets in slices(batches, "text_a"):
+            own = shingles(data, offsets)
+            other, first, where = np.unique(batch.column(1).to_numpy(), return_index=True, return_inverse=True)
+            centres = shingles(*flat(batch.column(3).take(pa.array(first))))
+            added = [np.setdiff1d(x, centres[k], assume_unique=True) for x, k in zip(own, where, strict=True)]
+            removed = [len(centres[k]) - len(x) + len(y) for x, y, k in zip(own, added, where, strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in added])])
+            flat_added = np.concatenate([*added, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(rows)), pa.array(flat_sets.view(np.int64))], ["doc_id", "shingle"]
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), lists(flat_added, ends, pa.int64())],
+                ["doc_id", "centre", "removed", "added"],
             )
 
-    own = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingle long")
-    single = (
-        own.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    joined = pairs.join(left.hint("merge"), "doc_id").join(right.hint("merge"), "centre")
+    return joined.select("doc_id", "centre", "text_a", "text_b").mapInArrow(
+        run, "doc_id long, centre long, removed long, added array<long>"
+    )
+
+
+def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of one centre that are not connected and whose differences from it allow a link."""
+    rows = stars.where("doc_id <> centre").select("doc_id", "n", "centre", "m").distinct()
+    rows = settled(_named(_named(rows, labels, "doc_id", "comp"), labels, "centre", "main"), "centre-groups")
+    mixed = rows.groupBy("centre").agg(F.count_if(F.expr("comp <> main")).alias("out"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    mixed = settled(mixed.where("out > 0 AND k > 1").select("centre", "least"), "mixed-groups")
+    rows = settled(rows.join(mixed.hint("merge"), "centre"), "mixed-rows")
+    differ = settled(differences(rows.select("doc_id", "centre"), texts), "differences")
+
+    # Shingles that another document of the group has added as well, rare ones first.
+    added = differ.select("centre", "doc_id", F.explode("added").alias("shingle"))
+    common = added.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    added = settled(added.join(settled(common, "common-shingles").hint("merge"), ["centre", "shingle"]), "common-added")
+    held = settled(added.groupBy("centre", "doc_id").agg(F.count(F.lit(1)).alias("held")), "held")
+    rows = rows.join(differ.drop("added").hint("merge"), ["centre", "doc_id"])
+    rows = rows.join(held.hint("merge"), ["centre", "doc_id"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    whole = 100 + threshold
+
+    def taken(n, m):  # shingles that a link between sets of these sizes has in common
+        return F.ceil((n + m) * threshold / F.lit(whole)).cast("long")
+
+    rows = rows.withColumn("takes", taken(F.col("n"), F.col("least")) - F.col("m") + F.col("removed"))
+    rows = settled(rows.withColumn("weight", F.col("n") * threshold + F.col("removed") * whole), "compared-rows")
+    right = rows.select("centre", "doc_id", "n", "comp", "main", "removed", "held", "weight", "m")
+    left = rows.where("comp <> main").select(
+        "centre", "least", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "comp", "removed", "held", "takes", "weight"))
     )
-    return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    apart = (F.col("comp_a") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id")))
+    needs = taken(F.col("n"), F.col("n_a")) - F.col("m") + F.greatest("removed", "removed_a")
+
+    order = Window.partitionBy("centre", "doc_id").orderBy("df", "shingle")
+    prefix = added.withColumn("place", F.row_number().over(order)).withColumnRenamed("doc_id", "doc_id_a")
+    prefix = prefix.join(left.hint("merge"), ["centre", "doc_id_a"])
+    prefix = settled(prefix.where("place <= held_a - greatest(takes_a, 1) + 1").drop("place", "df"), "prefixes")
+    added = settled(added.drop("df").join(right.hint("merge"), ["centre", "doc_id"]), "added")
+    met = _on(prefix, added, ["centre", "shingle"], apart & (needs >= 1) & (needs <= F.least("held", "held_a")))
+
+    thin = apart & (needs <= 0) & (F.col("weight") + F.col("weight_a") > F.col("m") * whole)
+    sized = _on(settled(left.where("takes_a <= 0"), "thin"), right, ["centre"], thin)
+
+    light = rows.groupBy("centre").agg(F.min(F.struct("weight", "doc_id")).alias("l"))
+    light = settled(light.select("centre", F.col("l.weight").alias("weight_a"), F.col("l.doc_id").alias("doc_id_a")), "lightest")
+    sure = _on(light, right, ["centre"], (F.col("weight") + F.col("weight_a") <= F.col("m") * whole) & (F.col("doc_id") != F.col("doc_id_a")))
+    return settled(met.unionByName(sized).unionByName(sure).distinct(), "candidate-pairs")
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], condition) -> DataFrame:
+    """(a, b) of the rows that agree in `keys` and meet the condition, which the join itself checks."""
+    renamed = left.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in left.columns))
+    for k in keys:
+        condition = (F.col(f"_{k}") == F.col(k)) & condition
+    return renamed.hint("merge").join(right, condition).select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b"))
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -248,7 +303,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = settled(sketches(docs), "sketches")
     alone = rows.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    least = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    least = settled(rows.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "representatives")
     rows = settled(
         rows.join(least.hint("merge"), "set_key").select(
             "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets")
