@@ -107,7 +107,7 @@ def places(docs: DataFrame, method: Method) -> DataFrame:
 
 
 def texts(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
-    """The text of the wanted pieces: (shard, anchor, piece, doc_id, body)."""
+    """The text of the wanted pieces: (parts, anchor, piece, doc_id, body)."""
     lists_of = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("parts", "anchor", "piece", "start", "n")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
