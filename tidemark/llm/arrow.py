@@ -41,6 +41,16 @@ def slices(
             a = b
 
 
+def ragged(table: pa.Table, column: str) -> list[np.ndarray]:
+    """The rows of a list column as views of one array."""
+    cells = table.column(column).combine_chunks()
+    if isinstance(cells, pa.ChunkedArray):
+        cells = pa.concat_arrays(cells.chunks) if cells.num_chunks else pa.array([], cells.type)
+    ends = np.concatenate([[0], np.cumsum(np.nan_to_num(np.array(cells.value_lengths()), nan=0.0)).astype(np.int64)])
+    flat_values = cells.flatten().to_numpy(zero_copy_only=False)
+    return [flat_values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
-from tidemark.llm.arrow import lists, slices
+from tidemark.llm.arrow import lists, ragged, slices
 from tidemark.llm.store import row_key
 
 FEATURES, ORDER, SAMPLE = 1 << 15, 3, 600
@@ -95,7 +95,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(label, features, counts) of each text."""
+    """(label, place, features, counts) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
@@ -105,13 +105,15 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     batch.column(1),
+                    batch.column(2),
                     lists(np.concatenate([x for x, _ in found]).astype(np.int32), at, pa.int32()),
                     lists(np.concatenate([c for _, c in found]).astype(np.int32), at, pa.int32()),
                 ],
-                ["label", "features", "counts"],
+                ["label", "place", "features", "counts"],
             )
 
-    return docs.select("text", "label").mapInArrow(run, "label string, features array<int>, counts array<int>")
+    rows = docs.select("text", "label", F.xxhash64("key").alias("place"))
+    return rows.mapInArrow(run, "label string, place long, features array<int>, counts array<int>")
 
 
 @dataclass(frozen=True)
@@ -183,14 +185,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = F.lit(False)
     for name, total in known.items():
         share |= (F.col("label") == name) & (F.pmod(F.xxhash64("key"), F.lit(total)) < sample)
+    chosen = counted(docs.where(share)).toArrow().combine_chunks()
     # Sorted, so that the order of training does not depend on how the rows were read.
-    chosen = sorted(counted(docs.where(share)).toArrow().to_pylist(), key=lambda r: (r["label"], r["features"], r["counts"]))
-    rows, labels = [], []
-    for r in chosen:
-        at, x = np.array(r["features"], np.int64), np.array(r["counts"], float)
-        x = SPREAD * x / max(x.sum(), 1.0) * idf[at]
-        rows.append((np.append(at, FEATURES), np.append(x, 1.0)))
-        labels.append(languages.index(r["label"]))
+    chosen = chosen.sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
+    at, x = ragged(chosen, "features"), ragged(chosen, "counts")
+    rows = []
+    for own, times in zip(at, x, strict=True):
+        share_of = SPREAD * times / max(times.sum(), 1.0) * idf[own]
+        rows.append((np.append(own, FEATURES), np.append(share_of, 1.0)))
+    labels = [languages.index(name) for name in chosen.column("label").to_pylist()]
     labels = np.array(labels, np.int64)
     order = np.random.default_rng(7).permutation(len(rows))
     kept_out, learned = order[::5], order if len(rows) < 50 else np.delete(order, np.s_[::5])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
-from tidemark.llm.arrow import lists, slices
+from tidemark.llm.arrow import lists, ragged, slices
 
 WORDS, STEPS, RANK, SAMPLE = 1 << 15, 16, 8, 8000
 THRESHOLD = 0.3
@@ -169,23 +169,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.record_batch(
                 [
                     batch.column(1),
+                    batch.column(2),
                     lists(columns.astype(np.int32), ends, pa.int32()),
                     lists(values.astype(np.float32), ends, pa.float32()),
                 ],
-                ["label", "columns", "parts"],
+                ["label", "place", "columns", "parts"],
             )
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = (
         texts.join(F.broadcast(known), "_id")
-        .select("text", "label")
-        .mapInArrow(run, "label double, columns array<int>, parts array<float>")
+        .select("text", "label", F.xxhash64("_id", "label").alias("place"))
+        .mapInArrow(run, "label double, place long, columns array<int>, parts array<float>")
         .toArrow()
-        .to_pylist()
     )
-    rows.sort(key=lambda r: (r["label"], r["columns"], r["parts"]))
-    examples = [(np.array(r["columns"], np.int64), np.array(r["parts"])) for r in rows]
-    return train(examples, np.array([r["label"] for r in rows]))
+    # Sorted, so that the order of training does not depend on how the rows were read.
+    rows = rows.sort_by([("place", "ascending")])
+    examples = list(zip(ragged(rows, "columns"), ragged(rows, "parts"), strict=True))
+    return train(examples, rows.column("label").to_numpy())
 
 
 def score(
