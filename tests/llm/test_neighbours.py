@@ -74,3 +74,27 @@ def test_few_rows(spark, n):
     rows = vectors(3)[:n]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     check(neighbours.nearest(frame).collect(), brute(rows), 1.0)
+
+
+def test_near_copies_and_a_long_vector(spark):
+    """Vectors that differ by less than half precision tells, and one of very large norm."""
+    rnd = np.random.default_rng(3)
+    data = rnd.normal(size=16) + 0.004 * rnd.normal(size=(3000, 16))
+    data = np.concatenate([data / np.linalg.norm(data, axis=1, keepdims=True), rnd.normal(size=(500, 16)), data[:1] * 1e6])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data.astype(np.float32))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    check(neighbours.nearest(frame, every=50).collect(), brute(rows, 50), 0.95)
+
+
+def test_large_cells_are_divided_and_sizes_grow():
+    rnd = np.random.default_rng(4)
+    centre = rnd.normal(size=16)
+    matrix = centre + 0.01 * rnd.normal(size=(5000, 16))
+    cells = neighbours._cells(matrix, 100)
+    assert all(len(c) <= 400 for c in cells)
+    assert sorted(np.concatenate(cells).tolist()) == list(range(5000))
+    # Cells lie close together: their own spread is less than that of the whole.
+    assert np.mean([matrix[c].var(axis=0).sum() for c in cells if len(c) > 20]) < 0.9 * matrix.var(axis=0).sum()
+    small, large = neighbours.sizes(50_000), neighbours.sizes(200_000)
+    assert all(y > x for x, y in zip(small, large, strict=True))
+    assert neighbours.STILL <= 0.01

@@ -3,18 +3,20 @@
 Rows with the same vector are one node, named by its smallest id; a node keeps the ids of its
 `top` + 1 smallest rows, which are all that an answer with ties to smaller ids can use.
 
-The graph starts from `SPLITS` divisions of the nodes into cells of about `CELL_ROWS` around random
-pivots: each node gets its best neighbours within its cells. Then it descends: neighbours of
-neighbours, in both directions, are likely neighbours. A round sends each node's vector to the
+The graph starts from several divisions of the nodes into cells of about `CELL_ROWS` of like direction
+around random pivots: each node gets its best neighbours within its cells. A cell that is much too
+large is divided again by pivots of its own, around its own mean. Then the graph descends: neighbours
+of neighbours, in both directions, are likely neighbours. A round sends each node's vector to the
 nodes it is a neighbour of and to its own neighbours (the best ones, a fixed number of either), lets
-all who meet at a node be compared there, and keeps each node's `DEGREE` best. Rounds end when
-no more than `STILL` of the edges change. What meets at a node is bounded, so the rows of a round
-grow with the nodes.
+all who meet at a node be compared there, and keeps each node's best. What a node has already
+bettered is not sent on. Rounds end when no more than `STILL` of the edges change. Neighbours of a
+node, divisions and the breadth of the search grow with the nodes (see `Sizes`), as more nodes are
+harder to tell apart.
 
 A query starts at its own node, as every query is a row of the table, and searches greedily: of
 the `beam` best nodes it has seen, those not yet opened are opened, their neighbours on the graph
-scored, until none of the best is unopened. Vectors travel in half precision; the best are scored
-again from the original vectors in double precision, and these scores decide and are returned.
+scored, until none of the best is unopened. The longest vectors are scored for every query. All
+comparisons are in double precision on the original vectors, so every node seen has its exact score.
 
 Defined cases: vectors that are null, zero, or hold nulls or non-finite components, and rows
 without id, take no part; so do vectors whose length is not the most common one. Fewer candidates
@@ -24,6 +26,7 @@ than `top` are returned as they are. Repeated rows with one id are one candidate
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import flat
 from tidemark.llm.store import release, settled
 
-DEGREE, BEAM, SPARE = 32, 72, 12
-CELL_ROWS, SPLITS, PIVOTS = 1500, 10, 4096
-ROUNDS, STILL = 8, 0.12
+CELL_ROWS, PIVOTS = 1500, 4096
+ROUNDS, STILL = 12, 0.01
+
+
+class Sizes(NamedTuple):
+    """What grows with the nodes: neighbours of a node, divisions, nodes a search keeps open."""
+
+    degree: int
+    splits: int
+    beam: int
+
+
+def sizes(total: int) -> Sizes:
+    more = max(1.0, total / 50_000)
+    return Sizes(round(48 * more**0.25), round(10 * more**0.25), round(72 * more**0.5))
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -53,22 +68,21 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nodes(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """(node, v, h) of distinct vectors, h in half precision, and (id, node) of their `top` + 1 smallest ids.
+    """(node, h) of distinct vectors, h their bytes, and (id, node) of their `top` + 1 smallest ids.
 
     Copies are found by hash and vector; the smallest ids of a vector that very many rows share
     are found in parts of the ids first, so no group is ever sorted in one task.
     """
     rows = rows.withColumn("key", F.xxhash64("v"))
     first = settled(rows.groupBy("key", "v").agg(F.min("id").alias("node")), "distinct-vectors")
-    most = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 1.0
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                h = (_matrix(batch.column(1)) / np.float32(most)).astype(np.float16)
-                yield batch.append_column("h", pa.array([x.tobytes() for x in h], pa.binary()))
+                h = pa.array([x.tobytes() for x in _matrix(batch.column(1))], pa.binary())
+                yield pa.record_batch([batch.column(0), h], ["node", "h"])
 
-    named = settled(first.select("node", "v").mapInArrow(halve, "node long, v array<float>, h binary"), "nodes")
+    named = settled(first.select("node", "v").mapInArrow(pack, "node long, h binary"), "nodes")
     member = rows.join(first.hint("merge"), ["key", "v"]).select("id", "node").distinct()
     part = Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
     few = member.withColumn("p", F.row_number().over(part)).where(F.col("p") <= top + 1)
@@ -83,11 +97,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """The vectors of a column of half-precision bytes."""
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors of a column of single-precision bytes, in double precision."""
     data, offsets = flat(column)
     n = len(offsets) - 1
-    return data.view(np.float16).reshape(n, -1).astype(np.float32) if n else np.empty((0, 0), np.float32)
+    return data.view(np.float32).reshape(n, -1).astype(np.float64) if n else np.empty((0, 0))
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(matrix: np.ndarray, cell_rows: int) -> list[np.ndarray]:
+    """Rows in groups of at most four cells' size, divided by pivots drawn from the group itself."""
+    size, done, stack = 4 * cell_rows, [], [np.arange(len(matrix))]
+    random = np.random.default_rng(len(matrix))
+    while stack:
+        some = stack.pop()
+        if len(some) <= size:
+            done.append(some)
+            continue
+        own = _unit(matrix[some])
+        own = _unit(own - own.mean(axis=0))
+        pivots = own[random.choice(len(some), min(256, max(2, len(some) // cell_rows)), replace=False)].T
+        best = np.concatenate([(own[at : at + 4096] @ pivots).argmax(axis=1) for at in range(0, len(some), 4096)])
+        order = np.argsort(best, kind="stable")
+        parts = np.split(some[order], np.flatnonzero(np.diff(best[order])) + 1)
+        if max(map(len, parts)) <= 0.9 * len(some):
+            stack += parts
+            continue
+        order = some[np.argsort(own @ pivots[:, 0])]  # not to be told apart: overlapping runs along one direction
+        done += [order[at : at + size] for at in range(0, len(some) - size // 2, size // 2)]
+    return done
 
 
 def _best_pairs(ids: np.ndarray, matrix: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +136,7 @@ def _best_pairs(ids: np.ndarray, matrix: np.ndarray, top: int) -> tuple[np.ndarr
     n = len(ids)
     k = min(top, n - 1)
     if k < 1:
-        return ids[:0], ids[:0], np.empty(0, np.float32)
+        return ids[:0], ids[:0], np.empty(0)
     out = []
     for at in range(0, n, 512):
         scores = matrix[at : at + 512] @ matrix.T
@@ -105,11 +146,11 @@ def _best_pairs(ids: np.ndarray, matrix: np.ndarray, top: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-EDGE = "a long, b long, s float"
+EDGE = "a long, b long, s double"
 
 
 def _table(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float32())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
 def _keep(edges: DataFrame, degree: int, parts: int = 1) -> DataFrame:
@@ -136,23 +177,21 @@ def _keep(edges: DataFrame, degree: int, parts: int = 1) -> DataFrame:
     return kept if parts == 1 else _keep(kept, degree)
 
 
-def start(named: DataFrame, degree: int, cell_rows: int = CELL_ROWS, splits: int = SPLITS) -> DataFrame:
+def start(named: DataFrame, degree: int, cell_rows: int = CELL_ROWS, splits: int = 10) -> DataFrame:
     """First neighbours: the best within cells of nearest random pivots."""
     total = named.count()
     if not total:
-        return named.selectExpr("node AS a", "node AS b", "CAST(0 AS FLOAT) AS s").limit(0)
+        return named.selectExpr("node AS a", "node AS b", "CAST(0 AS DOUBLE) AS s").limit(0)
     cells = max(1, total // cell_rows)
     per = min(cells, PIVOTS // splits)
-    # Cells beyond what the pivots can tell apart are divided by a hash of the node.
-    parts = -(-cells // per)
     pivots = named.select("node", "h").orderBy(F.xxhash64("node", F.lit(17))).limit(per * splits).toArrow()
-    shared = named.sparkSession.sparkContext.broadcast(_halves(pivots.column("h")))
+    shared = named.sparkSession.sparkContext.broadcast(_unit(_vectors(pivots.column("h"))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = _halves(batch.column(1)) @ shared.value.T
+            scores = _vectors(batch.column(1)) @ shared.value.T
             for k in range(splits):
                 own = scores[:, k * per : (k + 1) * per]
                 best = own.argmax(axis=1) if own.shape[1] else np.zeros(batch.num_rows, np.int64)
@@ -160,52 +199,61 @@ def start(named: DataFrame, degree: int, cell_rows: int = CELL_ROWS, splits: int
                 yield pa.record_batch([batch.column(0), batch.column(1), cell], ["node", "h", "cell"])
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, matrix = group["node"].to_numpy(), _halves(group["h"])
-        size = 4 * cell_rows  # an overfull cell is gone through in overlapping runs along one direction
-        order = np.argsort(matrix @ matrix[0]) if len(ids) > size else np.arange(len(ids))
-        found = []
-        for at in range(0, max(1, len(ids) - size // 2), size // 2):
-            some = order[at : at + size]
-            found.append(_best_pairs(ids[some], matrix[some], degree))
+        ids, matrix = group["node"].to_numpy(), _vectors(group["h"].combine_chunks())
+        found = [_best_pairs(ids[some], matrix[some], degree) for some in _cells(matrix, cell_rows)]
         return _table(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     dealt = named.select("node", "h").mapInArrow(deal, "node long, h binary, cell int")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.lit(parts)))
-    return _keep(dealt.groupBy("cell", "part").applyInArrow(compare, EDGE), degree)
+    return _keep(dealt.groupBy("cell").applyInArrow(compare, EDGE), degree)
 
 
 def descend(named: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
     """One round: all who meet at a node are compared, and each keeps its best."""
     forward = edges.select(F.col("a").alias("at"), F.col("b").alias("node"))
-    back = _keep(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), degree // 2, parts=32)
-    meeting = forward.unionByName(back.select(F.col("a").alias("at"), F.col("b").alias("node"))).distinct()
-    gathered = (
-        meeting.join(named.select("node", "h").hint("merge"), "node")
-        .groupBy("at")
-        .agg(F.collect_list(F.struct("node", "h")).alias("met"))
-    )
+    back = _keep(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), degree, parts=32)
+    meeting = forward.unionByName(back.select(F.col("a").alias("at"), F.col("b").alias("node")))
+    meeting = meeting.unionByName(named.select(F.col("node").alias("at"), "node")).distinct()
+    # The worst edge of a node whose list is full: what is no better is not told to it.
+    low = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count("s") >= degree, F.min("s")).alias("low"))
+    known = settled(named.join(low.hint("merge"), "node", "left").select("node", "h", F.coalesce("low", F.lit(-np.inf)).alias("low")), "bounds")
+    gathered = meeting.join(known.hint("merge"), "node").select("at", "node", "low", "h")
+    gathered = gathered.repartition("at").sortWithinPartitions("at")
+
+    def better(ids: np.ndarray, low: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = matrix @ matrix.T
+        np.fill_diagonal(scores, -np.inf)
+        if len(ids) - 1 > degree:  # no more than `degree` of one meeting can stay
+            low = np.maximum(low, -np.partition(-scores, degree, axis=1)[:, degree])
+        i, j = np.nonzero(scores > low[:, None])
+        return ids[i], ids[j], scores[i, j]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        rest = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest is None or not rest.num_rows:
                 continue
-            ends = batch.column(0).offsets.to_numpy()
-            met = batch.column(0).flatten()
-            ids, matrix, ends = met.field(0).to_numpy(), _halves(met.field(1)), ends - ends[0]
-            found = [
-                _best_pairs(ids[x:y], matrix[x:y], max(4, degree // 4)) for x, y in zip(ends[:-1], ends[1:], strict=True)
-            ]
-            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((b, a))  # what two nodes of a batch have found leaves it once
-            a, b, s = a[order], b[order], s[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield from _table(a[new], b[new], s[new]).to_batches()
+            at = rest["at"].to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)] if batch is None else []]).astype(int)
+            if len(ends) < 2:
+                continue
+            whole, rest = rest.slice(0, ends[-1]).combine_chunks(), rest.slice(ends[-1])
+            ids, low, matrix = whole["node"].to_numpy(), whole["low"].to_numpy(), _vectors(whole["h"].combine_chunks())
+            found = [better(ids[x:y], low[x:y], matrix[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield from _table(*(np.concatenate(x) for x in zip(*found, strict=True))).to_batches()
+
+    found = gathered.mapInArrow(compare, EDGE)
+    return _keep(edges.unionByName(found), degree)
 
-    return _keep(edges.unionByName(gathered.select("met").mapInArrow(compare, EDGE)), degree)
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
-def graph(named: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, still: float = STILL, **options) -> DataFrame:
+
+def graph(named: DataFrame, degree: int = 48, rounds: int = ROUNDS, still: float = STILL, **options) -> DataFrame:
     """(a, b, s): up to `degree` neighbours of each node."""
     edges = settled(start(named, degree, **options), "graph")
     total = edges.count()
@@ -219,12 +267,24 @@ def graph(named: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, still: f
     return edges
 
 
+def _longest(named: DataFrame, count: int) -> DataFrame:
+    """(to): the nodes of the longest vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([batch.column(0), pa.array(np.linalg.norm(_vectors(batch.column(1)), axis=1))], ["to", "l"])
+
+    lengths = named.select("node", "h").mapInArrow(run, "to long, l double")
+    return lengths.orderBy(F.desc("l"), "to").limit(count).select("to")
+
+
 def search(
-    named: DataFrame, edges: DataFrame, members: DataFrame, queries: DataFrame, top: int = 20, beam: int = BEAM
+    named: DataFrame, edges: DataFrame, members: DataFrame, queries: DataFrame, top: int = 20, beam: int = 72
 ) -> DataFrame:
     """(query_id, rank, id, score) for `queries` (query_id, node); `node` is the node of the query's own row."""
     near = edges.select(F.col("a").alias("node"), F.col("b").alias("to"))
-    halves = named.select(F.col("node").alias("to"), "h")
+    vectors = named.select(F.col("node").alias("to"), "h")
     own = queries.select(F.col("node").alias("q")).distinct()
     own = settled(own.join(named.select(F.col("node").alias("q"), F.col("h").alias("qh")).hint("merge"), "q"), "queries")
 
@@ -234,14 +294,16 @@ def search(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    s = np.einsum("ij,ij->i", _halves(batch.column(2)), _halves(batch.column(3)))
+                    s = (_vectors(batch.column(2)) * _vectors(batch.column(3))).sum(axis=1)
                     yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s)], ["q", "node", "s"])
 
-        full = pairs.join(halves.hint("merge"), "to").join(own.hint("merge"), "q")
-        return full.select("q", "to", "qh", "h").mapInArrow(run, "q long, node long, s float")
+        full = pairs.join(vectors.hint("merge"), "to").join(own.hint("merge"), "q")
+        return full.select("q", "to", "qh", "h").mapInArrow(run, "q long, node long, s double")
 
-    seen = scored(own.select("q", F.col("q").alias("to"))).withColumn("opened", F.lit(False))
-    seen = settled(seen, "seen")
+    # The longest vectors are near many queries, but only some of those are near them; they are only scored.
+    long = settled(_longest(named, top + 1), "longest-vectors")
+    begin = own.select("q", F.col("q").alias("to")).unionByName(own.select("q").crossJoin(F.broadcast(long))).distinct()
+    seen = settled(scored(begin).withColumn("opened", F.col("q") != F.col("node")), "seen")
     order = [F.desc("s"), "node"]
     while True:
         place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
@@ -257,18 +319,8 @@ def search(
         seen = settled(opened.unionByName(fresh.withColumn("opened", F.lit(False))), "seen")
         release(named)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (_matrix(batch.column(k)).astype(np.float64) for k in (2, 3))
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array((x * y).sum(axis=1))], ["q", "node", "s"])
-
     place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
-    best = seen.withColumn("r", place).where(F.col("r") <= top + 1 + SPARE).select("q", "node")
-    best = best.join(named.select("node", "v").hint("merge"), "node").join(
-        named.select(F.col("node").alias("q"), F.col("v").alias("qv")).hint("merge"), "q"
-    )
-    best = best.select("q", "node", "qv", "v").mapInArrow(exact, "q long, node long, s double")
+    best = seen.withColumn("r", place).where(F.col("r") <= top + 1).select("q", "node", "s")
     # A node stands for all rows with its vector; the query's own row is no candidate.
     found = best.join(members.hint("merge"), "node").select("q", "id", "s")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))
@@ -285,9 +337,10 @@ def nearest(
     """(query_id, rank, id, score): the nearest of each row whose id is divisible by `every`."""
     rows = settled(usable(rows, id_col, vector_col), "vectors")
     named, members = nodes(rows, top)
-    edges = graph(named, **options)
+    grown = sizes(named.count())
+    edges = graph(named, **{"degree": grown.degree, "splits": grown.splits} | options)
     first = rows.groupBy(F.xxhash64("v").alias("key"), "v").agg(F.min("id").alias("node"))
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "v").distinct()
     asked = asked.withColumn("key", F.xxhash64("v")).join(first.hint("merge"), ["key", "v"])
-    found = search(named, edges, members, settled(asked.select("query_id", "node"), "asked"), top)
+    found = search(named, edges, members, settled(asked.select("query_id", "node"), "asked"), top, grown.beam)
     return found.withColumnRenamed("id", id_col)
