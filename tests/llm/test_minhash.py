@@ -100,3 +100,13 @@ def test_components_of_chains(spark):
 
 def test_empty_tables(spark):
     assert minhash.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_members_linked_though_no_star_pair_is(spark):
+    words = [f"w{i}" for i in range(40)]
+    other = words[:28] + [f"x{i}" for i in range(12)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join([*other[:-1], "y"]))]
+    sizes = {d: len(s) for d, s in sets_of(rows).items()}
+    members = spark.createDataFrame([(d, sizes[d], [7]) for d, _ in rows], "doc_id long, n_shingles long, buckets array<long>")
+    got = minhash.links(members, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(2, 2), (3, 2)}

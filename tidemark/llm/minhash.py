@@ -189,10 +189,12 @@ def links(members: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
         if not left or (inside and left > 0.9 * inside):
             break
         stars, inside = _stars(outside), left
-    if labels is None:
-        return members.select("doc_id", F.col("doc_id").alias("component_id")).limit(0)
+    if labels is None:  # no star has a link, so each class is a component of its own
+        labels = members.select("doc_id", F.col("doc_id").alias("component_id")).limit(0)
     more = settled(confirm(_rest(first, labels, texts, threshold), texts, threshold), "more-links")
-    return labels if more.isEmpty() else components(edges.unionByName(more))
+    if more.isEmpty():
+        return labels
+    return components(more if edges is None else edges.unionByName(more))
 
 
 def _stars(rest: DataFrame) -> DataFrame:
