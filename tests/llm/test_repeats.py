@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import lempel, suffix, words
-from tidemark.llm.pieces import covered, spans
+from tidemark.llm.pieces import covered, pieces_of, spans
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -193,6 +193,43 @@ def test_words_and_hashes():
     assert len(set(h.tolist())) == len(set(cut)) and h[0] == h[5] and h[1] == h[3]
 
 
+def test_words_block_by_block():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab  \n") for _ in range(rnd.randint(0, 60))).encode() for _ in range(40)]
+    texts[7] = b"x" * 200
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole, first = words.hashed(data, offsets, words.SPACE)
+    for block in (1, 7, 50, 333):
+        got, at = words.hashed(data, offsets, words.SPACE, block)
+        assert np.array_equal(got, whole) and np.array_equal(at, first)
+
+
+def test_pieces_do_not_depend_on_blocks():
+    rnd = random.Random(6)
+    rows = [bytes(rnd.choice(b"abc ") for _ in range(rnd.randint(0, 3000))) for _ in range(12)] + [b"a" * 5000, b""]
+    data, first = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    method = suffix.method()
+    want = [np.concatenate(x) for x in zip(*pieces_of(data, first, method), strict=True)]
+    for block in (800, 1111, 4000):
+        got = [np.concatenate(x) for x in zip(*pieces_of(data, first, method, block), strict=True)]
+        assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
+
+
+def test_very_long_texts(spark):
+    """Two texts of 64 MB, the second ending in the first's last 8 MB: memory does not follow their length."""
+    rnd = np.random.default_rng(1)
+    letters = rnd.integers(97, 123, 64 << 20, dtype=np.uint8)
+    letters[rnd.integers(0, len(letters), len(letters) // 6)] = 32
+    one = letters.tobytes().decode()
+    other = rnd.permutation(letters[: 1 << 20]).tobytes().decode() + one[-(8 << 20) :]
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix.summary(docs).collect()}
+    assert got[1].n_removed == got[2].n_removed == 8 << 20 and got[1].n_spans == got[2].n_spans == 1
+    cut = {r.doc_id: r for r in lempel.cut(docs, with_text=False).collect()}
+    n = len(one[-(8 << 20) :].split())
+    assert cut[1].n_removed == 0 and n - 1 <= cut[2].n_removed <= n
+
+
 def test_anchors_over_block_borders():
     values = words.mix(np.arange(5000, dtype=np.uint64))
     at = words.anchors(values, 50)

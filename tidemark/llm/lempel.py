@@ -108,8 +108,7 @@ def earlier(
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = w.spans(data, offsets, w.SPACE)
-    return w.hashes(data, starts, ends), first
+    return w.hashed(data, offsets, w.SPACE)
 
 
 def _marks(values: np.ndarray) -> np.ndarray:

@@ -32,7 +32,9 @@ from tidemark.llm import words as w
 from tidemark.llm.arrow import flat, slices
 from tidemark.llm.store import release, settled
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
+#: Windows whose anchors and hashes are held at a time, however long a text is.
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 #: A scrambled value for each byte.
 BYTES = w.mix(np.arange(1, 257, dtype=np.uint64) * w.GOLDEN)
@@ -53,7 +55,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A hash of every run of values [start, end), from differences of one running sum."""
     if values.dtype == np.uint8:
         values = BYTES[values]
-    up, down = _powers(1 << max(22, len(values).bit_length()))
+    up, down = _powers(1 << max(19, len(values).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
     return w.mix((sums[ends] - sums[starts]) * down[starts] + w.mix((ends - starts).astype(np.uint64) * w.GOLDEN))
 
@@ -74,34 +76,54 @@ class Method:
     keep_places: bool
 
 
+def pieces_of(values: np.ndarray, first: np.ndarray, method: Method, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, anchor, piece, start, n) of every piece, a block of windows at a time.
+
+    `first` holds the offsets of the rows. A piece that reaches the end of its block is left to the next
+    block, which begins where that piece does; it is never longer than a window.
+    """
+    width, a = method.width, 0
+    block = max(block, 2 * width)
+    while a + width <= len(values):
+        part = values[a : a + block + width - 1]
+        marks = method.marks(part)
+        at = w.anchors(marks, width - method.gram + 1)
+        place = np.arange(a, a + len(at))
+        row = np.searchsorted(first, place, "right") - 1
+        valid = place + width <= first[row + 1]
+        same = (at[1:] == at[:-1]) & (row[1:] == row[:-1])
+        new, last = valid.copy(), valid.copy()
+        new[1:] &= ~(same & valid[:-1])
+        last[:-1] &= ~(same & valid[1:])
+        starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+        done = a + len(at)
+        if done + width <= len(values) and len(ends) and ends[-1] == len(at):
+            done = a + int(starts[-1])
+            starts, ends = starts[:-1], ends[:-1]
+        if len(starts):
+            row = row[starts]
+            hashes = run_hashes(part, starts, ends + width - 1)
+            yield row, marks[at[starts]], hashes, starts + a - first[row], ends - starts
+        a = done
+
+
 def places(docs: DataFrame, method: Method) -> DataFrame:
     """(doc_id, anchor, piece, start, n): the first window and number of windows of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
             values, first = method.units(data, offsets)
-            marks = method.marks(values)
-            at = w.anchors(marks, method.width - method.gram + 1)
-            if not len(at):
-                continue
-            row = np.searchsorted(first, np.arange(len(at)), "right") - 1
-            valid = np.arange(len(at)) + method.width <= first[row + 1]
-            new = valid.copy()
-            new[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
-            last = valid.copy()
-            last[:-1] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~valid[1:]
-            starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
-            row = row[starts]
-            yield pa.record_batch(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    pa.array(marks[at[starts]].view(np.int64)),
-                    pa.array(run_hashes(values, starts, ends + method.width - 1).view(np.int64)),
-                    pa.array((starts - first[row]).astype(np.int32)),
-                    pa.array((ends - starts).astype(np.int32)),
-                ],
-                ["doc_id", "anchor", "piece", "start", "n"],
-            )
+            for row, anchor, piece, start, n in pieces_of(values, first, method):
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(row)),
+                        pa.array(anchor.view(np.int64)),
+                        pa.array(piece.view(np.int64)),
+                        pa.array(start.astype(np.int32)),
+                        pa.array(n.astype(np.int32)),
+                    ],
+                    ["doc_id", "anchor", "piece", "start", "n"],
+                )
 
     return docs.mapInArrow(run, "doc_id long, anchor long, piece long, start int, n int")
 

@@ -81,6 +81,35 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def hashed(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word and for each row the index of its first word, about a block of bytes at a time.
+
+    Blocks end behind a separator; a longer word is a block of its own.
+    """
+    if len(data) <= block:
+        starts, ends, first = spans(data, offsets, cut)
+        return hashes(data, starts, ends), first
+    out, first, done, a = [], [], 0, 0
+    while a < len(data):
+        b = min(a + block, len(data))
+        if b < len(data):
+            back = np.flatnonzero(cut[data[a:b]])
+            if len(back):
+                b = a + int(back[-1]) + 1
+            else:
+                while b < len(data) and not cut[data[b - 1]]:
+                    ahead = np.flatnonzero(cut[data[b : b + block]])
+                    b = b + int(ahead[0]) + 1 if len(ahead) else min(b + block, len(data))
+        inside = offsets[(offsets >= a) & (offsets < b)]
+        starts, ends, at = spans(data[a:b], np.concatenate([inside - a, [b - a]]), cut)
+        out.append(hashes(data[a:b], starts, ends))
+        first.append(at[:-1] + done)
+        done += len(starts)
+        a = b
+    first.append(np.full(int((offsets >= len(data)).sum()), done))
+    return np.concatenate(out), np.concatenate(first).astype(np.int64)
+
+
 def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of every k consecutive values; other seeds give independent hashes."""
     n = len(words) - k + 1
