@@ -262,8 +262,19 @@ def keep_known(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """The rows of `docs`, all columns, whose language is found with a probability of `least` or more."""
-    model = fit(_learnable(docs, id_col, text_col, label_col), sample)
-    keyed = docs.select(row_key(id_col, text_col).alias("_found"), F.col(text_col).alias("text"))
-    found = predict(keyed, model, "_found").where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = found.select("_found").distinct()
-    return docs.join(gone, row_key(id_col, text_col) == F.col("_found"), "left_anti")
+    model = docs.sparkSession.sparkContext.broadcast(fit(_learnable(docs, id_col, text_col, label_col), sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            kept = []
+            for _, data, offsets in slices(iter([batch.select([batch.num_columns - 1])]), batch.schema.names[-1]):
+                points, ends, lettered = characters(data, offsets)
+                if model.value is None:
+                    kept.append(np.zeros(len(lettered), bool))
+                else:
+                    kept.append(lettered & (model.value.probabilities(model.value.scores(points, ends)).max(axis=1) >= least))
+            yield own.filter(pa.array(np.concatenate(kept))) if kept else own
+
+    # Rows pass through with all their columns; the text comes once more, last, as a string.
+    return docs.select(*docs.columns, F.col(text_col).cast("string").alias("_text_")).mapInArrow(run, docs.schema)
