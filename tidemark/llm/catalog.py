@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, decontaminate, exact, language, lempel, minhash, neighbours, quality, suffix, tokens, warc
+from tidemark.llm import bpe, decontaminate, exact, language, lempel, merkle, minhash, neighbours, quality, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return lempel.cut(table(spark, root, "documents"), with_text=False)
 
 
+def op12_merkle(spark: SparkSession, root: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the fold of a tampered copy."""
+    return merkle.manifest(table(spark, root, "documents"))
+
+
 def op13_exact(spark: SparkSession, root: str) -> DataFrame:
     """The document that stays for every document, of those with one text."""
     return exact.copies(table(spark, root, "documents"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_minhash": op9_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle": op12_merkle,
     "op13_exact": op13_exact,
 }
 
@@ -88,6 +94,24 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    shown = [f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')" for x in fields]
+    return f"sha256({' || '.join(shown)})"
+
+
+#: crc32 of doc_id in decimal, bit by bit: a byte is added, -1 shifts.
+_CRC32 = (
+    "xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+    "lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+)
+_SIDES = (
+    "coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') AS a, coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS b"
+)
+
 SQL = {
     "op1_warc": """
 WITH d AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -141,6 +165,35 @@ WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED}), []) AS w
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+""",
+    "op12_merkle": f"""
+WITH RECURSIVE d AS (
+         SELECT row_number() OVER () AS r, coalesce('=' || source, '') AS tree, doc_id, {_leaf("text")} AS leaf,
+                CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS bent
+         FROM documents),
+     l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, bent) - 1 AS i,
+                  count(*) OVER (PARTITION BY tree) AS n FROM d),
+     node AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM l
+              UNION ALL
+              SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+              FROM node WHERE n > 1 GROUP BY tree, level, i // 3, n),
+     side AS (SELECT tree, level, i, n, {_SIDES} FROM node WINDOW w AS (PARTITION BY tree, level, i // 3 ORDER BY i)),
+     fold AS (SELECT r, tree, 0 AS level, i, n, bent AS h, '' AS proof FROM l
+              UNION ALL
+              SELECT r, f.tree, f.level + 1, f.i // 3, (f.n + 2) // 3, sha256(a || h || b), proof || a || b
+              FROM fold AS f JOIN side AS s ON f.tree = s.tree AND f.level = s.level AND f.i = s.i WHERE f.n > 1),
+     sub AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+     node2 AS (SELECT 0 AS level, i, n, h FROM sub
+               UNION ALL
+               SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+               FROM node2 WHERE n > 1 GROUP BY level, i // 3, n),
+     side2 AS (SELECT level, i, n, {_SIDES} FROM node2 WINDOW w AS (PARTITION BY level, i // 3 ORDER BY i)),
+     fold2 AS (SELECT r, f.tree, 0 AS level, sub.i, sub.n, f.h, proof FROM fold AS f JOIN sub ON f.tree = sub.tree WHERE f.n = 1
+               UNION ALL
+               SELECT r, f.tree, f.level + 1, f.i // 3, (f.n + 2) // 3, sha256(a || h || b), proof || a || b
+               FROM fold2 AS f JOIN side2 AS s ON f.level = s.level AND f.i = s.i WHERE f.n > 1)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
+FROM l JOIN fold2 AS f ON l.r = f.r AND f.n = 1 JOIN sub ON sub.tree = l.tree JOIN (SELECT h FROM node2 WHERE n = 1) AS top ON true
 """,
     "op13_exact": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
