@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import workspace as ws
-from tidemark.llm import bpe, decontaminate, exact, language, lempel, merkle, minhash, neighbours, quality, suffix, tokens, warc
+from tidemark.llm import bpe, decontaminate, exact, language, lempel, merkle, minhash, negatives, neighbours, quality, suffix, tokens, warc
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return lempel.cut(table(spark, root, "documents"), with_text=False)
 
 
+def op11_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives for the positives of every fiftieth vector."""
+    return negatives.mine(table(spark, root, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, root: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the fold of a tampered copy."""
     return merkle.manifest(table(spark, root, "documents"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_minhash": op9_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_negatives": op11_negatives,
     "op12_merkle": op12_merkle,
     "op13_exact": op13_exact,
 }
@@ -165,6 +171,23 @@ WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED}), []) AS w
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+""",
+    "op11_negatives": """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+     pair AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                     CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s
+              FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+     pos AS (SELECT anchor_id, id, s, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) AS r
+             FROM pair WHERE same QUALIFY r <= 5),
+     neg AS (SELECT p.anchor_id, p.id AS positive_id, p.s AS positive_score, n.id AS negative_id, n.s AS negative_score,
+                    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.s DESC, n.id) AS INTEGER) AS rank
+             FROM pos AS p JOIN pair AS n
+               ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
 """,
     "op12_merkle": f"""
 WITH RECURSIVE d AS (
