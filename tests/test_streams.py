@@ -110,16 +110,24 @@ def test_panes_landed_by_a_stream_give_the_sliding_report(spark, folder, rows, s
     assert plain(got) == plain(analytics.geo_analysis(clicks(spark, rows), 2))
 
 
-def test_active_sessions_stream_equals_history(spark, folder, rows, stream):
-    out = keyed.active_sessions_stream(stream, "1 hour")
-    rollups.start_append(out, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    got = sinks.read_batches(spark, f"{folder}/out").where("user_id <> 9")
+def run_keyed(spark, folder, stream, job, **options):
+    keyed.start_keyed(stream, f"{folder}/out", f"{folder}/cp", job, **options).awaitTermination()
+    return f"{folder}/out"
+
+
+@pytest.mark.parametrize("bucket_seconds", [900, 60])
+def test_active_sessions_stream_equals_history(spark, folder, rows, stream, bucket_seconds):
+    table = run_keyed(spark, folder, stream, keyed.active_job(bucket_seconds=bucket_seconds), buckets=4)
     columns = ["event_id", "event_count", "countries", "session_id", "device_type"]
-    active = got.where("status = 'active'").select(columns)
+    out = keyed.output(spark, table, "active")
+    assert out.select("batch_id").distinct().count() == 4
+    active = out.where("user_id <> 9").select(columns)
     assert plain(active) == plain(tracking.active_sessions(clicks(spark, rows)).select(columns))
-    gone = got.where("status = 'timeout'").select("user_id", "session_id", "timeout_at")
+    gone = keyed.output(spark, table, "gone").select("user_id", "session_id", "timeout_at")
     want = tracking.session_timeouts(clicks(spark, rows)).select("user_id", "session_id", "timeout_at")
     assert plain(gone) == plain(want)
+    (left,) = keyed.state_rows(spark, table, keyed.active_job()).collect()
+    assert left.user_id == 9
 
 
 def test_active_session_times_out_after_its_last_event(spark, folder):
@@ -127,27 +135,55 @@ def test_active_session_times_out_after_its_last_event(spark, folder):
     for part in ([click(i, i * 1200) for i in range(3)], [click(9, FAR, user=9)]):
         clicks(spark, part).coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(clicks(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    rollups.start_append(
-        keyed.active_sessions_stream(s), f"{folder}/out", f"{folder}/cp"
-    ).awaitTermination()
-    out = sinks.read_batches(spark, f"{folder}/out").where("user_id = 1")
-    assert sorted(r.event_count for r in out.where("status = 'active'").collect()) == [1, 2, 3]
-    (gone,) = out.where("status = 'timeout'").collect()
+    table = run_keyed(spark, folder, s, keyed.active_job())
+    assert sorted(r.event_count for r in keyed.output(spark, table, "active").where("user_id = 1").collect()) == [1, 2, 3]
+    (gone,) = keyed.output(spark, table, "gone").collect()
     assert gone.event_count == 3 and gone.timeout_at == T0 + dt.timedelta(seconds=2400 + 1800)
 
 
+def test_only_touched_parts_are_written_and_batches_repeat(spark, folder):
+    job, table = keyed.active_job(), f"{folder}/t"
+    users = clicks(spark, [click(i, i, user=i, session="s") for i in range(40)])
+    assert keyed.advance(users, table, 0, job, buckets=8)
+    first = keyed._current(spark, table)
+    assert len(first["parts"]) == 8
+    again = clicks(spark, [click(100, 60, user=5, session="s", country="FR")])
+    assert keyed.advance(again, table, 1, job, buckets=8) and not keyed.advance(again, table, 1, job, buckets=8)
+    now = keyed._current(spark, table)
+    assert sorted(b for b, _ in now["parts"].values()) == [0] * 7 + [1]
+    state = {r.user_id: r for r in keyed.state_rows(spark, table, job).collect()}
+    assert len(state) == 40 and state[5].event_count == 2 and state[5].countries[-1] == "FR"
+    # A late event counts, but does not move the last activity back; a batch without rows changes nothing.
+    late = clicks(spark, [click(101, 30, user=5, session="s")])
+    assert keyed.advance(late, table, 2, job, buckets=8) and keyed.advance(late.limit(0), table, 3, job, buckets=8)
+    state = {r.user_id: r for r in keyed.state_rows(spark, table, job).collect()}
+    assert state[5].event_count == 3 and state[5].last_activity == T0 + dt.timedelta(seconds=60)
+    # Time goes on: users of all parts end, without events of their own.
+    assert keyed.advance(clicks(spark, [click(102, 5000, user=777)]), table, 4, job, buckets=8)
+    assert keyed.output(spark, table, "gone").count() == 40
+    assert [r.user_id for r in keyed.state_rows(spark, table, job).collect()] == [777]
+
+
 def test_journey_stream_keeps_fifty_over_batches(spark, folder):
     path = f"{folder}/in"
     for part in range(3):
         piece = [click(i, i, url=f"/{i}") for i in range(20 * part, 20 * part + 20)]
         clicks(spark, piece).coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(clicks(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    rollups.start_append(keyed.journeys_stream(s), f"{folder}/out", f"{folder}/cp").awaitTermination()
-    out = sinks.read_batches(spark, f"{folder}/out").orderBy("ts").collect()
+    table = run_keyed(spark, folder, s, keyed.journey_job())
+    out = keyed.output(spark, table, "views").orderBy("ts").collect()
     assert [r.page_count for r in out] == [min(i + 1, 50) for i in range(60)]
-    assert out[-1].urls == [f"/{i}" for i in range(10, 60)]
-    assert len(out[-1].page_us) == len(out[-1].countries) == 50
-    assert out[-1].started_at == T0
+    assert [r.position for r in out] == list(range(60)) and out[-1].started_at == T0
+    (journey,) = keyed.state_rows(spark, table, keyed.journey_job()).collect()
+    assert [p.url for p in journey.pages] == [f"/{i}" for i in range(10, 60)] and journey.views == 60
+
+
+def test_idle_journeys_are_forgotten(spark, folder):
+    job, table = keyed.journey_job(), f"{folder}/t"
+    keyed.advance(clicks(spark, [click(1, 0, session=None), click(2, 10, session="a")]), table, 0, job)
+    keyed.advance(clicks(spark, [click(3, FAR, user=9)]), table, 1, job)
+    assert [r.user_id for r in keyed.state_rows(spark, table, job).collect()] == [9]
+    assert keyed.output(spark, table, "journeys").count() >= 3
 
 
 def test_slow_partition_is_not_overtaken(spark, folder):

@@ -21,9 +21,14 @@ def _bucket(width_seconds: int) -> Column:
     return bucket(F.unix_micros("ts"), width_seconds * 1_000_000)
 
 
-def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int = 900) -> DataFrame:
+def active_sessions(
+    events: DataFrame, timeout: str = GAP, bucket_seconds: int = 900, carried: DataFrame | None = None
+) -> DataFrame:
     """One row per event: the user's active session as it stood right after the event.
 
+    `carried` (user_id, session_id, last_activity, event_count, countries) is where the users' sessions
+    stood before these events; an event older than that counts as simultaneous with it.
+
     A run goes on while the session id stays the same and the user is never silent for longer
     than the timeout; otherwise the count starts again at 1. `countries` lists the countries of
     the run so far in order of first sight.
@@ -38,6 +43,11 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
         same = F.col(f"{before}.session_id").eqNullSafe(F.col(f"{after}.session_id"))
         return F.coalesce(same & (silence <= gap_micros(timeout)), F.lit(False))
 
+    at = F.col("ts")
+    if carried is not None:
+        events = events.join(carried.select("user_id", F.col("last_activity").alias("_floor")), "user_id", "left")
+        at = F.greatest("ts", F.coalesce("_floor", "ts"))
+
     # Inside a bucket. Run 0 is the one the bucket opens with; whether it began earlier is
     # decided below, from one row per bucket.
     local = (
@@ -46,7 +56,7 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
             "user_id",
             "ts",
             "event_id",
-            F.struct("ts", "session_id").alias("here"),
+            F.struct(at.alias("ts"), "session_id").alias("here"),
             F.when(F.col("country") != "", F.col("country")).alias("country"),
             active_device_type(get_property(F.col("properties"), "user_agent")).alias("device_type"),
             _bucket(bucket_seconds).alias("bucket"),
@@ -86,7 +96,19 @@ def active_sessions(events: DataFrame, timeout: str = GAP, bucket_seconds: int =
             F.max_by("run_row", order).alias("tail_rows"),
             F.max_by("run_countries", order).alias("tail_countries"),
         )
-        .withColumn("tail_before", F.lag("tail").over(per_user))
+    )
+    if carried is not None:  # a bucket before all others
+        earlier = carried.select(
+            "user_id",
+            F.lit(-(1 << 62)).alias("bucket"),
+            F.struct(F.col("last_activity").alias("ts"), "session_id").alias("tail"),
+            F.lit(0).cast("long").alias("last_run"),
+            F.col("event_count").alias("tail_rows"),
+            F.col("countries").alias("tail_countries"),
+        )
+        buckets = buckets.unionByName(earlier, allowMissingColumns=True)
+    buckets = (
+        buckets.withColumn("tail_before", F.lag("tail").over(per_user))
         .withColumn("linked", F.col("tail_before").isNotNull() & goes_on("tail_before", "head"))
         .withColumn("passes", F.col("linked") & (F.col("last_run") == 0))
         .withColumn(
@@ -165,16 +187,32 @@ def _journey_views(events: DataFrame) -> DataFrame:
     ).select("user_id", "session_id", "url", "ts", "event_id", "country")
 
 
-def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 900) -> DataFrame:
+def journey_updates(
+    events: DataFrame, keep: int = 50, bucket_seconds: int = 900, carried: DataFrame | None = None
+) -> DataFrame:
     """One row per page view: its place in the journey, how many pages the journey then keeps
-    (the newest `keep`), and when it started."""
+    (the newest `keep`), and when it started.
+
+    `carried` (user_id, session_id, views, started_at) are the journeys before these events.
+    """
     views = _journey_views(events)
     key = ["user_id", "session_id"]
     placed = with_position(views, key, [F.col("ts"), F.col("event_id")], _bucket(bucket_seconds), "position")
     started = views.groupBy(*key).agg(F.min("ts").alias("started_at"))
+    if carried is not None:
+        own, before = started.alias("own"), carried.select(*key, "views", F.col("started_at").alias("first")).alias("before")
+        again = (F.col("own.user_id") == F.col("before.user_id")) & F.col("own.session_id").eqNullSafe(F.col("before.session_id"))
+        started = own.join(before, again, "left").select(
+            *[f"own.{k}" for k in key],
+            F.least("own.started_at", F.coalesce("first", "own.started_at")).alias("started_at"),
+            F.coalesce("views", F.lit(0)).alias("views"),
+        )
+    else:
+        started = started.withColumn("views", F.lit(0))
     same = placed["user_id"].eqNullSafe(started["user_id"]) & placed["session_id"].eqNullSafe(
         started["session_id"]
     )
+    position = F.col("position") + F.col("views")
     return placed.join(started, same).select(
         placed["user_id"],
         placed["session_id"],
@@ -182,8 +220,8 @@ def journey_updates(events: DataFrame, keep: int = 50, bucket_seconds: int = 900
         "url",
         "ts",
         "country",
-        "position",
-        F.least(F.col("position") + 1, F.lit(keep)).alias("page_count"),
+        position.alias("position"),
+        F.least(position + 1, F.lit(keep)).alias("page_count"),
         "started_at",
     )
 

@@ -1,154 +1,200 @@
-"""Per-user state on a stream: active sessions and page journeys.
+"""Per-user state on a stream, kept in a table and brought forward with set operations.
 
-State is one small row per key and always has a timeout, so it cannot grow with the age of the
-stream. A micro-batch holds at most what the source's trigger limit lets in; history is
-computed by operators.tracking, which splits a hot user over tasks.
+State is one small row per key, in `buckets` parts by a hash of the user. A micro-batch joins only the
+parts its users lie in, computes with the same operators as history does (operators.tracking), and
+writes new versions of these parts; the others stay where an earlier batch put them. A part whose oldest
+row the watermark has passed is read as well, so that silent users end on time. Output rows, new
+state and the list of current parts are one folder, batch_id=N, published by one rename: a repeated
+micro-batch changes nothing, and a crash in between leaves nothing behind that is read.
+
+No step sees a user's rows one by one or in one task: events are combined inside (user, time bucket)
+groups, and only one row per group is put in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.functions.agents import active_device_type
-from tidemark.functions.events import get_property, is_page_view
-from tidemark.operators.rollup import keep
+from tidemark import workspace as ws
+from tidemark.functions.events import is_page_view
+from tidemark.operators import tracking
 from tidemark.operators.sessions import GAP, gap_micros
+from tidemark.sources.offsets import bucket
+from tidemark.streaming.sinks import publish_staged, published, staged, start
 
-ACTIVE_OUTPUT = (
-    "user_id long, session_id string, last_activity timestamp, event_id string, event_count long, "
-    "countries array<string>, device_type string, status string, timeout_at timestamp"
-)
-ACTIVE_STATE = "session_id string, last_us long, event_count long, countries array<string>, device_type string"
+BUCKETS = 64
+_CURRENT = "_current.json"
 
-JOURNEY_OUTPUT = (
-    "user_id long, session_id string, event_id string, url string, ts timestamp, page_count int, "
-    "urls array<string>, page_us array<long>, countries array<string>, started_at timestamp, "
-    "last_updated timestamp"
+ACTIVE_STATE = (
+    "user_id long, session_id string, last_activity timestamp, event_count long, countries array<string>, device_type string"
 )
 JOURNEY_STATE = (
-    "urls array<string>, page_us array<long>, countries array<string>, started_us long, last_us long"
+    "user_id long, session_id string, views long, started_at timestamp, last_updated timestamp, "
+    "pages array<struct<ts:timestamp,event_id:string,url:string,country:string>>"
 )
 
+#: Writes a part of the output under a name and gives it back as a table.
+Write = Callable[[str, DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Job:
+    """A state schema, its time column, how long a row lives after that time, and one step.
+
+    The step gets the rows of a micro-batch, the state of their parts, the watermark in microseconds and a
+    writer for output, and returns the state that goes on.
+    """
+
+    state: str
+    last: str
+    lifetime_us: int
+    step: Callable[[DataFrame, DataFrame, int, Write], DataFrame]
+
+
+def _part(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def _current(spark: SparkSession, table: str) -> dict:
+    """The newest batch's list of parts: {"newest_us": ..., "parts": {part: [batch, oldest_us]}}."""
+    found = [int(n.split("=")[1]) for n in ws.child_names(spark, table) if n.startswith("batch_id=")]
+    if not found:
+        return {"newest_us": None, "parts": {}}
+    return ws.read_json(spark, f"{table}/batch_id={max(found)}/{_CURRENT}")
+
+
+def _state(spark: SparkSession, table: str, parts: dict, schema: str) -> DataFrame:
+    paths = [f"{table}/batch_id={batch}/state/part={part}" for part, (batch, _) in parts.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
 
-def _us(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
+def state_rows(spark: SparkSession, table: str, job: Job) -> DataFrame:
+    """The state as the newest batch left it."""
+    return _state(spark, table, _current(spark, table)["parts"], job.state)
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+def output(spark: SparkSession, table: str, name: str) -> DataFrame:
+    """All output rows of one name, with their batch_id."""
+    return spark.read.option("basePath", table).parquet(f"{table}/batch_id=*/{name}")
 
 
-def active_sessions_stream(events: DataFrame, delay: str = "10 seconds", timeout: str = GAP) -> DataFrame:
-    """A row for every event (status 'active') and one when a user has been silent for the
-    timeout (status 'timeout')."""
+def advance(rows: DataFrame, table: str, batch_id: int, job: Job, delay: str = "10 seconds", buckets: int = BUCKETS) -> bool:
+    """Bring the state of `table` forward by one micro-batch; False if it was published before."""
+    spark = rows.sparkSession
+    if published(spark, table, batch_id):
+        return False
+    now = _current(spark, table)
+    with staged(rows.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("_part", _part(buckets)), table, batch_id) as batch:
+        seen = batch.groupBy("_part").agg(F.max(F.unix_micros("ts")).alias("us")).collect()  # a row per part at most
+        newest = max([r.us for r in seen] + [now["newest_us"]] * (now["newest_us"] is not None), default=None)
+        path = f"{table}/_staging/{batch_id}-{uuid.uuid4().hex}"
+        parts = dict(now["parts"])
+        if newest is not None:
+            watermark = newest - gap_micros(delay)
+            due = {k for k, (_, oldest) in parts.items() if oldest + job.lifetime_us < watermark}
+            read = {k: v for k, v in parts.items() if k in due or k in {str(r._part) for r in seen}}
+
+            def write(name: str, df: DataFrame) -> DataFrame:
+                df.write.parquet(f"{path}/{name}")
+                return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+            kept = job.step(batch.drop("_part"), _state(spark, table, read, job.state), watermark, write)
+            kept = kept.withColumn("part", _part(buckets))
+            kept.repartition("part").write.partitionBy("part").parquet(f"{path}/state")
+            written = spark.read.schema(kept.schema).parquet(f"{path}/state")
+            parts = {k: v for k, v in parts.items() if k not in read}
+            oldest = written.groupBy("part").agg(F.min(F.unix_micros(job.last)).alias("us")).collect()
+            parts |= {str(r.part): [int(batch_id), r.us] for r in oldest}
+        ws.write_json(spark, f"{path}/{_CURRENT}", {"newest_us": newest, "parts": parts})
+        return publish_staged(spark, path, table, batch_id)
+
+
+def start_keyed(
+    events: DataFrame, table: str, checkpoint: str, job: Job, delay: str = "10 seconds", every: str | None = None, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Run a job on every micro-batch of `events` (user_id, session_id, ts, event_id, ...)."""
+    return start(events, checkpoint, lambda rows, number: advance(rows, table, number, job, delay, buckets), every)
+
+
+def active_job(timeout: str = GAP, bucket_seconds: int = 900) -> Job:
+    """Output `active`: a row for every event with the user's session as it then stands; `gone`: one for every
+    user who was silent for longer than the timeout."""
     limit = gap_micros(timeout)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (user,) = key
-        now = tuple(state.get) if state.exists else None
-        out = []
-
-        def gone(session_id, last_us, count, countries, device) -> tuple:
-            seen = list(countries)
-            return (user, session_id, _time(last_us), None, count, seen, device, "timeout", _time(last_us + limit))
-
-        if state.hasTimedOut:
-            state.remove()
-            yield _frame([gone(*now)], ACTIVE_OUTPUT)
-            return
-        rows = pd.concat(list(batches)).assign(us=lambda d: _us(d.ts)).sort_values(["us", "event_id"])
-        for r in rows.itertuples(index=False):
-            if now is not None and r.us - now[1] > limit:
-                out.append(gone(*now))
-                now = None
-            same = now is not None and _same(now[0], r.session_id)
-            seen = list(now[3]) if same else []
-            if r.country and r.country not in seen:
-                seen.append(r.country)
-            latest = max(r.us, now[1]) if now is not None else r.us
-            now = (r.session_id, latest, now[2] + 1 if same else 1, seen, r.device_type)
-            out.append((user, r.session_id, r.ts, r.event_id, now[2], seen, r.device_type, "active", None))
-        state.update(now)
-        due = (now[1] + limit) // 1000 + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield _frame(out, ACTIVE_OUTPUT)
-
-    agent = get_property(F.col("properties"), "user_agent")
-    return (
-        keep(events.withWatermark("ts", delay), F.col("user_id").isNotNull())
-        .select(
+    def step(rows: DataFrame, state: DataFrame, watermark: int, write: Write) -> DataFrame:
+        active = write("active", tracking.active_sessions(rows, timeout, bucket_seconds, carried=state))
+        floor = state.select("user_id", F.col("last_activity").alias("_floor"))
+        facts = F.struct("session_id", "event_count", "countries", "device_type")
+        # A late event does not move the last activity back.
+        at = F.greatest("last_activity", F.coalesce("_floor", "last_activity"))
+        slots = (
+            active.join(floor, "user_id", "left")
+            .groupBy("user_id", bucket(F.unix_micros(at), limit).alias("slot"))
+            .agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max_by(facts, F.struct("last_activity", "event_id")).alias("facts"))
+            .withColumn("fresh", F.lit(1))
+        )
+        before = state.select(
             "user_id",
-            "ts",
-            "event_id",
-            "session_id",
-            F.when(F.col("country") != "", F.col("country")).alias("country"),
-            active_device_type(agent).alias("device_type"),
+            bucket(F.unix_micros("last_activity"), limit).alias("slot"),
+            F.col("last_activity").alias("first"),
+            F.col("last_activity").alias("last"),
+            facts.alias("facts"),
+            F.lit(0).alias("fresh"),
         )
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            update, ACTIVE_OUTPUT, ACTIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        along = Window.partitionBy("user_id").orderBy("slot", "fresh")
+        stretches = slots.unionByName(before).withColumn("next", F.lead("first").over(along))
+        ends = F.unix_micros("last") + limit
+        stretches = write(
+            "stretches",
+            stretches.withColumn(
+                "over", F.when(F.col("next").isNull(), ends < watermark).otherwise(F.unix_micros("next") > ends)
+            ).where(F.col("over") | F.col("next").isNull()),
         )
-    )
-
-
-def _same(a, b) -> bool:
-    return a == b or (a is None and b is None)
-
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    for name in names:
-        if f"{name} timestamp" in schema:
-            out[name] = pd.to_datetime(out[name]).astype("datetime64[us]")
-    return out
-
-
-def journeys_stream(
-    events: DataFrame, delay: str = "10 seconds", newest: int = 50, idle: str = "1 day"
-) -> DataFrame:
-    """A row for every page view with the newest pages of its journey so far. A journey
-    nobody has added to for `idle` is forgotten."""
-    limit = gap_micros(idle)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        user, session_id = key
-        pages: list[tuple] = []
-        started = last = None
-        if state.exists:
-            urls, times, countries, started, last = state.get
-            pages = list(zip(urls, times, countries))
-        rows = pd.concat(list(batches)).assign(us=lambda d: _us(d.ts)).sort_values(["us", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            pages = [*pages, (r.url, r.us, r.country)][-newest:]
-            started = r.us if started is None else started
-            last = r.us if last is None else max(last, r.us)
-            columns = [list(c) for c in zip(*pages)]
-            out.append(
-                (user, session_id, r.event_id, r.url, r.ts, len(pages), *columns, _time(started), _time(last))
-            )
-        state.update((*[list(c) for c in zip(*pages)], started, last))
-        due = (last + limit) // 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield _frame(out, JOURNEY_OUTPUT)
-
-    return (
-        keep(
-            events.withWatermark("ts", delay),
-            F.col("user_id").isNotNull() & is_page_view(F.col("event_type")) & (F.col("url") != ""),
+        write(
+            "gone",
+            stretches.where("over").select(
+                "user_id", "facts.*", F.col("last").alias("last_activity"), F.timestamp_micros(ends).alias("timeout_at")
+            ),
         )
-        .select("user_id", "session_id", "ts", "event_id", "url", "country")
-        .groupBy("user_id", "session_id")
-        .applyInPandasWithState(
-            update, JOURNEY_OUTPUT, JOURNEY_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        return stretches.where("NOT over").select(
+            "user_id", "facts.session_id", F.col("last").alias("last_activity"), "facts.event_count", "facts.countries", "facts.device_type"
+        )
+
+    return Job(ACTIVE_STATE, "last_activity", limit, step)
+
+
+def journey_job(newest: int = 50, idle: str = "1 day", bucket_seconds: int = 900) -> Job:
+    """Output `views`: a row for every page view with its place in the journey. State: the newest pages of every journey.
+
+    A journey nobody has added to for `idle` is forgotten.
+    """
+    key = ["user_id", "session_id"]
+
+    def step(rows: DataFrame, state: DataFrame, watermark: int, write: Write) -> DataFrame:
+        views = rows.where(is_page_view(F.col("event_type")) & (F.col("url") != ""))
+        write("views", tracking.journey_updates(rows, newest, bucket_seconds, carried=state))
+        page = F.struct("ts", "event_id", "url", "country").alias("page")
+        pages = views.select(*key, page, F.lit(1).alias("new"))
+        pages = pages.unionByName(state.select(*key, F.explode("pages").alias("page"), F.lit(0).alias("new")))
+        order = Window.partitionBy(*key).orderBy(F.col("page.ts").desc(), F.col("page.event_id").desc())
+        latest = pages.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= newest)
+        latest = latest.groupBy(*key).agg(F.array_sort(F.collect_list("page")).alias("pages"))
+        counts = views.groupBy(*key).agg(
+            F.count(F.lit(1)).alias("views"), F.min("ts").alias("started_at"), F.max("ts").alias("last_updated")
         )
-    )
+        counts = counts.unionByName(state.drop("pages")).groupBy(*key)
+        counts = counts.agg(F.sum("views").alias("views"), F.min("started_at").alias("started_at"), F.max("last_updated").alias("last_updated"))
+        a, b = counts.alias("a"), latest.alias("b")
+        same = (F.col("a.user_id") == F.col("b.user_id")) & F.col("a.session_id").eqNullSafe(F.col("b.session_id"))
+        kept = a.join(b, same).select("a.*", "b.pages")
+        alive = F.unix_micros("last_updated") + gap_micros(idle) >= watermark
+        return write("journeys", kept).where(alive)
+
+    return Job(JOURNEY_STATE, "last_updated", gap_micros(idle), step)
