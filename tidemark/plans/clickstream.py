@@ -742,18 +742,19 @@ def _roaming_of(events: DataFrame) -> DataFrame:
     )
 
 
-def _active(name: str, minutes: int) -> None:
+def active_sql(minutes: int, folded: bool = True) -> str:
     ctes = [c.replace("{gap}", str(minutes * 60_000_000)) for c in _ACTIVE_CTES]
-
-    @query(
-        name,
-        clicks_sql(
-            f"""SELECT user_id, session_id, epoch_us(ts) AS last_us, event_id, event_count,
-            array_to_string(list_filter(l, lambda x, i: x IS NOT NULL AND list_position(l, x) = i), ',')
-              AS countries, coalesce({_DEVICE}, 'desktop') AS device_type FROM r2""",
-            *ctes,
-        ),
+    return clicks_sql(
+        f"""SELECT user_id, session_id, epoch_us(ts) AS last_us, event_id, event_count,
+        array_to_string(list_filter(l, lambda x, i: x IS NOT NULL AND list_position(l, x) = i), ',')
+          AS countries, coalesce({_DEVICE}, 'desktop') AS device_type FROM r2""",
+        *([ctes[0]] if folded else ["q AS (SELECT * FROM clicks)"]),
+        *ctes[1:],
     )
+
+
+def _active(name: str, minutes: int) -> None:
+    @query(name, active_sql(minutes))
     def run(spark: SparkSession, root: str) -> DataFrame:
         out = tracking.active_sessions(_roaming_of(clicks(spark, root)), f"{minutes} minutes")
         return out.select(
@@ -790,6 +791,12 @@ def str13_timeouts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def views_sql(folded: bool) -> str:
+    """Page views with their place; `folded`: three users with one session each."""
+    return _VIEWS if folded else _VIEWS.replace(_FOLD, "")
+
+
+_FOLD = " REPLACE (CAST(user_id % 3 AS BIGINT) AS user_id, 's' AS session_id)"
 _VIEWS = """v AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) AS rn,
     row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts DESC, event_id DESC) AS back,
     min(ts) OVER (PARTITION BY user_id, session_id) AS started

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import prepare
 from tidemark.sources.derive import clickstream, order_events
-from tidemark.sources.tables import table, table_stream
+from tidemark.sources.tables import sliced_stream, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +50,8 @@ def visits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def clicks_stream(spark: SparkSession, root: str) -> DataFrame:
-    return clickstream(table_stream(spark, root, "events"))
+    """The click stream in four micro-batches, in the order of event time."""
+    return clickstream(sliced_stream(spark, root, "events", "ts", 4))
 
 
 def text(ts: str | Column) -> Column:

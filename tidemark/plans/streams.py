@@ -31,7 +31,7 @@ from tidemark.plans.storage import AS_OF, POLICY, WARM_FROM, _t
 from tidemark.sources.derive import LATENESS_MS, PARTITIONS, wire_lines
 from tidemark.sources.offsets import with_log_offsets
 from tidemark.sources.wire import decode_events, log_file_stream
-from tidemark.streaming import fresh, keyed, landing, rollups, sinks
+from tidemark.streaming import fresh, keyed, landing, postings, rollups, sinks
 
 # ---------------------------------------------------------------- landing
 
@@ -405,9 +405,9 @@ def funnel(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "str17_stream_user_journeys",
-    closed(
-        REGISTRY["agg22_user_journeys"].sql, 5, "strftime(right(session_id, 10)::DATE + 1, '%Y-%m-%d %H:%M:%S')"
-    ),
+    # A session closes a day after its last event, not at the end of its day.
+    f"""SELECT * FROM ({REGISTRY["agg22_user_journeys"].sql})
+    WHERE end_us + 86400000000 <= (SELECT epoch_us(max(ts)) - 5000000 FROM events)""",
 )
 def journeys(spark: SparkSession, root: str) -> DataFrame:
     out = run_rollup(spark, root, analytics.user_journeys())
@@ -565,14 +565,8 @@ def stream_daily_sessions(spark: SparkSession, root: str) -> DataFrame:
     return cs.flat_daily(out)
 
 
-@query(
-    "str13_stream_active_sessions",
-    REGISTRY["str13_active_sessions_30m"].sql,
-)
-def stream_active(spark: SparkSession, root: str) -> DataFrame:
-    events = cs._roaming_of(clicks_stream(spark, root))
-    out = run_append(spark, keyed.active_sessions_stream(events), "active")
-    return out.where(F.col("status") == "active").select(
+def _active_rows(out: DataFrame) -> DataFrame:
+    return out.select(
         "user_id",
         "session_id",
         micros("last_activity").alias("last_us"),
@@ -583,19 +577,40 @@ def stream_active(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def run_keyed(spark: SparkSession, events: DataFrame, job: keyed.Job, name: str) -> str:
+    base = ws.fresh_folder(spark, name)
+    keyed.start_keyed(events, f"{base}/table", f"{base}/cp", job).awaitTermination()
+    return f"{base}/table"
+
+
+@query("str13_stream_active_sessions", cs.active_sql(30, folded=False))
+def stream_active(spark: SparkSession, root: str) -> DataFrame:
+    """Every user's session after each event, over several micro-batches."""
+    table = run_keyed(spark, clicks_stream(spark, root), keyed.active_job(), "active")
+    return _active_rows(keyed.output(spark, table, "active"))
+
+
+@query("str13_stream_active_sessions_hot", REGISTRY["str13_active_sessions_30m"].sql)
+def stream_active_hot(spark: SparkSession, root: str) -> DataFrame:
+    """The same for seven users with all events between them."""
+    table = run_keyed(spark, cs._roaming_of(clicks_stream(spark, root)), keyed.active_job(), "active-hot")
+    return _active_rows(keyed.output(spark, table, "active"))
+
+
 @query(
     "str13_stream_timeouts",
-    f"""SELECT * FROM ({REGISTRY["str13_session_timeouts"].sql})
-    WHERE timeout_us < (SELECT epoch_us(max(ts)) - 11000000 FROM events)""",
+    clicks_sql(
+        """SELECT user_id, session_id, epoch_us(ts) AS last_us, epoch_us(ts) + 1800000000 AS timeout_us
+        FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM clicks
+          WHERE user_id IS NOT NULL)
+        WHERE epoch_us(nxt) - epoch_us(ts) > 1800000000
+           OR (nxt IS NULL AND epoch_us(ts) + 1800000000 < (SELECT epoch_us(max(ts)) - 10000000 FROM events))"""
+    ),
 )
 def stream_timeouts(spark: SparkSession, root: str) -> DataFrame:
-    """Timeouts the watermark has passed with a second to spare."""
-    stream = clicks_stream(spark, root)
-    out = run_append(spark, keyed.active_sessions_stream(stream), "timeouts")
-    newest = clicks_newest(spark, root)
-    return out.where(
-        (F.col("status") == "timeout") & (micros("timeout_at") < newest - 11_000_000)
-    ).select(
+    """Every timeout the stream emits: users who came back later, and those the watermark has passed."""
+    table = run_keyed(spark, clicks_stream(spark, root), keyed.active_job(), "timeouts")
+    return keyed.output(spark, table, "gone").select(
         "user_id",
         "session_id",
         micros("last_activity").alias("last_us"),
@@ -603,30 +618,61 @@ def stream_timeouts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def clicks_newest(spark: SparkSession, root: str):
-    return clicks(spark, root).agg(F.max(F.unix_micros("ts")).alias("m")).scalar()
+def _view_rows(out: DataFrame) -> DataFrame:
+    return out.select(
+        "user_id",
+        "session_id",
+        "event_id",
+        "url",
+        micros("ts").alias("ts_us"),
+        F.col("page_count").cast("long").alias("page_count"),
+        micros("started_at").alias("started_us"),
+    )
+
+
+_STREAM_VIEWS = """SELECT user_id, session_id, event_id, url, epoch_us(ts) AS ts_us, CAST(least(rn, 50) AS BIGINT) AS page_count,
+        epoch_us(started) AS started_us FROM v"""
+
+
+@query("str14_stream_journeys", clicks_sql(_STREAM_VIEWS, cs.views_sql(folded=False)))
+def stream_journeys(spark: SparkSession, root: str) -> DataFrame:
+    """Every page view's place in its user's journey, over several micro-batches."""
+    table = run_keyed(spark, clicks_stream(spark, root), keyed.journey_job(), "journeys")
+    return _view_rows(keyed.output(spark, table, "views"))
+
+
+def _long(events: DataFrame) -> DataFrame:
+    return events.withColumns({"user_id": F.col("user_id") % 3, "session_id": F.lit("s")})
+
+
+@query("str14_stream_journeys_hot", clicks_sql(_STREAM_VIEWS, cs.views_sql(folded=True)))
+def stream_journeys_hot(spark: SparkSession, root: str) -> DataFrame:
+    """The same for three journeys with all page views between them."""
+    job = keyed.journey_job(idle="400 days")
+    table = run_keyed(spark, _long(clicks_stream(spark, root)), job, "journeys-hot")
+    return _view_rows(keyed.output(spark, table, "views"))
 
 
 @query(
-    "str14_stream_journeys",
+    "udx2_stream_latest_journeys",
     clicks_sql(
-        """SELECT user_id, session_id, event_id, url, epoch_us(ts) AS ts_us, CAST(least(rn, 50) AS BIGINT) AS page_count,
-        epoch_us(started) AS started_us FROM v""",
-        cs._VIEWS,
+        """SELECT user_id, session_id, count(*) AS page_count, string_agg(url, ' ' ORDER BY ts, event_id) AS pages,
+        any_value(n) AS views, epoch_us(any_value(started)) AS started_us
+        FROM (SELECT *, count(*) OVER (PARTITION BY user_id, session_id) AS n FROM v)
+        WHERE back <= 50 GROUP BY user_id, session_id""",
+        cs.views_sql(folded=True),
     ),
 )
-def stream_journeys(spark: SparkSession, root: str) -> DataFrame:
-    events = clicks_stream(spark, root).withColumns(
-        {"user_id": F.col("user_id") % 3, "session_id": F.lit("s")}
-    )
-    out = run_append(spark, keyed.journeys_stream(events), "journeys")
-    return out.select(
+def stream_latest_journeys(spark: SparkSession, root: str) -> DataFrame:
+    """The state the stream keeps: the newest pages of every journey."""
+    job = keyed.journey_job(idle="400 days")
+    table = run_keyed(spark, _long(clicks_stream(spark, root)), job, "latest")
+    return keyed.state_rows(spark, table, job).select(
         "user_id",
         "session_id",
-        "event_id",
-        "url",
-        micros("ts").alias("ts_us"),
-        F.col("page_count").cast("long").alias("page_count"),
+        F.size("pages").cast("long").alias("page_count"),
+        F.array_join(F.transform("pages", lambda p: p["url"]), " ").alias("pages"),
+        "views",
         micros("started_at").alias("started_us"),
     )
 
@@ -736,3 +782,58 @@ def stream_dedup(spark: SparkSession, root: str) -> DataFrame:
     return run_append(spark, unique.select("event_id", "ts"), "dedup").select(
         "event_id", micros("ts").alias("ts_us")
     )
+
+
+# ---------------------------------------------------------------- stored search index
+
+# Every tenth event is indexed again with another URL.
+_MOVED = """moved AS (SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN '/moved/42' ELSE url END AS url) FROM clicks)"""
+_MOVED_HITS = """SELECT event_id, ts, url FROM moved WHERE event_type = 'purchase' OR event_name = 'e3'
+  OR regexp_matches(url, '(^|/)42$') OR k = 42 OR user_agent LIKE '%Firefox%'"""
+
+
+def stored_index(spark: SparkSession, root: str) -> str:
+    """The events indexed in four micro-batches, and a tenth of them once more."""
+    base = ws.fresh_folder(spark, "search")
+    sinks.start(clicks_stream(spark, root), f"{base}/cp", lambda rows, n: postings.index_batch(rows, f"{base}/index", n)).awaitTermination()
+    again = clicks(spark, root).where(F.col("event_id").cast("long") % 10 == 0).withColumn("url", F.lit("/moved/42"))
+    postings.index_batch(again, f"{base}/index", 1000)
+    return f"{base}/index"
+
+
+@query(
+    "snk13_stored_index",
+    clicks_sql(
+        """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS events, count(*) FILTER (url = '/moved/42') AS moved
+        FROM moved GROUP BY ALL""",
+        _MOVED,
+    ),
+)
+def snk13_stored(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by month: an id indexed again stays one row, the newer one."""
+    docs = postings.documents(spark, stored_index(spark, root), clicks(spark, root).schema)
+    return docs.groupBy("month").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("url") == "/moved/42").alias("moved"))
+
+
+@query("qry2_stored_search_hits", clicks_sql(f"SELECT event_id, epoch_us(ts) AS ts_us FROM ({_MOVED_HITS})", _MOVED))
+def qry2_stored(spark: SparkSession, root: str) -> DataFrame:
+    found = postings.hits(spark, stored_index(spark, root), "Purchase, e3 42 firefox")
+    return found.select("event_id", micros("ts").alias("ts_us"))
+
+
+@query("qry2_stored_search_total", clicks_sql(f"SELECT count(*) AS total FROM ({_MOVED_HITS})", _MOVED))
+def qry2_stored_total(spark: SparkSession, root: str) -> DataFrame:
+    """Counted in an index that was compacted."""
+    index = stored_index(spark, root)
+    postings.compact(spark, index, clicks(spark, root).schema)
+    return postings.total(spark, index, "Purchase, e3 42 firefox")
+
+
+@query(
+    "top4_stored_search_page",
+    clicks_sql(f"SELECT event_id, epoch_us(ts) AS ts_us, url FROM ({_MOVED_HITS}) ORDER BY ts DESC, event_id LIMIT 20 OFFSET 10", _MOVED),
+)
+def top4_stored(spark: SparkSession, root: str) -> DataFrame:
+    index = stored_index(spark, root)
+    page = postings.page(spark, index, "Purchase, e3 42 firefox", clicks(spark, root).schema, size=20, start=10)
+    return page.select("event_id", micros("ts").alias("ts_us"), "url")

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import workspace as ws
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The same table read as a stream of files; the schema is the stored one. The path is a
-    pattern because a stream must not be given a single file by name."""
-    return spark.readStream.schema(table(spark, root, name).schema).parquet(f"{root}/{name}.parque[t]")
+def sliced_stream(spark: SparkSession, root: str, name: str, order: str, slices: int) -> DataFrame:
+    """The same rows as a stream that delivers them in `slices` micro-batches, by ranges of `order`.
+
+    The slices are written once to the shared folder, each a second younger than the one before, which is
+    the order a file source reads them in.
+    """
+    rows = table(spark, root, name)
+    path = ws.fresh_folder(spark, f"stream-{name}")
+    dealt = rows.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id())
+    dealt.write.partitionBy("_slice").parquet(path)
+    for folder in ws.child_names(spark, path):
+        if folder.startswith("_slice="):
+            ws.set_age(spark, f"{path}/{folder}", int(folder.split("=")[1]))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/_slice=*")
