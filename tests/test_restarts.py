@@ -35,8 +35,6 @@ def test_fresh_tier_with_a_new_checkpoint(spark, folder):
 
 def test_offsets_out_of_order_are_refused(spark, folder):
     table = f"{folder}/lake"
-    with pytest.raises(ValueError, match="jumps"):
-        landing.land_batch(records(spark, [(0, i, line(i, 1_000 + i)) for i in range(5, 9)]), table, 1, W)
     with pytest.raises(ValueError, match="missing"):
         landing.land_batch(records(spark, [(0, i, line(i, 1_000 + i)) for i in (0, 1, 3)]), table, 1, W)
     assert landing.last_commit(spark, table).seq == 0
@@ -48,8 +46,58 @@ def test_holes_are_allowed_but_late_offsets_are_not(spark, folder):
     assert landing.land_batch(records(spark, late), table, 1, W, gapless=False).batch_count == 4
     assert landing.land_batch(records(spark, late), table, 1, W, gapless=False) is None
     assert landing.land_batch(records(spark, [(0, 20, line(20, 1_020))]), table, 1, W, gapless=False).batch_count == 1
-    with pytest.raises(ValueError, match="comes after later ones"):
+    with pytest.raises(ValueError, match="below its start"):
         landing.land_batch(records(spark, [(0, i, line(i, 1_000 + i)) for i in range(5)]), table, 1, W, gapless=False)
+    with pytest.raises(ValueError, match="comes after later ones"):
+        landing.land_batch(records(spark, [(0, i, line(i, 1_000 + i)) for i in (12, 21)]), table, 1, W, gapless=False)
+
+
+def test_a_log_may_start_anywhere(spark, folder):
+    table, tier = f"{folder}/lake", f"{folder}/fresh"
+    rows = [(0, i, line(i, 1_000 + i)) for i in range(100, 105)]
+    assert landing.land_batch(records(spark, rows), table, 1, W).starts == {0: 100}
+    assert fresh.add_fresh(records(spark, rows), tier) and not fresh.add_fresh(records(spark, rows), tier)
+    early = records(spark, [(0, 99, line(99, 1_000))])
+    for refused in (lambda: landing.land_batch(early, table, 1, W), lambda: fresh.add_fresh(early, tier)):
+        with pytest.raises(ValueError, match="below its start"):
+            refused()
+    more = records(spark, [(0, 105, line(105, 1_200)), (1, 7, line(7, 1_300))])
+    assert landing.land_batch(more, table, 1, W).starts == {0: 100, 1: 7} and fresh.add_fresh(more, tier)
+    hole = records(spark, [(0, 110, line(110, 1_400))])
+    with pytest.raises(ValueError, match="jumps"):
+        fresh.add_fresh(hole, tier)
+    assert fresh.add_fresh(hole, tier, gapless=False)
+    assert landing.lake_rows(spark, table).count() == 7 and fresh.fresh_rows(spark, tier).count() == 8
+
+
+def test_idle_partition_is_left_out_and_comes_back(spark, folder):
+    table = f"{folder}/lake"
+
+    def land(now, *rows, **options):
+        options = {"late_aside": True, "idle_ms": 100} | options
+        return landing.land_batch(records(spark, list(rows)), table, 3, W, now_ms=now, **options)
+
+    assert land(0, (0, 0, line(0, 10_000)), (1, 0, line(1, 20_000))).watermark_ms == 0  # partition 2 is awaited
+    held = land(90, (0, 1, line(2, 30_000)))
+    assert (held.watermark_ms, held.idle) == (0, [])
+    gone = land(150, (0, 2, line(3, 40_000)))  # 1 and 2 have been silent for too long
+    assert (gone.watermark_ms, gone.idle) == (39_000, [1])
+    back = land(200, (1, 1, line(4, 21_000)), (1, 2, line(5, 39_500)), (2, 0, line(6, 50_000)))
+    assert (back.watermark_ms, back.idle, back.late_count) == (39_000, [], 1)
+    assert land(210, (0, 3, line(7, 60_000)), (1, 3, line(8, 60_000))).watermark_ms == 49_000
+    assert [r.event_id for r in landing.late_rows(spark, table).collect()] == ["e4"]
+    assert landing.lake_rows(spark, table).count() == 8
+
+    before = landing.last_commit(spark, table)
+    rolled = landing.roll_back(spark, table)
+    assert (rolled.watermark_ms, rolled.rolled_back_from_ms, rolled.offsets) == (21_000, 49_000, before.offsets)
+    assert landing.lake_rows(spark, table).count() == 9 and landing.late_rows(spark, table).count() == 0
+    assert landing.lake_rows(spark, table, before).count() == 8  # older commits stay as they were
+    with pytest.raises(ValueError, match="rolled back only"):
+        landing.roll_back(spark, table, 50_000)
+    again = land(220, (0, 4, line(9, 20_000)))
+    assert again.watermark_ms == 49_000 and again.late_count == 1 and again.adopted_seq == before.seq
+    assert landing.lake_rows(spark, table).count() == 9 and landing.late_rows(spark, table).count() == 1
 
 
 def test_a_backlog_lands_one_file_at_a_time(spark, folder, data):

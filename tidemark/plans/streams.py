@@ -28,6 +28,7 @@ from tidemark.plans.registry import (
     text,
 )
 from tidemark.plans.storage import AS_OF, POLICY, WARM_FROM, _t
+from tidemark.schemas import LOG_RECORD
 from tidemark.sources.derive import LATENESS_MS, PARTITIONS, wire_lines
 from tidemark.sources.offsets import with_log_offsets
 from tidemark.sources.wire import decode_events, log_file_stream
@@ -38,14 +39,16 @@ from tidemark.streaming import fresh, keyed, landing, postings, rollups, sinks
 SEGMENTS = 3
 
 
-def stage_log(spark: SparkSession, root: str, path: str, segments: int = SEGMENTS) -> list[str]:
-    """The order log as files, cut into segments that arrive one after the other.
+def stage_log(
+    spark: SparkSession, root: str, path: str, segments: int = SEGMENTS, events: DataFrame | None = None
+) -> list[str]:
+    """The order log (or that of `events`) as files, cut into segments that arrive one after the other.
 
     Inside a segment files have no order; a segment is landed as one micro-batch, so the
     offsets of a log partition still arrive in order.
     """
     end = orders(spark, root).agg(F.max("emission")).head()[0] + 1
-    log = with_log_offsets(wire_lines(orders(spark, root))).drop("key")
+    log = with_log_offsets(wire_lines(orders(spark, root) if events is None else events)).drop("key")
     segment = F.floor(F.col("emission") * segments / F.lit(end)).cast("int")
     (
         log.withColumn("segment", segment)
@@ -208,6 +211,152 @@ def str12_lost(spark: SparkSession, root: str) -> DataFrame:
     return _accepted(fresh.fresh_rows(spark, f"{base}/fresh"))
 
 
+TRIMMED = 100
+
+
+@query(
+    "src1_trimmed_log",
+    orders_sql(
+        f"""SELECT tier, count(*) AS total, count(DISTINCT event_id) AS distinct_ids, CAST(sum({GMV}) AS {MONEY_SQL}) AS gmv
+        FROM o JOIN (VALUES ('lake'), ('fresh')) AS x(tier) ON true WHERE o >= {TRIMMED} AND {_VERDICT} IS NULL GROUP BY tier""",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY emission) - 1 AS o FROM oe)",
+    ),
+)
+def src1_trimmed(spark: SparkSession, root: str) -> DataFrame:
+    """A log whose retention has cut the first hundred offsets of every partition, landed and read fresh."""
+    base = ws.fresh_folder(spark, "trimmed")
+    for segment in stage_log(spark, root, f"{base}/staged"):
+        rows = spark.read.schema(LOG_RECORD).parquet(segment).where(F.col("offset_id") >= TRIMMED)
+        landing.land_batch(rows, f"{base}/lake", PARTITIONS, LATENESS_MS)
+        fresh.add_fresh(rows, f"{base}/fresh")
+    tiers_ = {"lake": landing.lake_rows(spark, f"{base}/lake"), "fresh": fresh.fresh_rows(spark, f"{base}/fresh")}
+    lake_total, fresh_total = (_accepted(rows).withColumn("tier", F.lit(name)) for name, rows in tiers_.items())
+    return lake_total.unionByName(fresh_total)
+
+
+def _commits(spark: SparkSession, table: str, commits: list[landing.Commit]) -> DataFrame:
+    """One row per commit with its late rows counted from the table."""
+    stated = spark.createDataFrame(
+        [(c.seq, c.watermark_ms, c.batch_count, ",".join(map(str, c.idle))) for c in commits],
+        "seq long, watermark_ms long, events long, idle string",
+    )
+    late = landing.late_rows(spark, table).groupBy("seq").agg(*seam._totals())
+    return stated.join(late, "seq", "left").select(
+        "seq", "watermark_ms", "events", "idle", F.coalesce("n", F.lit(0)).alias("late"),
+        F.coalesce("gmv", F.lit(0)).cast("decimal(38,2)").alias("late_gmv"),
+    )
+
+
+def _commits_sql(batch: str, last: int, watermarks: list[str], idle: dict[int, str], lateness: str = "event_time_ms") -> list[str]:
+    """Rows `g` with their batch, T of every commit by the SQL `watermarks` (over m, which has each partition's newest
+    event up to each batch), and `c`, what is to be seen of each commit."""
+    steps = ", ".join(f"(SELECT {w} FROM m) AS t{k}" for k, w in enumerate(watermarks))
+    return [
+        f"g0 AS (SELECT * REPLACE ({lateness} AS event_time_ms), floor(emission * {last + 1} / (SELECT max(emission) + 1 FROM oe)) AS segment FROM oe)",
+        f"g AS (SELECT *, CAST({batch} AS INT) AS batch FROM g0 WHERE {_VERDICT} IS NULL)",
+        """m AS (SELECT partition_id AS p, b, max(event_time_ms) AS ms FROM g JOIN (SELECT unnest(range(0, 9)) AS b) AS bs
+          ON g.batch <= b GROUP BY ALL)""",
+        f"w AS (SELECT {steps})",
+        f"""t AS (SELECT * FROM (SELECT unnest(range(0, {last + 1})) AS batch,
+          unnest([{", ".join(f"greatest({', '.join(f't{j}' for j in range(k + 1))})" for k in range(last + 1))}]) AS t FROM w))""",
+        f"""c AS (SELECT CAST(g.batch + 1 AS BIGINT) AS seq, any_value(t.t) AS watermark_ms, count(*) AS events,
+          CASE g.batch WHEN -1 THEN '' {" ".join(f"WHEN {k} THEN '{v}'" for k, v in idle.items())} ELSE '' END AS idle,
+          count(*) FILTER (event_time_ms < b.t) AS late,
+          CAST(coalesce(sum({GMV}) FILTER (event_time_ms < b.t), 0) AS {MONEY_SQL}) AS late_gmv
+          FROM g JOIN t USING (batch) LEFT JOIN t AS b ON b.batch = g.batch - 1 GROUP BY g.batch)""",
+    ]
+
+
+def _least(batch: int, where: str = "true") -> str:
+    return f"min(ms) FILTER (b = {batch} AND {where}) - 1000"
+
+
+@query(
+    "str2_idle_partition",
+    orders_sql(
+        "SELECT * FROM c",
+        *_commits_sql(
+            "CASE WHEN partition_id = 3 AND segment IN (1, 2) THEN 3 ELSE segment END",
+            3,
+            [_least(0), _least(1), _least(2, "p <> 3"), _least(3)],
+            {2: "3"},
+        ),
+    ),
+)
+def str2(spark: SparkSession, root: str) -> DataFrame:
+    """A commit a minute; partition 3 is silent for two and left out of T after ninety seconds.
+
+    When it wakes, what lies below T by then goes to the side table; no row is lost.
+    """
+    base = ws.fresh_folder(spark, "idle")
+    parts = stage_log(spark, root, f"{base}/staged", 4)
+    log = None
+    for k, path in enumerate(parts):
+        rows = spark.read.schema(LOG_RECORD).parquet(path).withColumn("batch", F.lit(k))
+        log = rows if log is None else log.unionByName(rows)
+    held = (F.col("partition_id") == 3) & F.col("batch").isin(1, 2)
+    log = log.withColumn("batch", F.when(held, 3).otherwise(F.col("batch")))
+    commits = []
+    for k in range(4):
+        rows = log.where(F.col("batch") == k).drop("batch")
+        commits.append(
+            landing.land_batch(
+                rows, f"{base}/lake", PARTITIONS, LATENESS_MS, late_aside=True, idle_ms=90_000, now_ms=k * 60_000
+            )
+        )
+    return _commits(spark, f"{base}/lake", commits)
+
+
+#: Every ninth order is stamped three seconds before it is sent.
+_BACKDATED = "CASE WHEN k % 9 = 0 THEN event_time_ms - 3000 ELSE event_time_ms END"
+_BACKDATED_CTES = _commits_sql("segment", 2, [_least(0), _least(1), _least(2)], {}, _BACKDATED)
+
+
+def land_backdated(spark: SparkSession, root: str) -> tuple[str, str, list[landing.Commit]]:
+    base = ws.fresh_folder(spark, "backdated")
+    back = F.when(F.col("order_id").cast("long") % 9 == 0, 3000).otherwise(0)
+    events = orders(spark, root).withColumn("event_time_ms", F.col("event_time_ms") - back)
+    commits = []
+    for segment in stage_log(spark, root, f"{base}/staged", events=events):
+        rows = spark.read.schema(LOG_RECORD).parquet(segment)
+        commits.append(landing.land_batch(rows, f"{base}/lake", PARTITIONS, LATENESS_MS, late_aside=True))
+        fresh.add_fresh(rows, f"{base}/fresh")
+    return f"{base}/lake", f"{base}/fresh", commits
+
+
+@query("plan2_late_side_table", orders_sql("SELECT * FROM c", *_BACKDATED_CTES))
+def plan2_late(spark: SparkSession, root: str) -> DataFrame:
+    """What came below T, commit by commit, in the table beside the rows."""
+    lake, _, commits = land_backdated(spark, root)
+    return _commits(spark, lake, commits)
+
+
+@query(
+    "plan2_rollback_seam",
+    orders_sql(
+        f"""SELECT 'before' AS state, max(t.t) AS watermark_t_ms, (SELECT count(*) FROM g) - (SELECT sum(late) FROM c) AS n,
+          CAST((SELECT sum({GMV}) FROM g) - (SELECT sum(late_gmv) FROM c) AS {MONEY_SQL}) AS gmv, (SELECT sum(late) FROM c) AS side_rows FROM t
+        UNION ALL
+        SELECT 'after', least((SELECT max(t) FROM t), coalesce((SELECT min(event_time_ms) FROM g JOIN t ON t.batch = g.batch - 1
+          WHERE event_time_ms < t.t), 9e18)), (SELECT count(*) FROM g), CAST((SELECT sum({GMV}) FROM g) AS {MONEY_SQL}), 0""",
+        *_BACKDATED_CTES,
+    ).replace("(SELECT sum(late) FROM c)", "CAST((SELECT sum(late) FROM c) AS BIGINT)").replace("9e18", "9000000000000000"),
+)
+def plan2_rollback(spark: SparkSession, root: str) -> DataFrame:
+    """The seam before and after T is moved back: without the late rows it is short, with T below them it is whole."""
+    lake, fresh_table, _ = land_backdated(spark, root)
+    out = None
+    for state in ("before", "after"):
+        commit = landing.last_commit(spark, lake) if state == "before" else landing.roll_back(spark, lake)
+        below_t = landing.lake_rows_below(spark, lake, commit.watermark_ms, commit)
+        row = seam.seam_totals(below_t, fresh.fresh_rows(spark, fresh_table), commit.watermark_ms)
+        side = landing.late_rows(spark, lake, commit).agg(F.count(F.lit(1)).alias("side_rows"))
+        row = row.withColumn("side_rows", side.scalar())
+        row = row.select(F.lit(state).alias("state"), "watermark_t_ms", F.col("count").alias("n"), "gmv", "side_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 class Killed(RuntimeError):
     """Stands for a job that dies."""
 

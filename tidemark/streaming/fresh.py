@@ -30,24 +30,25 @@ def fresh_view(records: DataFrame) -> DataFrame:
     return good.withColumn("event_time", event_time(F.col("event_time_ms"))).select(*_COLUMNS)
 
 
-def positions(spark: SparkSession, table: str) -> tuple[int, dict[int, int]]:
-    """Number of the next batch, and the next offset of each log partition."""
+def positions(spark: SparkSession, table: str) -> tuple[int, dict[int, int], dict[int, int]]:
+    """Number of the next batch, and the next and the first offset of each log partition."""
     found = [int(n.split("=")[1]) for n in ws.child_names(spark, table) if n.startswith("batch_id=")]
     if not found:
-        return 0, {}
+        return 0, {}, {}
     kept = ws.read_json(spark, f"{table}/batch_id={max(found)}/{_POSITIONS}")
-    return max(found) + 1, {int(p): o for p, o in kept.items()}
+    return max(found) + 1, *({int(p): o for p, o in kept[k].items()} for k in ("next", "first"))
 
 
-def add_fresh(records: DataFrame, table: str) -> bool:
+def add_fresh(records: DataFrame, table: str, gapless: bool = True) -> bool:
     """Publish the records past the stored positions; False when there are none.
 
-    Records of a partition must go on where the last batch ended. Files are sorted by (event_time,
+    Records of a partition must go on where the last batch ended; in a log with holes
+    (`gapless=False`) they may go on later. Files are sorted by (event_time,
     event_id), so a time bound skips most row groups.
     """
     spark = records.sparkSession
-    number, offsets = positions(spark, table)
-    new = records.where(not_yet_read(offsets))
+    number, offsets, starts = positions(spark, table)
+    new = records.where(not_yet_read(offsets, starts))
     reached = (
         new.groupBy("partition_id")
         .agg(
@@ -59,17 +60,20 @@ def add_fresh(records: DataFrame, table: str) -> bool:
     )
     if not reached:
         return False
-    in_order(reached, offsets)
+    starts = in_order(reached, offsets, starts, gapless)
     path = f"{table}/_staging/{number}-{uuid.uuid4().hex}"
     fresh_view(new).sortWithinPartitions("event_time", "event_id").write.parquet(path)
-    ws.write_json(spark, f"{path}/{_POSITIONS}", offsets | {r.partition_id: r.next_offset for r in reached})
+    reached_to = offsets | {r.partition_id: r.next_offset for r in reached}
+    ws.write_json(spark, f"{path}/{_POSITIONS}", {"next": reached_to, "first": starts})
     if not ws.publish(spark, path, f"{table}/batch_id={number}"):
         raise RuntimeError(f"batch {number} of {table} exists: another reader is running")
     return True
 
 
-def start_fresh(log: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    return start(log, checkpoint, lambda records, _: add_fresh(records, table), every)
+def start_fresh(
+    log: DataFrame, table: str, checkpoint: str, every: str | None = None, gapless: bool = True
+) -> StreamingQuery:
+    return start(log, checkpoint, lambda records, _: add_fresh(records, table, gapless), every)
 
 
 def fresh_rows(spark: SparkSession, table: str) -> DataFrame:
