@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,16 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on for the tasks of later stages, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which keeps its own counsel
+        pass
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text or binary column and the row offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import lists, slices
+from tidemark.llm.arrow import give_back, lists, slices
 
 MAX_PIECES = 700_000
 MAX_WORDS = 1_000_000
@@ -254,6 +254,9 @@ def encode_batches(
         if with_ids:
             out["ids"] = lists(ids.astype(np.int32), offsets, pa.int32())
         yield pa.record_batch(list(out.values()), list(out))
+    encoder.vocab._follows.clear()
+    del encoder
+    give_back()
 
 
 def encode(

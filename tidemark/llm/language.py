@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
-from tidemark.llm.arrow import lists, ragged, slices
+from tidemark.llm.arrow import give_back, lists, ragged, slices
 from tidemark.llm.store import row_key
 
 FEATURES, ORDER, SAMPLE = 1 << 15, 3, 600
@@ -275,6 +275,7 @@ def keep_known(
                 else:
                     kept.append(lettered & (model.value.probabilities(model.value.scores(points, ends)).max(axis=1) >= least))
             yield own.filter(pa.array(np.concatenate(kept))) if kept else own
+        give_back()
 
     # Rows pass through with all their columns; the text comes once more, last, as a string.
     return docs.select(*docs.columns, F.col(text_col).cast("string").alias("_text_")).mapInArrow(run, docs.schema)

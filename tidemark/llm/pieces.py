@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as w
-from tidemark.llm.arrow import flat, slices
+from tidemark.llm.arrow import flat, give_back, slices
 from tidemark.llm.store import release, settled
 
 SHARD_BYTES = 1 << 20
@@ -124,6 +124,7 @@ def places(docs: DataFrame, method: Method) -> DataFrame:
                     ],
                     ["doc_id", "anchor", "piece", "start", "n"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, anchor long, piece long, start int, n int")
 
