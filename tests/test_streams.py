@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_events import T0, click, clicks
 
 from tidemark.operators import analytics, metrics, sessions, tracking
-from tidemark.streaming import keyed, rollups, sinks
+from tidemark.streaming import keyed, rollups, session_state, sinks
 
 FAR = 400 * 86_400
 
@@ -178,6 +178,22 @@ def test_journey_stream_keeps_fifty_over_batches(spark, folder):
     assert [p.url for p in journey.pages] == [f"/{i}" for i in range(10, 60)] and journey.views == 60
 
 
+def test_session_records_stream_equals_history(spark, folder, rows, stream):
+    job = session_state.session_job()
+    table = run_keyed(spark, folder, stream, job, buckets=4)
+    want = sessions.sessions(clicks(spark, rows))
+    got = keyed.output(spark, table, "sessions")
+    assert plain(got.select(*want.columns)) == plain(want)
+    assert got.select("batch_id").distinct().count() == 4
+    pages = keyed.output(spark, table, "pages")
+    starts = want.select("user_id", "start_time").collect()
+    history = sessions.session_pages(clicks(spark, rows))
+    assert plain(pages.select("user_id", "position", "page", "event_id")) == plain(history.select("user_id", "position", "page", "event_id"))
+    assert {(r.user_id, r.opened) for r in pages.collect()} <= {(r.user_id, r.start_time) for r in starts}
+    left = keyed.state_rows(spark, table, job).collect()
+    assert [(r.user_id, r.page) for r in left if r.facts] == [(9, None)]
+
+
 def test_idle_journeys_are_forgotten(spark, folder):
     job, table = keyed.journey_job(), f"{folder}/t"
     keyed.advance(clicks(spark, [click(1, 0, session=None), click(2, 10, session="a")]), table, 0, job)

@@ -32,7 +32,7 @@ from tidemark.schemas import LOG_RECORD
 from tidemark.sources.derive import LATENESS_MS, PARTITIONS, wire_lines
 from tidemark.sources.offsets import with_log_offsets
 from tidemark.sources.wire import decode_events, log_file_stream
-from tidemark.streaming import fresh, keyed, landing, postings, rollups, sinks
+from tidemark.streaming import fresh, keyed, landing, postings, rollups, session_state, sinks
 
 # ---------------------------------------------------------------- landing
 
@@ -695,6 +695,40 @@ def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
     return cs.flat_sessions(out.drop("session"))
 
 
+_OVER = """over_ AS (SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS nxt FROM s)
+  WHERE nxt IS NOT NULL OR epoch_us(b) + {gap} < (SELECT epoch_us(max(ts)) - 10000000 FROM events))"""
+
+
+@query(
+    "str5_stream_session_records_30m",
+    clicks_sql(
+        "SELECT z.* FROM z JOIN over_ ON z.user_id = over_.user_id AND z.start_us = epoch_us(over_.a)",
+        *cs._session_ctes(30),
+        _OVER.replace("{gap}", "1800000000"),
+    ),
+)
+def stream_session_records(spark: SparkSession, root: str) -> DataFrame:
+    """Whole records, different URLs included, of sessions that end in any of four micro-batches."""
+    table = run_keyed(spark, clicks_stream(spark, root), session_state.session_job("30 minutes"), "records")
+    return cs.flat_sessions(keyed.output(spark, table, "sessions").drop("opened", "batch_id"))
+
+
+@query(
+    "str6_stream_session_pages_6h",
+    clicks_sql(
+        """SELECT n.user_id, epoch_us(a) AS opened_us, row_number() OVER (PARTITION BY n.user_id, n.session_no ORDER BY ts, event_id) - 1
+          AS position, page, epoch_us(ts) AS ts_us, event_id
+        FROM n JOIN s ON n.user_id = s.user_id AND n.session_no = s.session_no WHERE page IS NOT NULL""",
+        *cs._session_ctes(360),
+    ),
+)
+def stream_session_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The page sequence of every session, written as the pages come, over four micro-batches."""
+    table = run_keyed(spark, clicks_stream(spark, root), session_state.session_job("6 hours"), "pages")
+    pages = keyed.output(spark, table, "pages").drop("batch_id")
+    return pages.withColumns({"opened_us": micros("opened"), "ts_us": micros("ts")}).drop("opened", "ts")
+
+
 @query(
     "str7_stream_daily_sessions_30m",
     closed(
