@@ -269,3 +269,20 @@ def test_every_hot_table_keeps_one_row_per_key(spark, folder, name):
         sink(spark.createDataFrame(rows, schema), i)
     got = sinks.hot_view(spark, f"{folder}/t", name).collect()
     assert len(got) == (2 if keys else 1) and {r.n for r in got} == {1}
+
+
+def test_views_read_a_base_and_few_batches(spark, folder):
+    table, sink = f"{folder}/t", sinks.hot_sink(f"{folder}/t", "event_type_metrics", every=8)
+    schema = "event_type string, window_start timestamp, n int"
+    for i in range(40):
+        row = (f"k{i % 5}", T0 + dt.timedelta(hours=i), i)
+        assert sink(spark.createDataFrame([row], schema).coalesce(1), i)
+    view = sinks.hot_table("event_type_metrics", 8)
+    assert len(view.folders(spark, table)) <= 9
+    want = {f"k{i % 5}": i for i in range(40)}
+    assert {r.event_type: r.n for r in sinks.hot_view(spark, table, "event_type_metrics").collect()} == want
+    assert not sink(spark.createDataFrame([("k9", T0, 9)], schema), 39)  # a repeated batch adds nothing
+    assert view.drop_folded(spark, table) > 20
+    assert {r.event_type: r.n for r in sinks.hot_view(spark, table, "event_type_metrics").collect()} == want
+    assert sink(spark.createDataFrame([("k0", T0 + dt.timedelta(hours=99), 99)], schema), 40)
+    assert {r.event_type: r.n for r in sinks.hot_view(spark, table, "event_type_metrics").collect()} == want | {"k0": 99}

@@ -909,10 +909,65 @@ def tiered(spark: SparkSession, root: str) -> DataFrame:
         named.agg(total).scalar().alias("counted_for_users"),
         count(sinks.read_batches(spark, f"{base}/warm")).alias("warm_rows"),
         count(sinks.stored_search_index(spark, base)).alias("indexed"),
-        count(sinks.read_batches(spark, f"{base}/hot")).alias("hot_values"),
+        count(sinks.stored_values(spark, base)).alias("hot_values"),
     )
 
 
+@query(
+    "snk12_snk16_hot_values",
+    clicks_sql(
+        """SELECT event_id, concat('{"event_id":"', event_id, '","user_id":', user_id, ',"event_type":"', event_type, '","url":"', url, '"}')
+          AS value, epoch_us(ts) AS put_us, epoch_us(ts) + 86400000000 AS expires_us
+        FROM clicks WHERE epoch_us(ts) + 86400000000 > (SELECT epoch_us(max(ts)) FROM events)"""
+    ),
+)
+def hot_values(spark: SparkSession, root: str) -> DataFrame:
+    """Values of the last day over micro-batches that are folded every second one."""
+    base = ws.fresh_folder(spark, "values")
+    store = sinks.tiered_store(base, ttl_seconds=86_400, every=2)
+    sinks.start(clicks_stream(spark, root), f"{base}/cp", store).awaitTermination()
+    now = F.timestamp_micros(F.lit(clicks(spark, root).agg(F.max(micros("ts"))).head()[0]))
+    return sinks.stored_values(spark, base, now).select(
+        "event_id", "value", micros("put_time").alias("put_us"), micros("expires_at").alias("expires_us")
+    )
+
+
+@query(
+    "snk7_hot_session_tables",
+    clicks_sql(
+        f"""SELECT 'session_summary' AS name, session_id AS key, max(epoch_us(b)) AS version_us FROM over_ GROUP BY session_id
+        UNION ALL SELECT 'active_sessions', CAST(user_id AS VARCHAR), max(epoch_us(ts)) FROM clicks WHERE user_id IS NOT NULL GROUP BY user_id
+        UNION ALL SELECT 'user_journey', concat(CAST(user_id AS VARCHAR), '/', session_id), max(epoch_us(ts)) FROM clicks
+          WHERE user_id IS NOT NULL AND event_type = 'page_view' GROUP BY user_id, session_id""",
+        *cs._session_ctes(30),
+        _OVER.replace("{gap}", "1800000000"),
+    ),
+)
+def hot_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """Three keyed jobs on one stream, each feeding its hot table; the tables fold every second batch."""
+    base = ws.fresh_folder(spark, "hot-sessions")
+    jobs = {
+        "session_summary": (session_state.session_job(), "sessions", F.col("session_id")),
+        "active_sessions": (keyed.active_job(), "active", F.col("user_id").cast("string")),
+        "user_journey": (keyed.journey_job(), "journeys", F.concat_ws("/", "user_id", "session_id")),
+    }
+
+    def handle(batch: DataFrame, number: int) -> None:
+        for name, (job, part, _) in jobs.items():
+            keyed.advance(batch, f"{base}/{name}-state", number, job)
+            made = keyed.output(spark, f"{base}/{name}-state", part).where(F.col("batch_id") == int(number))
+            sinks.hot_sink(f"{base}/{name}", name, every=2)(made.drop("batch_id"), number)
+
+    sinks.start(clicks_stream(spark, root), f"{base}/cp", handle).awaitTermination()
+    out = None
+    for name, (_, _, key) in jobs.items():
+        rows = sinks.hot_view(spark, f"{base}/{name}", name)
+        version = micros(sinks.HOT_TABLES[name][1]).alias("version_us")
+        rows = rows.select(F.lit(name).alias("name"), key.alias("key"), version)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "snk18_fallback_route",
     clicks_sql(

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark import workspace as ws
 from tidemark.operators.search import search_index
-from tidemark.operators.tiers import latest_values, warm_rows
+from tidemark.operators.tiers import alive, latest_values, warm_rows
 
 # Key columns of the nine hot metric tables; the newest row per key is the current one.
 HOT_TABLES = {
@@ -32,21 +32,6 @@ HOT_TABLES = {
     "user_journey": (["user_id", "session_id"], "last_updated"),
 }
 
-# The warm tables, all append-only. Daily user metrics and daily session metrics are different
-# records and therefore two tables.
-WARM_TABLES = (
-    "hourly_stats",
-    "pageview_stats",
-    "user_metrics",
-    "cohort_stats",
-    "user_journeys",
-    "conversion_funnel",
-    "geo_analytics",
-    "sessions",
-    "session_metrics",
-)
-
-
 _STREAM = "_stream.json"
 
 
@@ -152,20 +137,23 @@ def newest_per_key(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(whole, order).alias("_r")).where("_r IS NOT NULL").select("_r.*")
 
 
-def hot_sink(table: str, name: str) -> Callable[[DataFrame, int], object]:
-    """Keep the newest row per key of a hot table: a batch adds at most one row per key and the
-    view resolves the rest, so no batch rewrites the table."""
+def hot_table(name: str, every: int = 16):
+    """A hot table as a folded view: the newest row of every key."""
+    from tidemark.streaming.folding import Folded
+
     keys, version = HOT_TABLES[name]
-    return lambda batch, batch_id: publish_batch(newest_per_key(batch, keys, version), table, batch_id)
+    return Folded(lambda rows: newest_per_key(rows, keys, version), every)
 
 
-def hot_view(spark: SparkSession, table: str, name: str) -> DataFrame:
-    keys, version = HOT_TABLES[name]
-    return newest_per_key(read_batches(spark, table).drop("batch_id"), keys, version)
+def hot_sink(table: str, name: str, every: int = 16) -> Callable[[DataFrame, int], object]:
+    """Keep the newest row per key of a hot table: a batch adds at most one row per key, and every
+    `every` batches are folded into a base."""
+    return lambda batch, batch_id: hot_table(name, every).add(batch, table, batch_id)
 
 
-def warm_sink(table: str) -> Callable[[DataFrame, int], object]:
-    return lambda batch, batch_id: publish_batch(batch, table, batch_id)
+def hot_view(spark: SparkSession, table: str, name: str) -> DataFrame:
+    """The newest row of every key, from the base and the batches after it."""
+    return hot_table(name).rows(spark, table)
 
 
 def split_sink(main: str, fallback: str, ok: Column) -> Callable[[DataFrame, int], object]:
@@ -180,7 +168,27 @@ def split_sink(main: str, fallback: str, ok: Column) -> Callable[[DataFrame, int
     return handle
 
 
-def tiered_store(root: str, ttl_seconds: int = 3600) -> Callable[[DataFrame, int], object]:
+def hot_values(every: int = 16):
+    """Stored values as a folded view: the last write of every key."""
+    from tidemark.streaming.folding import Folded
+
+    return Folded(lambda rows: newest_per_key(rows, ["event_id"], "put_time"), every)
+
+
+def counters(every: int = 16):
+    """Counters as a folded view: a minute may receive rows in several batches."""
+    from tidemark.streaming.folding import Folded
+
+    return Folded(lambda rows: rows.groupBy("minute", "user_id").agg(F.sum("events").alias("events")), every)
+
+
+def stored_values(spark: SparkSession, root: str, as_of: Column | None = None) -> DataFrame:
+    """The value of every key, as far as it has not expired by `as_of`."""
+    values = hot_values().rows(spark, f"{root}/hot")
+    return values if as_of is None else alive(values, as_of)
+
+
+def tiered_store(root: str, ttl_seconds: int = 3600, every: int = 16) -> Callable[[DataFrame, int], object]:
     """Every event into the warm table, the search index, the hot values and the counters.
 
     Four tables, each published once per batch; a crash between them is repaired by the
@@ -193,17 +201,17 @@ def tiered_store(root: str, ttl_seconds: int = 3600) -> Callable[[DataFrame, int
             publish_batch(search_index(rows), f"{root}/search", batch_id, ("month",))
             value = F.to_json(F.struct("event_id", "user_id", "event_type", "url"))
             hot = latest_values(rows, "event_id", value, "ts", F.lit(ttl_seconds))
-            publish_batch(hot, f"{root}/hot", batch_id)
+            hot_values(every).add(hot, f"{root}/hot", batch_id)
             minute = F.date_trunc("minute", "ts").alias("minute")
             counts = rows.groupBy(minute, "user_id").agg(F.count(F.lit(1)).alias("events"))
-            publish_batch(counts, f"{root}/counters", batch_id)
+            counters(every).add(counts, f"{root}/counters", batch_id)
 
     return handle
 
 
 def stored_counters(spark: SparkSession, root: str, per_user: bool = False) -> DataFrame:
-    """Counters over all batches: a minute may have received rows in several of them."""
-    rows = read_batches(spark, f"{root}/counters")
+    """Counters over all batches."""
+    rows = counters().rows(spark, f"{root}/counters")
     total = F.sum("events").alias("events_count")
     start = F.col("minute").alias("window_start")
     if not per_user:
