@@ -141,3 +141,36 @@ def distinct_users(events: DataFrame, size: str = "1 day") -> DataFrame:
     return out.select(
         F.col("w.start").alias("window_start"), "exact_users", "estimated_users", error.alias("relative_error")
     )
+
+
+#: log2 of a sketch's registers; one register is a byte, so a pane never takes more than 4 KB and a header.
+LG_REGISTERS = 12
+
+
+def user_panes(events: DataFrame, size: str = "1 hour") -> DataFrame:
+    """A distinct-count sketch for each window and country: pane, country, sketch, events.
+
+    Panes are stored once and united over any range later, so no range reads the events again.
+    """
+    return (
+        events.groupBy(F.window("ts", size).alias("w"), "country")
+        .agg(F.hll_sketch_agg("user_id", F.lit(LG_REGISTERS)).alias("sketch"), F.count(F.lit(1)).alias("events"))
+        .select(F.col("w.start").alias("pane"), "country", "sketch", "events")
+    )
+
+
+def users_over(panes: DataFrame, size: str, slide: str) -> DataFrame:
+    """Estimated users, events, panes and bytes read for each sliding range and country.
+
+    A pane is copied into the ranges it belongs to as a few kilobytes at most; events are not.
+    """
+    return (
+        panes.groupBy(F.window("pane", size, slide).alias("w"), "country")
+        .agg(
+            F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimated_users"),
+            F.sum("events").alias("events"),
+            F.count(F.lit(1)).alias("panes"),
+            F.max(F.octet_length("sketch")).alias("largest_pane_bytes"),
+        )
+        .select(F.col("w.start").alias("window_start"), "country", "estimated_users", "events", "panes", "largest_pane_bytes")
+    )
