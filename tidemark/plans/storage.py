@@ -13,6 +13,7 @@ from tidemark.operators import ingest, quality, search, tiers
 from tidemark.plans.orders import GMV, MONEY_SQL
 from tidemark.plans.registry import clicks, clicks_sql, micros, orders, orders_sql, query, text
 from tidemark.schemas import INGEST_EVENT
+from tidemark.sources.keyvalue import KeyValue
 from tidemark.sources.tables import table
 
 # A policy under which the month of test events spans all three tiers.
@@ -91,6 +92,32 @@ def src13_one(spark: SparkSession, root: str) -> DataFrame:
     return found.select("o_orderkey", "o_totalprice")
 
 
+def _laid_out(spark: SparkSession, root: str) -> KeyValue:
+    stored = table(spark, root, "orders").select("o_orderkey", "o_totalprice")
+    values = KeyValue(ws.fresh_folder(spark, "orders-by-key"), "o_orderkey", stored.schema)
+    values.write(stored)
+    return values
+
+
+@query(
+    "src13_get_from_layout",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (7, 77, 777, 99999999)",
+)
+def src13_layout(spark: SparkSession, root: str) -> DataFrame:
+    """Four keys read from four of 64 folders."""
+    return _laid_out(spark, root).get(spark, [7, 77, 777, 99999999])
+
+
+@query(
+    "jn1_lookup_from_layout",
+    """SELECT o_orderkey, o_totalprice FROM orders
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+)
+def jn1_layout(spark: SparkSession, root: str) -> DataFrame:
+    wanted = table(spark, root, "lineitem").where(F.col("l_returnflag") == "R")
+    return _laid_out(spark, root).lookup(spark, wanted.select(F.col("l_orderkey").alias("o_orderkey")))
+
+
 @query(
     "exp29_tier_of_event",
     clicks_sql(

@@ -79,12 +79,14 @@ def publish_batch(df: DataFrame, table: str, batch_id: int, partition_by: tuple[
 @contextmanager
 def staged(batch: DataFrame, table: str, batch_id: int) -> Iterator[DataFrame]:
     """The micro-batch as a written table, so that using it twice does not run the stateful
-    plan twice and a lost executor does not either. It goes when the block is done."""
+    plan twice and a lost executor does not either. It goes when the block is done, or fails."""
     spark = batch.sparkSession
     path = f"{table}/_staging/partial-{batch_id}-{uuid.uuid4().hex}"
-    batch.write.parquet(path)
-    yield spark.read.schema(batch.schema).parquet(path)
-    ws.drop_folder(spark, path)
+    try:
+        batch.write.parquet(path)
+        yield spark.read.schema(batch.schema).parquet(path)
+    finally:
+        ws.drop_folder(spark, path)
 
 
 def read_batches(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
