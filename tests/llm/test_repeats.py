@@ -122,7 +122,7 @@ def test_bytes_of_documents(spark, shard_bytes):
 def test_summary_and_removal_of_bytes(spark):
     rows = list(enumerate(corpus(2)))
     want = brute_bytes(rows, 400)
-    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, spans string, n_chars long")
+    docs = spark.createDataFrame([("x", t, i, "_", 3) for i, t in rows], "_spans string, text string, doc_id long, _id string, n_chars long")
     for r in suffix.summary(docs).collect():
         gone = want[r.doc_id]
         body = np.frombuffer((rows[r.doc_id][1] or "").encode(), np.uint8)

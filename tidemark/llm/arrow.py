@@ -13,9 +13,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Return freed memory to the system. Python workers live on for the tasks of later stages, beside the JVM."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

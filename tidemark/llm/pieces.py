@@ -152,7 +152,7 @@ def texts(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
     )
 
 
-def ranges(found: DataFrame, method: Method, shards: int) -> DataFrame:
+def ranges(found: DataFrame, method: Method, shards: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(anchor, piece, windows): ranges of repeated windows, flat pairs of first and end, per piece.
 
     `parts` 1: the anchor shares a shard with others. More: it has that many shards of its own,
@@ -187,6 +187,8 @@ def ranges(found: DataFrame, method: Method, shards: int) -> DataFrame:
         else:
             split = int((side == 0).sum())
             out = method.compare(bodies[:split], ids[:split], bodies[split:], ids[split:])
+        if sum(map(len, bodies)) > shard_bytes // 4:
+            give_back(collect=False)
         hit = [k for k, x in enumerate(out) if len(x)]
         found = group.select(["anchor", "piece"]).take(pa.array(hit, pa.int64()))
         return found.append_column("windows", pa.array([out[k] for k in hit], pa.list_(pa.int32())))
@@ -234,7 +236,7 @@ def spans(docs: DataFrame, method: Method, shard_bytes: int = SHARD_BYTES) -> Da
     total = wanted.agg(F.sum((F.col("n") + method.width) * method.unit_bytes)).first()[0] or 0
     # More shards than tasks at a time, however small the input, so that no task waits for one large shard.
     shards = max(int(total // shard_bytes) + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = ranges(texts(docs, wanted, method), method, shards)
+    found = ranges(texts(docs, wanted, method), method, shards, shard_bytes)
     found = settled(found, f"{method.name}-ranges")
     release(at)
 

@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import words as w
-from tidemark.llm.arrow import flat
+from tidemark.llm.arrow import flat, give_back, slices
 from tidemark.llm.pieces import Method, covered, runs_of, spans, with_spans
 
 WIDTH, GRAM = 400, 24
@@ -247,19 +249,31 @@ def remove(docs: DataFrame) -> DataFrame:
     goes with its row, one that was empty before stays.
     """
 
-    @F.pandas_udf("string")
-    def kept(text, runs):
-        out = text.copy()
-        for i, (t, r) in enumerate(zip(text, runs, strict=True)):
-            if t is not None and r is not None and len(r):
-                left, _, _ = _kept(np.frombuffer(t.encode(), np.uint8), np.asarray(r))
-                out.iat[i] = left.tobytes().decode("utf-8", "ignore")
-        return out
-
-    cut = with_spans(docs, find(docs))
-    cut = cut.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans")))
-    cut = cut.where("_spans IS NULL OR text <> ''")
-    if "n_chars" in docs.columns:
-        size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        cut = cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size))
-    return cut.select(docs.columns)
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(iter([batch]), "text"):
+                columns, runs = part.column(0).flatten(), part.column(2)
+                changed = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+                left = [
+                    _kept(data[offsets[i] : offsets[i + 1]], runs[i].values.to_numpy())[0].tobytes().decode("utf-8", "ignore")
+                    for i in changed
+                ]
+                mask = np.zeros(part.num_rows, bool)
+                mask[changed] = True
+                columns[at] = pc.replace_with_mask(part.column(1), pa.array(mask), pa.array(left, pa.string()))
+                if chars is not None:
+                    sizes = pa.array([len(x) for x in left], pa.int64()).cast(columns[chars].type)
+                    columns[chars] = pc.replace_with_mask(columns[chars], pa.array(mask), sizes)
+                stay = ~mask
+                stay[changed] = [x != "" for x in left]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
+        give_back()
+
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # whatever the columns are called
+    packed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cut = with_spans(packed, find(docs)).select("row", "text", "_spans")
+    kind = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema]
+    return cut.mapInArrow(run, T.StructType(kind))
