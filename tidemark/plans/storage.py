@@ -15,6 +15,7 @@ from tidemark.plans.registry import clicks, clicks_sql, micros, orders, orders_s
 from tidemark.schemas import INGEST_EVENT
 from tidemark.sources.keyvalue import KeyValue
 from tidemark.sources.tables import table
+from tidemark.streaming import sinks
 
 # A policy under which the month of test events spans all three tiers.
 AS_OF = dt.datetime(2024, 2, 12, 0, 0, 0)
@@ -144,6 +145,20 @@ def snk14(spark: SparkSession, root: str) -> DataFrame:
     return _replayed(spark, root).select("event_id", "source")
 
 
+@query("snk14_published_replay", clicks_sql(_REPLAY))
+def snk14_published(spark: SparkSession, root: str) -> DataFrame:
+    """The replay written to its target day by day; a day that is replayed again adds nothing."""
+    target = f"{ws.fresh_folder(spark, 'replay')}/events"
+    rows = _replayed(spark, root)
+    days = (END.date() - START.date()).days + 1
+    slices = 4
+    for number in [*range(slices), 0]:
+        first, last = (START.date() + dt.timedelta(days=days * k // slices) for k in (number, number + 1))
+        day = F.to_date("ts")
+        sinks.publish_batch(rows.where((day >= F.lit(first)) & (day < F.lit(last))), target, number)
+    return sinks.read_batches(spark, target).select("event_id", "source")
+
+
 @query(
     "agg30_replay_totals",
     clicks_sql(f"SELECT source, count(*) AS events FROM ({_REPLAY}) GROUP BY source"),
@@ -297,6 +312,22 @@ def exp22(spark: SparkSession, root: str) -> DataFrame:
     return bad.select("request_id", F.array_join("reject_reasons", ",").alias("reasons"))
 
 
+@query(
+    "exp25_send_batches",
+    clicks_sql(
+        """SELECT concat('batch_', CAST(epoch_us(ts) // 3600000000 * 3600 AS VARCHAR)) AS send_batch_id, count(*) AS events,
+        min(epoch_us(ts) // 1000) AS first_ms FROM clicks GROUP BY 1"""
+    ),
+)
+def exp25_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Events sent in hourly batches, each named by the second it was sent."""
+    sent = F.date_trunc("hour", "ts")
+    stamped = rules.producer_stamp(clicks(spark, root), sent, None)
+    return stamped.groupBy("send_batch_id").agg(
+        F.count(F.lit(1)).alias("events"), F.min(F.unix_millis("ts")).alias("first_ms")
+    )
+
+
 @query(
     "exp23_exp25_ingest_enrichment",
     clicks_sql(
