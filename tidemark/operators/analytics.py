@@ -133,13 +133,15 @@ def daily_cohorts(size: str = DAY, frame_rows: int = 7) -> Rollup:
             split_window(out).withColumn("date_partition", day_text(F.col("window_start"))), frame_rows
         )
 
-    def carry(new: DataFrame, earlier: DataFrame) -> DataFrame:
+    def remember(rows: DataFrame) -> DataFrame:
         newest = Window.partitionBy("country", "event_type").orderBy(F.desc("window_start"))
-        last = earlier.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") < frame_rows).drop("_r")
-        both = new.withColumn("_new", F.lit(True)).unionByName(last.withColumn("_new", F.lit(False)))
+        return rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") < frame_rows).drop("_r")
+
+    def carry(new: DataFrame, earlier: DataFrame) -> DataFrame:
+        both = new.withColumn("_new", F.lit(True)).unionByName(earlier.withColumn("_new", F.lit(False)))
         return with_trailing_average(both, frame_rows).where("_new").select(new.columns)
 
-    return Rollup(partial, finish, carry)
+    return Rollup(partial, finish, carry, remember)
 
 
 def with_trailing_average(daily: DataFrame, frame_rows: int = 7) -> DataFrame:

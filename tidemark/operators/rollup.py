@@ -23,12 +23,14 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 class Rollup:
     """An aggregate as partial + finish; calling it on a table runs both.
 
-    `carry(new, earlier)` completes columns of new rows that depend on rows finished before.
+    `carry(new, earlier)` completes columns of new rows that depend on rows finished before, and
+    `remember(rows)` keeps of them what later ones will depend on.
     """
 
     partial: Callable[[DataFrame], DataFrame]
     finish: Callable[[DataFrame], DataFrame]
     carry: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    remember: Callable[[DataFrame], DataFrame] | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.finish(self.partial(df))

@@ -7,16 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark import workspace as ws
 from tidemark.operators.metrics import global_metrics, with_rate_change
 from tidemark.operators.rollup import Rollup
 from tidemark.operators.sessions import GAP, daily_session_metrics, stream_sessions
-from tidemark.streaming.sinks import publish_batch, publish_staged, published, read_batches, staged, start
+from tidemark.streaming.sinks import publish_batch, publish_staged, published, staged, start
 
 METRICS_DELAY = "5 seconds"
 SESSION_DELAY = "10 seconds"
-_LAST = "_last.json"
+_LAST, _MEMORY = "_last.json", "_memory"
 
 
 def start_rollup(
@@ -28,7 +29,7 @@ def start_rollup(
     every: str | None = None,
 ) -> StreamingQuery:
     """Closed windows of a rollup, appended to `table`. A rollup that looks back over its own rows
-    is given those of earlier batches."""
+    is given what it remembers of earlier batches, which travels with the newest of them."""
     partial = rollup.partial(events.withWatermark("ts", delay))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -37,13 +38,31 @@ def start_rollup(
             return
         with staged(batch, table, batch_id) as partials:
             rows = rollup.finish(partials)
-            if rollup.carry is not None and any(n.startswith("batch_id=") for n in ws.child_names(spark, table)):
-                rows = rollup.carry(rows, read_batches(spark, table).drop("batch_id"))
-            publish_batch(rows, table, batch_id)
+            if rollup.carry is None:
+                publish_batch(rows, table, batch_id)
+                return
+            path = f"{table}/_staging/{batch_id}-{uuid.uuid4().hex}"
+            earlier = _remembered(spark, table, batch_id, rows.schema)
+            rollup.carry(rows, earlier).write.parquet(path)
+            written = spark.read.schema(rows.schema).parquet(path)
+            rollup.remember(written.unionByName(earlier)).write.parquet(f"{path}/{_MEMORY}")
+            publish_staged(spark, path, table, batch_id)
 
     return start(partial, checkpoint, handle, every)
 
 
+def _newest_before(spark: SparkSession, table: str, batch_id: int) -> str | None:
+    numbers = [int(n.split("=")[1]) for n in ws.child_names(spark, table) if n.startswith("batch_id=")]
+    earlier = [n for n in numbers if n < batch_id]
+    return f"{table}/batch_id={max(earlier)}" if earlier else None
+
+
+def _remembered(spark: SparkSession, table: str, batch_id: int, schema: StructType) -> DataFrame:
+    """What the batch before has remembered; its folder's name keeps it out of the table."""
+    before = _newest_before(spark, table, batch_id)
+    return spark.read.schema(schema).parquet(f"{before}/{_MEMORY}") if before else spark.createDataFrame([], schema)
+
+
 def start_global_metrics(
     events: DataFrame,
     table: str,
@@ -80,12 +99,10 @@ def start_global_metrics(
 
 
 def _last_window(spark: SparkSession, table: str, batch_id: int) -> dict | None:
-    names = [n for n in ws.child_names(spark, table) if n.startswith("batch_id=")]
-    earlier = [n for n in (int(n.split("=")[1]) for n in names) if n < batch_id]
-    if not earlier:
+    before = _newest_before(spark, table, batch_id)
+    if before is None or not ws.exists(spark, f"{before}/{_LAST}"):
         return None
-    path = f"{table}/batch_id={max(earlier)}/{_LAST}"
-    return ws.read_json(spark, path) if ws.exists(spark, path) else None
+    return ws.read_json(spark, f"{before}/{_LAST}")
 
 
 def start_append(
