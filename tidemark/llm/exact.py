@@ -10,8 +10,9 @@ A text's key is the 64-bit hash of its normalised form. The index is built in th
 3. `entries`: each first range is the key range of one owner. Rows go to their owner with their text,
    which is the only time that texts are shuffled; the owner compares bytes, since the normalised
    text itself is the grouping key, and makes one entry per different text. Keys of more than one
-   `HOT_KEYS`-th of all rows (so at most `HOT_KEYS` of them) are combined before the shuffle instead, so
-   a text that a third of all rows hold reaches its owner once per task that read it.
+   `HOT_KEYS`-th of all rows or of all bytes (so at most twice `HOT_KEYS` of them) are combined before
+   the shuffle instead, so a text that a third of all rows hold reaches its owner once per task that
+   read it, and the copies of no other text fill an owner's task.
 
 Entries are written bucket by bucket, those of one key chained in the order of their smallest doc_id.
 Every row then finds its entry by key and digest, both read from tables, which lets Spark split the
@@ -37,7 +38,7 @@ from tidemark.llm.store import settled
 
 #: Different keys in a bucket before it is split, unless more buckets are needed to keep all tasks busy.
 CAPACITY = 1024
-#: Keys with more than this part of all rows are combined before they are shuffled.
+#: Keys with more than this part of all rows or bytes are combined before they are shuffled.
 HOT_KEYS = 4096
 
 
@@ -95,17 +96,18 @@ def build(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacit
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body"))
     docs = docs.withColumn("key", key(F.col("body")))
-    keys = settled(docs.select("doc_id", "key", F.unhex(F.sha2("body", 256)).alias("digest")), "exact-keys")
+    keys = settled(docs.select("doc_id", "key", F.unhex(F.sha2("body", 256)).alias("digest"), F.octet_length("body").alias("n_bytes")), "exact-keys")
 
-    counted = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-counted")
-    total = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    counted = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")), "exact-counted")
+    total = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(total["keys"] / capacity, 4 * tasks)
     first_depth = min(max(math.floor(math.log2(wanted)), 1), 40)
     buckets, depth = grow(counted.select("key"), first_depth, capacity)
     directory = settled(buckets.select(F.explode("slots").alias("slot"), "bucket", "local_depth", "n_keys"), "exact-directory")
 
-    hot = F.broadcast(counted.where(F.col("n") > (total["rows"] or 0) / HOT_KEYS).where("n > 1").select("key"))  # at most HOT_KEYS rows
+    large = (F.col("n") > (total["rows"] or 0) / HOT_KEYS) | (F.col("bytes") > (total["bytes"] or 0) / HOT_KEYS)
+    hot = F.broadcast(counted.where(large & (F.col("n") > 1)).select("key"))  # at most 2 * HOT_KEYS rows
     facts = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     owner = prefix(F.col("key"), first_depth).alias("owner")
     rare = docs.join(hot, "key", "left_anti").select("*", owner).repartition("owner").groupBy("owner", "key", "body").agg(*facts)
