@@ -31,3 +31,18 @@ def test_a_segment_is_written_by_several_tasks(spark, folder, data):
     ]
     for before, after in zip(ends, ends[1:]):
         assert all(after[p][0] == before[p][1] + 1 for p in after)
+
+
+def test_crash_comparison_numbers_the_log_once(spark, data, monkeypatch):
+    numbered = []
+    plain = streams.with_log_offsets
+    monkeypatch.setattr(streams, "with_log_offsets", lambda events: numbered.append(1) or plain(events))
+    out = streams.snk11(spark, data)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(numbered) == 2 and "row_number" not in plan  # the staged log, and what it is compared with
+    assert {r["mode"]: (r.doubled, r.lost, r.exact) for r in out.collect()} == {
+        "commit": (0, 0, True),
+        "deduplicated": (0, 0, True),
+        "naive_second": (0, 0, True),
+        "naive_first": (1, 0, False),
+    }
