@@ -46,3 +46,34 @@ def test_crash_comparison_numbers_the_log_once(spark, data, monkeypatch):
         "naive_second": (0, 0, True),
         "naive_first": (1, 0, False),
     }
+
+
+def test_a_slice_is_a_file_for_each_core(spark, folder, data):
+    from tidemark.sources.tables import sliced_stream
+    from tidemark.streaming import sinks
+
+    seen = []
+
+    def handle(batch, number):
+        named = batch.select("ts", F.input_file_name().alias("file"))
+        seen.append(tuple(named.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1)), F.count_distinct("file")).head()))
+
+    sinks.start(sliced_stream(spark, data, "events", "ts", 4), f"{folder}/cp", handle).awaitTermination()
+    assert len(seen) == 4 and sum(n for _, _, n, _ in seen) == spark.read.parquet(f"{data}/events.parquet").count()
+    assert all(files > 1 for *_, files in seen)
+    assert all(before[1] <= after[0] for before, after in zip(seen, seen[1:]))
+
+
+def test_compaction_does_not_group_documents_again(spark, folder, monkeypatch):
+    from test_events import click, clicks
+
+    from tidemark.streaming import postings
+
+    rows = clicks(spark, [click(1, 0), click(2, 60), click(3, 120)])
+    postings.index_batch(rows, f"{folder}/index", 0)
+    postings.index_batch(rows.where("event_id = '2'"), f"{folder}/index", 1)
+    before = {tuple(r) for r in postings.documents(spark, f"{folder}/index", rows.schema).select("event_id", "version").collect()}
+    monkeypatch.setattr(postings, "search_index", None)
+    assert postings.compact(spark, f"{folder}/index", rows.schema) == 1
+    after = {tuple(r) for r in postings.documents(spark, f"{folder}/index", rows.schema).select("event_id", "version").collect()}
+    assert before == after and len(after) == 3

@@ -25,8 +25,13 @@ def search_index(events: DataFrame) -> DataFrame:
     """
     order = F.struct("ts", *[c for c in ("event_type", "event_name", "url") if c in events.columns])
     newest = events.groupBy("event_id").agg(F.max_by(F.struct(*events.columns), order).alias("e")).select("e.*")
+    return with_words(newest)
+
+
+def with_words(events: DataFrame) -> DataFrame:
+    """Every row with its words and its month."""
     text = F.concat_ws(" ", "event_type", "event_name", property_text(F.col("properties")), "url")
-    return newest.withColumn("words", F.array_distinct(words(text))).withColumn(
+    return events.withColumn("words", F.array_distinct(words(text))).withColumn(
         "month", F.date_format("ts", "yyyy-MM")
     )
 

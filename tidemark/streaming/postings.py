@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import workspace as ws
-from tidemark.operators.search import query_words, search_index
+from tidemark.operators.search import query_words, search_index, with_words
 from tidemark.streaming.sinks import publish_staged, published, staged
 
 PARTS = 64
@@ -127,7 +127,7 @@ def compact(spark: SparkSession, root: str, schema: T.StructType) -> int | None:
     if len(batches) < 2:
         return None
     path = f"{root}/_staging/base-{uuid.uuid4().hex}"
-    text = documents(spark, root, schema)
-    words = search_index(text.drop("version", "month")).select("event_id", "words")
-    _write(text.join(words, "event_id"), path)
+    # One row per id already, so words are cut row by row; written once, for _write reads its rows several times.
+    with staged(with_words(documents(spark, root, schema)), root, max(batches)) as docs:
+        _write(docs, path)
     return max(batches) if ws.publish(spark, path, f"{root}/base={max(batches)}") else None
