@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_events import T0, click, clicks
 
 from tidemark.operators import analytics, metrics, sessions, tracking
+from tidemark.plans.catalog import REGISTRY
 from tidemark.streaming import keyed, rollups, session_state, sinks
 
 FAR = 400 * 86_400
@@ -286,3 +287,13 @@ def test_views_read_a_base_and_few_batches(spark, folder):
     assert {r.event_type: r.n for r in sinks.hot_view(spark, table, "event_type_metrics").collect()} == want
     assert sink(spark.createDataFrame([("k0", T0 + dt.timedelta(hours=99), 99)], schema), 40)
     assert {r.event_type: r.n for r in sinks.hot_view(spark, table, "event_type_metrics").collect()} == want | {"k0": 99}
+
+
+def test_active_stream_query_holds_real_and_roaming_users(spark, data):
+    got = REGISTRY["str13_stream_active_sessions"].run(spark, data)
+    assert got.groupBy("users").count().where("count > 0").count() == 2
+    roaming = got.where("users = 'roaming'").drop("users")
+    assert plain(roaming) == plain(REGISTRY["str13_active_sessions_30m"].run(spark, data))
+    assert roaming.where("countries LIKE '%,%,%'").count() > 0
+    users = spark.read.parquet(f"{data}/events.parquet").where("user_id IS NOT NULL").select("user_id").distinct()
+    assert plain(got.where("users = 'real'").select("user_id").distinct()) == plain(users)
