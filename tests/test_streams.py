@@ -297,3 +297,31 @@ def test_active_stream_query_holds_real_and_roaming_users(spark, data):
     assert roaming.where("countries LIKE '%,%,%'").count() > 0
     users = spark.read.parquet(f"{data}/events.parquet").where("user_id IS NOT NULL").select("user_id").distinct()
     assert plain(got.where("users = 'real'").select("user_id").distinct()) == plain(users)
+
+
+def test_jobs_side_by_side_write_a_batch_once_and_equal_jobs_on_their_own(spark, folder, rows, monkeypatch):
+    jobs = {"sessions": session_state.session_job(), "active": keyed.active_job(), "views": keyed.journey_job()}
+    written, fed, broken = [], [], ["views"]
+    plainly = keyed.staged
+    monkeypatch.setattr(keyed, "staged", lambda batch, *a: written.append(1) or plainly(batch, *a))
+
+    def then(name):
+        if name in broken:
+            raise RuntimeError(f"killed after {name}")
+        fed.append(name)
+
+    batches = [clicks(spark, rows[120 * i : 120 * (i + 1)]) for i in range(2)]
+    with pytest.raises(RuntimeError, match="killed after views"):
+        keyed.advance_all(batches[0], f"{folder}/all", 0, jobs, then, buckets=4)
+    assert sorted(fed) == ["active", "sessions"] and len(written) == 1
+    broken.clear()
+    keyed.advance_all(batches[0], f"{folder}/all", 0, jobs, then, buckets=4)  # a repeated batch goes on where it stopped
+    assert sorted(fed) == ["active", "active", "sessions", "sessions", "views"] and len(written) == 1
+    keyed.advance_all(batches[1], f"{folder}/all", 1, jobs, then, buckets=4)
+    assert len(written) == 2
+    for name, job in jobs.items():
+        for i, batch in enumerate(batches):
+            assert keyed.advance(batch, f"{folder}/{name}", i, job, buckets=4)
+            one, other = (keyed.batch_output(spark, f"{t}/{name}", name, i) for t in (folder, f"{folder}/all"))
+            assert plain(one) == plain(other) and one.count() > 0
+        assert plain(keyed.state_rows(spark, f"{folder}/all/{name}", job)) == plain(keyed.state_rows(spark, f"{folder}/{name}", job))
