@@ -61,12 +61,12 @@ def session_job(gap: str = s.GAP) -> Job:
 
         placed = slots.where(F.col("slot") != far_back).select("user_id", "slot", "session_no")
         views = events.where("page IS NOT NULL").withColumn("slot", slot).join(placed, ["user_id", "slot"])
-        different = views.select("user_id", "session_no", "page")
-        different = different.unionByName(state.where("page IS NOT NULL").select("user_id", F.lit(0).cast("long").alias("session_no"), "page"))
-        different = write("different", different.distinct())
-        urls = different.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("unique_urls_count"))
-        seen = views.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("_views"))
-        whole = whole.withColumn("over", over).join(urls, ["user_id", "session_no"], "left").join(seen, ["user_id", "session_no"], "left")
+        different = views.select("user_id", "session_no", "page", F.lit(1).alias("new"))
+        known = state.where("page IS NOT NULL").select("user_id", F.lit(0).cast("long").alias("session_no"), "page", F.lit(0).alias("new"))
+        different = different.unionByName(known).groupBy("user_id", "session_no", "page").agg(F.sum("new").alias("new"))
+        different = write("different", different)
+        urls = different.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("unique_urls_count"), F.sum("new").alias("_views"))
+        whole = whole.withColumn("over", over).join(urls, ["user_id", "session_no"], "left")
         whole = write("open", whole.fillna(0, ["unique_urls_count", "_views"]))
 
         cut = bucket(F.unix_micros("ts"), part_us)
@@ -79,8 +79,7 @@ def session_job(gap: str = s.GAP) -> Job:
             ),
         )
         ended = whole.where("over")
-        opened = ended.select("user_id", "opened", F.col("first.ts").alias("start_time"))
-        write("sessions", s._derived(ended).join(opened, ["user_id", "start_time"]))
+        write("sessions", s._derived(ended))
 
         live = whole.where("NOT over")
         facts = F.struct(*_FACT_NAMES).alias("facts")
