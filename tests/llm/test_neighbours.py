@@ -98,3 +98,47 @@ def test_large_cells_are_divided_and_sizes_grow():
     small, large = neighbours.sizes(50_000), neighbours.sizes(200_000)
     assert all(y > x for x, y in zip(small, large, strict=True))
     assert neighbours.STILL <= 0.01
+
+
+def test_a_part_is_one_row_and_a_round_compares_all_who_meet(spark):
+    """Edges pass between tasks as one row for each part; what a round finds is held against plain Python."""
+    rows = vectors(700, seed=5)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    named, _ = neighbours.nodes(neighbours.usable(frame, "vec_id", "embedding"), 20)
+    parts = neighbours.dealt(named)
+    number = {}
+    for r in parts.vectors.collect():
+        for place, i in enumerate(np.frombuffer(r.x, np.int64).tolist()):
+            number[place * parts.count + r.part] = i
+    assert sorted(number.values()) == list(range(700))
+
+    def lists(edges):
+        got, new = {i: {} for i in range(700)}, set()
+        assert edges.count() <= parts.count
+        for r in edges.collect():
+            for a, b, s in zip(*(np.frombuffer(x, k).tolist() for x, k in ((r.x, "i4"), (r.y, "i4"), (r.s, "f8"))), strict=True):
+                assert a % parts.count == r.part
+                got[number[a]][number[b >> 1]] = s
+                if b & 1:
+                    new.add((number[a], number[b >> 1]))
+        return got, new
+
+    degree = 6
+    before = neighbours.start(named, parts, degree, cell_rows=60, splits=4)
+    after = neighbours.descend(parts, before, degree)
+    old, _ = lists(before)
+    got, new = lists(after)
+    matrix = np.array([v for _, v in rows], np.float32).astype(float)
+    scores = matrix @ matrix.T
+    want = {i: set(x) for i, x in old.items()}
+    for at in range(700):
+        back = sorted((a for a in old if at in old[a]), key=lambda a: -old[a][at])[:degree]
+        here = {at, *old[at], *back}
+        for x in here:
+            want[x] |= here - {x}
+    for i, x in want.items():
+        best = sorted(x, key=lambda j: -scores[i, j])[:degree]
+        assert set(best) == set(got[i])
+        assert all(abs(got[i][j] - scores[i, j]) < 1e-12 for j in best)
+    assert new == {(a, b) for a in got for b in got[a] if b not in old[a]}
+    assert after.agg({"fresh": "sum"}).first()[0] == len(new) > 0

@@ -26,11 +26,12 @@ than `top` are returned as they are. Repeated rows with one id are one candidate
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import flat
@@ -39,6 +40,13 @@ from tidemark.llm.store import release, settled
 CELL_ROWS, PIVOTS = 1500, 4096
 ROUNDS, STILL = 12, 0.01
 
+#: Nodes of a part; edges a task gathers before it keeps the best of them; bytes of vectors a block of meetings holds.
+PART_NODES, HELD, BLOCK_BYTES = 8192, 1 << 20, 200 << 20
+
+#: Rows that pass between parts: numbers, vectors and scores of many nodes, as bytes.
+MAIL = "part int, kind int, x binary, y binary, s binary"
+VECTORS, LOW, EDGES, BACK, FOUND, ASK, MEET, QUERIES, BEST, OPEN, CAND = range(11)
+
 
 class Sizes(NamedTuple):
     """What grows with the nodes: neighbours of a node, divisions, nodes a search keeps open."""
@@ -131,194 +139,564 @@ def _cells(matrix: np.ndarray, cell_rows: int) -> list[np.ndarray]:
     return done
 
 
-def _best_pairs(ids: np.ndarray, matrix: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its `top` best other rows: (a, b, score)."""
-    n = len(ids)
-    k = min(top, n - 1)
-    if k < 1:
-        return ids[:0], ids[:0], np.empty(0)
-    out = []
-    for at in range(0, n, 512):
+def _over(scores: np.ndarray, low: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores above `low` of their row, of each row the `top` best at most."""
+    over = scores > low[:, None]
+    many = np.flatnonzero(np.count_nonzero(over, axis=1) > top)
+    if len(many):
+        best = np.argpartition(-scores[many], top - 1, axis=1)[:, :top]
+        over[many] = False
+        over[many[:, None], best] = True
+    return np.divmod(np.flatnonzero(over), max(1, scores.shape[1]))
+
+
+def _best_pairs(ids: np.ndarray, matrix: np.ndarray, low: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row its `top` best other rows above `low`: (a, b, score)."""
+    for at in range(0, len(ids), 512):
         scores = matrix[at : at + 512] @ matrix.T
         scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-        best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        out.append((np.repeat(ids[at : at + 512], k), ids[best.ravel()], np.take_along_axis(scores, best, 1).ravel()))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        i, j = _over(scores, low[at : at + 512], top)
+        yield ids[at + i], ids[j], scores[i, j]
 
 
-EDGE = "a long, b long, s double"
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) << 32 | b.astype(np.int64)
 
 
-def _table(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, top: int) -> np.ndarray:
+    """Positions of the `top` best distinct edges of each `a`, sorted by `a` and from the best."""
+    key = _key(a, b)
+    order = np.argsort(key)
+    key = key[order]
+    order = order[np.concatenate([[True], key[1:] != key[:-1]])] if len(order) else order
+    group = np.cumsum(np.concatenate([[0], np.diff(a[order]) != 0])) if len(order) else order
+    by = np.argsort(-s[order])
+    small = group[by].astype(np.uint16 if len(group) and group[-1] < 1 << 16 else np.int64)  # sorted by radix
+    by = by[np.argsort(small, kind="stable")]
+    group = group[by]
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    return order[by[place < top]]
 
 
-def _keep(edges: DataFrame, degree: int, parts: int = 1) -> DataFrame:
-    """The best `degree` distinct edges of each node; a node of very many edges in `parts` first."""
+def _absent(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are not among the known, which are sorted."""
+    place = np.searchsorted(known, keys)
+    return np.append(known, -1)[place] != keys
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class _Lists:
+    """Edges as they come, thinned out to the best `top` of each node whenever many are held."""
+
+    def __init__(self, top: int):
+        self.top, self.held, self.rows, self.next = top, [], 0, HELD
+
+    def add(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> None:
+        self.held.append((a, b, s))
+        self.rows += len(a)
+        if self.rows > self.next:
+            self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+        a, b, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        best = _best(a, b, s, self.top)
+        self.held, self.rows, self.next = [(a[best], b[best], s[best])], len(best), 2 * len(best) + HELD
+        return self.held[0]
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each range of rows."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * int(np.prod(values.shape[1:], dtype=np.int64))
+    offsets = (ends * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _mail(to: np.ndarray, kind: int, x: np.ndarray, y: np.ndarray | None = None, s: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each part that something goes to."""
+    order = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
+    to = to[order]
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else np.zeros(1, np.int64)
+    none = np.empty((len(to), 0), np.uint8)
+    cells = [_packed(none if c is None else c[order], ends) for c in (x, y, s)]
+    return pa.record_batch([pa.array(to[ends[:-1]], pa.int32()), pa.array(np.full(len(ends) - 1, kind), pa.int32()), *cells], MAIL_NAMES)
+
+
+MAIL_NAMES = [x.split()[0] for x in MAIL.split(", ")]
+
+
+def _row(part: int, kind: int, x: np.ndarray, y: np.ndarray | None = None, s: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row, also of nothing."""
+    cells = [pa.array([b"" if c is None else np.ascontiguousarray(c).tobytes()], pa.binary()) for c in (x, y, s)]
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), *cells], MAIL_NAMES)
+
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]]:
+    """For each part in turn its rows (part, kind, x, y, s), the last three as bytes."""
+
+    def rows():
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ends = batch.column(1)
-            a = np.repeat(batch.column(0).to_numpy(), np.diff(ends.offsets.to_numpy()))
-            b, s = (ends.flatten().field(k).to_numpy() for k in (0, 1))
-            order = np.lexsort((b, -s, a))
-            a, b, s = a[order], b[order], s[order]
-            # One edge found twice has one score but for rounding; its copies lie side by side but for ties.
-            _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-            first.sort()
-            a, b, s = a[first], b[first], s[first]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            yield from _table(a[place < degree], b[place < degree], s[place < degree]).to_batches()
-
-    by = ["a"] if parts == 1 else ["a", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part")]
-    kept = edges.groupBy(*by).agg(F.collect_list(F.struct("b", "s")).alias("ends")).select("a", "ends").mapInArrow(best, EDGE)
-    return kept if parts == 1 else _keep(kept, degree)
-
-
-def start(named: DataFrame, degree: int, cell_rows: int = CELL_ROWS, splits: int = 10) -> DataFrame:
-    """First neighbours: the best within cells of nearest random pivots."""
+            part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cells = [flat(batch.column(k)) for k in (2, 3, 4)]
+            for r in range(batch.num_rows):
+                yield int(part[r]), int(kind[r]), *(data[ends[r] : ends[r + 1]] for data, ends in cells)
+
+    return groupby(rows(), key=lambda row: row[0])
+
+
+def _sorted(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind")
+
+
+def _read(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x.view(np.int32), y.view(np.int32), s.view(np.float64)
+
+
+def _lows(a: np.ndarray, s: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes whose list is full, and the score of their worst edge. Edges are sorted by node and from the best."""
+    last = np.flatnonzero(np.concatenate([np.diff(a) != 0, [True]])) if len(a) else np.empty(0, np.int64)
+    full = last[np.diff(last, prepend=-1) >= degree]
+    return a[full], s[full]
+
+
+class Parts(NamedTuple):
+    """The nodes dealt by hash. A node's number is its place in its part, times the parts, plus its part."""
+
+    vectors: DataFrame  # a row of MAIL for each part: x the ids in order, y the vectors
+    count: int
+    total: int
+    width: int  # of a vector
+
+
+def _part(node: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(node), F.lit(29)), F.lit(count)).cast("int")
+
+
+def dealt(named: DataFrame) -> Parts:
     total = named.count()
-    if not total:
-        return named.selectExpr("node AS a", "node AS b", "CAST(0 AS DOUBLE) AS s").limit(0)
-    cells = max(1, total // cell_rows)
-    per = min(cells, PIVOTS // splits)
-    pivots = named.select("node", "h").orderBy(F.xxhash64("node", F.lit(17))).limit(per * splits).toArrow()
-    shared = named.sparkSession.sparkContext.broadcast(_unit(_vectors(pivots.column("h"))))
+    count = max(-(-total // PART_NODES), min(24, -(-total // 256)), 1)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = _vectors(batch.column(1)) @ shared.value.T
-            for k in range(splits):
-                own = scores[:, k * per : (k + 1) * per]
-                best = own.argmax(axis=1) if own.shape[1] else np.zeros(batch.num_rows, np.int64)
-                cell = pa.array((best * splits + k).astype(np.int32))
-                yield pa.record_batch([batch.column(0), batch.column(1), cell], ["node", "h", "cell"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, matrix = group["node"].to_numpy(), _vectors(group["h"].combine_chunks())
-        found = [_best_pairs(ids[some], matrix[some], degree) for some in _cells(matrix, cell_rows)]
-        return _table(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    dealt = named.select("node", "h").mapInArrow(deal, "node long, h binary, cell int")
-    return _keep(dealt.groupBy("cell").applyInArrow(compare, EDGE), degree)
-
-
-def descend(named: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
-    """One round: all who meet at a node are compared, and each keeps its best."""
-    forward = edges.select(F.col("a").alias("at"), F.col("b").alias("node"))
-    back = _keep(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), degree, parts=32)
-    meeting = forward.unionByName(back.select(F.col("a").alias("at"), F.col("b").alias("node")))
-    meeting = meeting.unionByName(named.select(F.col("node").alias("at"), "node")).distinct()
-    # The worst edge of a node whose list is full: what is no better is not told to it.
-    low = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count("s") >= degree, F.min("s")).alias("low"))
-    known = settled(named.join(low.hint("merge"), "node", "left").select("node", "h", F.coalesce("low", F.lit(-np.inf)).alias("low")), "bounds")
-    gathered = meeting.join(known.hint("merge"), "node").select("at", "node", "low", "h")
-    gathered = gathered.repartition("at").sortWithinPartitions("at")
-
-    def better(ids: np.ndarray, low: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        scores = matrix @ matrix.T
-        np.fill_diagonal(scores, -np.inf)
-        if len(ids) - 1 > degree:  # no more than `degree` of one meeting can stay
-            low = np.maximum(low, -np.partition(-scores, degree, axis=1)[:, degree])
-        i, j = np.nonzero(scores > low[:, None])
-        return ids[i], ids[j], scores[i, j]
+    def pack(group: pa.Table) -> pa.Table:
+        ids = group["node"].to_numpy()
+        order = np.argsort(ids)
+        data, _ = flat(group["h"])
+        return pa.Table.from_batches([_row(group["part"][0].as_py(), VECTORS, ids[order], data.reshape(len(ids), -1)[order])])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if rest is None or not rest.num_rows:
-                continue
-            at = rest["at"].to_numpy()
-            ends = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)] if batch is None else []]).astype(int)
-            if len(ends) < 2:
-                continue
-            whole, rest = rest.slice(0, ends[-1]).combine_chunks(), rest.slice(ends[-1])
-            ids, low, matrix = whole["node"].to_numpy(), whole["low"].to_numpy(), _vectors(whole["h"].combine_chunks())
-            found = [better(ids[x:y], low[x:y], matrix[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield from _table(*(np.concatenate(x) for x in zip(*found, strict=True))).to_batches()
+    vectors = settled(named.withColumn("part", _part("node", count)).groupBy("part").applyInArrow(pack, MAIL), "parts")
+    first = named.select(F.length("h").alias("n")).first()
+    if total >= 1 << 29:
+        raise ValueError("numbers of nodes, which the parts make a little larger, take 30 bits")
+    return Parts(vectors, count, total, first.n // 4 if first else 0)
 
-    found = gathered.mapInArrow(compare, EDGE)
-    return _keep(edges.unionByName(found), degree)
 
+def _numbered(parts: Parts, part: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and single-precision vectors of a part."""
+    h = y.view(np.float32).reshape(-1, parts.width)
+    return (np.arange(len(h), dtype=np.int64) * parts.count + part).astype(np.int32), h
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches that have rows, then None."""
-    yield from (b for b in batches if b.num_rows)
-    yield None
 
+def start(named: DataFrame, parts: Parts, degree: int, cell_rows: int = CELL_ROWS, splits: int = 10) -> DataFrame:
+    """First neighbours: the best within cells of nearest random pivots.
 
-def graph(named: DataFrame, degree: int = 48, rounds: int = ROUNDS, still: float = STILL, **options) -> DataFrame:
-    """(a, b, s): up to `degree` neighbours of each node."""
-    edges = settled(start(named, degree, **options), "graph")
-    total = edges.count()
+    The first few divisions tell each node a score that the neighbours from all the others must exceed.
+    """
+    cells = max(1, parts.total // cell_rows)
+    per = min(cells, PIVOTS // splits)
+    pivots = named.select("node", "h").orderBy(F.xxhash64("node", F.lit(17))).limit(per * splits).toArrow()
+    shared = named.sparkSession.sparkContext.broadcast(_unit(_vectors(pivots.column("h"))))
+    shape = parts._replace(vectors=None)
+
+    def wave(some: range, edges: DataFrame | None) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _letters(batches):
+                for _, kind, x, y, s in rows:
+                    if kind == VECTORS:
+                        number, h = _numbered(shape, part, y)
+                        low = np.full(len(number), -np.inf)
+                    else:
+                        a, _, s = _read(x, y, s)
+                        a, s = _lows(a, s, degree)
+                        low[a // shape.count] = s
+                cell = np.empty((len(number), len(some)), np.int32)
+                for at in range(0, len(number), 1024):
+                    scores = h[at : at + 1024].astype(np.float64) @ shared.value[some.start * per : some.stop * per].T
+                    for k in range(len(some)):
+                        own = scores[:, k * per : (k + 1) * per]
+                        cell[at : at + 1024, k] = own.argmax(axis=1) * len(some) + k if own.shape[1] else k
+                for k in range(len(some)):
+                    yield _mail(cell[:, k], VECTORS, number, h, low)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, held = [], 0
+            for _, rows in _letters(batches):
+                ids, h, low = (np.concatenate(x) for x in zip(*(x[2:] for x in rows), strict=True))
+                ids, low = ids.view(np.int32), low.view(np.float64)
+                matrix = h.view(np.float32).reshape(-1, shape.width).astype(np.float64)
+                for own in _cells(matrix, cell_rows):
+                    for pairs in _best_pairs(ids[own], matrix[own], low[own], degree):
+                        found.append(pairs)
+                        held += len(pairs[0])
+                        if held > HELD:
+                            yield _edges(found, shape.count)
+                            found, held = [], 0
+            if found:
+                yield _edges(found, shape.count)
+
+        told = parts.vectors if edges is None else _sorted(parts.vectors.unionByName(edges), parts.count)
+        sent = told.mapInArrow(deal, MAIL)
+        spread = _sorted(sent, min(per * len(some), parts.count * len(some)))
+        return merged(parts, edges, spread.mapInArrow(compare, MAIL), degree, all_new=True)
+
+    first = max(1, round(splits**0.5))
+    edges = wave(range(first), None)
+    return wave(range(first, splits), edges.select(*MAIL_NAMES)) if first < splits else edges
+
+
+def _edges(found: list[tuple[np.ndarray, ...]], count: int, kind: int = FOUND) -> pa.RecordBatch:
+    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _mail(a % count, kind, a, b, s)
+
+
+def merged(parts: Parts, edges: DataFrame | None, found: DataFrame, degree: int, all_new: bool = False) -> DataFrame:
+    """Each part's edges, sorted by node and from the best; `fresh` counts those that were not there.
+
+    In EDGES, as in what is made of them, the other end is twice its number, plus one if the edge is new.
+    """
+    count = parts.count
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            lists, known = _Lists(degree), np.empty(0, np.int64)
+            for _, kind, *cells in rows:
+                a, b, s = _read(*cells)
+                if kind == EDGES:
+                    b = b >> 1
+                    known = np.sort(_key(a, b))
+                lists.add(a, b, s)
+            a, b, s = lists.edges()
+            new = _absent(_key(a, b), known)
+            fresh = pa.array([int(new.sum())], pa.int64())
+            yield _row(part, EDGES, a, b * 2 + (new | all_new), s).append_column("fresh", fresh)
+
+    rows = found if edges is None else edges.unionByName(found)
+    return settled(_sorted(rows, count).mapInArrow(best, MAIL + ", fresh long"), "graph")
+
+
+def descend(parts: Parts, edges: DataFrame, degree: int) -> DataFrame:
+    """One round: all who meet at a node are compared, and each keeps its best.
+
+    Two are compared where at least one of them is new. Meetings are held in blocks of nodes; a vector is sent to each
+    block once, however many meetings there it attends.
+    """
+    shape, count = parts._replace(vectors=None), parts.count
+    vector = max(1, 4 * parts.width)
+    blocks = min(count, 24)
+    if parts.total * vector > BLOCK_BYTES:
+        blocks = max(blocks, -(-parts.total * vector * (2 * degree + 1) // BLOCK_BYTES))
+    within = -(-blocks // count)  # blocks of a part, if there are more blocks than parts
+
+    def block(at: np.ndarray) -> np.ndarray:
+        return at % count % blocks if within == 1 else at % count * within + at // count % within
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _letters(batches):
+            for _, _, *cells in rows:
+                a, b, s = _read(*cells)
+                lists = _Lists(degree)
+                lists.add(b >> 1, a * 2 + (b & 1), s)
+                yield _edges([lists.edges()], count, BACK)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            lists, forth = _Lists(degree), (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
+            for _, kind, *cells in rows:
+                if kind == EDGES:
+                    forth = _read(*cells)
+                else:
+                    lists.add(*_read(*cells))
+            a, b, _ = lists.edges()
+            a, b = np.concatenate([forth[0], a]), np.concatenate([forth[1], b])
+            new = (b & 1).astype(bool)
+            own = np.unique(a[new])  # where nobody is new, all have met
+            key = np.unique(np.concatenate([_key(a, b >> 1)[np.isin(a, own)], _key(own, own)]))
+            new = ~_absent(key, np.unique(_key(a, b >> 1)[new]))
+            at, node = (key >> 32).astype(np.int32), key.astype(np.int32)
+            to = block(at)
+            yield _mail(to, MEET, at, node * 2 + new)
+            ask = np.unique(_key(to, node))
+            to, node = (ask >> 32).astype(np.int32), ask.astype(np.int32)
+            yield _mail(node % count, ASK, node, to)
+            full, low = _lows(forth[0], forth[2], degree)
+            yield _row(part, LOW, full, None, low)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            asked = []
+            for _, kind, x, y, s in rows:
+                if kind == VECTORS:
+                    number, h = _numbered(shape, part, y)
+                    low = np.full(len(number), -np.inf)
+                elif kind == LOW:
+                    low[x.view(np.int32) // count] = s.view(np.float64)
+                else:
+                    asked.append(_key(y.view(np.int32), x.view(np.int32)))
+            key = np.unique(np.concatenate(asked)) if asked else np.empty(0, np.int64)
+            to, place = (key >> 32).astype(np.int32), key.astype(np.int32) // count
+            for at in range(0, len(to), 1 << 16):
+                own = place[at : at + (1 << 16)]
+                yield _mail(to[at : at + (1 << 16)], VECTORS, number[own], h[own], low[own])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _letters(batches):
+            meetings, ids = [], None
+            for _, kind, x, y, s in rows:
+                if kind == MEET:
+                    meetings.append((x.view(np.int32), y.view(np.int32)))
+                    continue
+                if ids is None:
+                    at, node = (np.concatenate(m) for m in zip(*meetings, strict=True))
+                    del meetings
+                    ids = np.unique(node >> 1)
+                    h, low = np.empty((len(ids), shape.width), np.float32), np.empty(len(ids))
+                place = np.searchsorted(ids, x.view(np.int32))
+                h[place], low[place] = y.view(np.float32).reshape(-1, shape.width), s.view(np.float64)
+            if ids is None:
+                continue
+            new, node = (node & 1).astype(bool), np.searchsorted(ids, node >> 1)
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+            found = _Lists(degree)
+            for one, other in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                here, fresh = node[one:other], np.flatnonzero(new[one:other])
+                known = np.flatnonzero(~new[one:other])
+                matrix = h[here].astype(np.float64)
+                scores = matrix[fresh] @ matrix.T
+                scores[np.arange(len(fresh)), fresh] = -np.inf
+                i, j = _over(scores, low[here[fresh]], degree)
+                found.held.append((ids[here[fresh[i]]], ids[here[j]], scores[i, j]))
+                found.rows += len(i)
+                i, j = _over(scores[:, known].T, low[here[known]], degree)
+                found.held.append((ids[here[known[i]]], ids[here[fresh[j]]], scores[j, known[i]]))
+                found.rows += len(i)
+                if found.rows > HELD:
+                    yield _edges([found.edges()], count)
+                    found = _Lists(degree)
+            yield _edges([found.edges()], count)
+
+    edges = edges.select(*MAIL_NAMES)
+    told = _sorted(edges.unionByName(edges.mapInArrow(back, MAIL)), count).mapInArrow(meet, MAIL)
+    told = settled(told, "meetings")
+    sent = _sorted(parts.vectors.unionByName(told.where(F.col("kind") != MEET)), count).mapInArrow(send, MAIL)
+    # VECTORS are the lowest kind, but a block wants its meetings first.
+    sent = sent.withColumn("kind", F.lit(MEET + 1))
+    held = _sorted(told.where(F.col("kind") == MEET).unionByName(sent), blocks if within == 1 else count * within).mapInArrow(compare, MAIL)
+    return merged(parts, edges, held, degree)
+
+
+def graph(named: DataFrame, parts: Parts, degree: int = 48, rounds: int = ROUNDS, still: float = STILL, **options) -> DataFrame:
+    """Rows of MAIL with up to `degree` neighbours of each node: x the nodes, y their neighbours, s the scores."""
+    edges = start(named, parts, degree, **options)
+    total = edges.agg(F.sum(F.length("x") / 4)).first()[0] or 0
     for _ in range(rounds if total else 0):
-        after = settled(descend(named, edges, degree), "graph")
+        edges = descend(parts, edges, degree)
         release(named)
-        changed = after.join(edges.select("a", "b").hint("merge"), ["a", "b"], "left_anti").count()
-        edges = after
-        if changed <= still * total:
+        if edges.agg(F.sum("fresh")).first()[0] <= still * total:
             break
-    return edges
+    return edges.select(*MAIL_NAMES)
 
 
-def _longest(named: DataFrame, count: int) -> DataFrame:
-    """(to): the nodes of the longest vectors."""
+def _longest(parts: Parts, count: int) -> list:
+    """(number, h) of the longest vectors."""
+    shape = parts._replace(vectors=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([batch.column(0), pa.array(np.linalg.norm(_vectors(batch.column(1)), axis=1))], ["to", "l"])
+        for part, rows in _letters(batches):
+            for _, _, x, y, _ in rows:
+                number, h = _numbered(shape, part, y)
+                length, ids = np.linalg.norm(h.astype(np.float64), axis=1), x.view(np.int64)
+                own = np.lexsort((ids, -length))[:count]
+                cells = pa.array([v.tobytes() for v in h[own]], pa.binary())
+                yield pa.record_batch([pa.array(number[own]), pa.array(ids[own]), pa.array(length[own]), cells], ["number", "node", "l", "h"])
 
-    lengths = named.select("node", "h").mapInArrow(run, "to long, l double")
-    return lengths.orderBy(F.desc("l"), "to").limit(count).select("to")
+    lengths = parts.vectors.mapInArrow(run, "number int, node long, l double, h binary")
+    return lengths.orderBy(F.desc("l"), "node").limit(count).select("number", "h").collect()
 
 
 def search(
-    named: DataFrame, edges: DataFrame, members: DataFrame, queries: DataFrame, top: int = 20, beam: int = 72
+    parts: Parts, edges: DataFrame, members: DataFrame, queries: DataFrame, top: int = 20, beam: int = 72
 ) -> DataFrame:
-    """(query_id, rank, id, score) for `queries` (query_id, node); `node` is the node of the query's own row."""
-    near = edges.select(F.col("a").alias("node"), F.col("b").alias("to"))
-    vectors = named.select(F.col("node").alias("to"), "h")
-    own = queries.select(F.col("node").alias("q")).distinct()
-    own = settled(own.join(named.select(F.col("node").alias("q"), F.col("h").alias("qh")).hint("merge"), "q"), "queries")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """(q, node, s) for (q, to)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    s = (_vectors(batch.column(2)) * _vectors(batch.column(3))).sum(axis=1)
-                    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s)], ["q", "node", "s"])
-
-        full = pairs.join(vectors.hint("merge"), "to").join(own.hint("merge"), "q")
-        return full.select("q", "to", "qh", "h").mapInArrow(run, "q long, node long, s double")
+    """(query_id, rank, id, score) for `queries` (query_id, node); `node` is the node of the query's own row.
 
+    A query's state is its vector and the best `beam` nodes seen, which lie in the part of its own node. What has
+    been seen and is not among them is scored again if met again, and is again too low.
+    """
+    shape, count = parts._replace(vectors=None), parts.count
+    beam = max(beam, top + 1)
     # The longest vectors are near many queries, but only some of those are near them; they are only scored.
-    long = settled(_longest(named, top + 1), "longest-vectors")
-    begin = own.select("q", F.col("q").alias("to")).unionByName(own.select("q").crossJoin(F.broadcast(long))).distinct()
-    seen = settled(scored(begin).withColumn("opened", F.col("q") != F.col("node")), "seen")
-    order = [F.desc("s"), "node"]
-    while True:
-        place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
-        front = settled(seen.withColumn("r", place).where(f"r <= {beam} AND NOT opened").select("q", "node"), "front")
-        if front.isEmpty():
-            break
-        fresh = front.join(near.hint("merge"), "node").select("q", "to").distinct()
-        known = seen.select("q", F.col("node").alias("to"))
-        fresh = scored(fresh.join(known.hint("merge"), ["q", "to"], "left_anti"))
-        opened = seen.join(front.withColumn("now", F.lit(True)).hint("merge"), ["q", "node"], "left").select(
-            "q", "node", "s", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened")
-        )
-        seen = settled(opened.unionByName(fresh.withColumn("opened", F.lit(False))), "seen")
-        release(named)
+    long = [(r.number, np.frombuffer(r.h, np.float32).astype(np.float64)) for r in _longest(parts, top + 1)]
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _mail(batch.column(0).to_numpy(), QUERIES, batch.column(1).to_numpy())
+
+    def stated(part: int, q: np.ndarray, h: np.ndarray, own: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        query, node, s, opened = own
+        fresh = pa.array([0], pa.int64()), pa.array([int((~opened).sum())], pa.int64())
+        yield _row(part, QUERIES, q, h).append_column("fresh", fresh[0])
+        yield _row(part, BEST, np.stack([query, node], axis=1).astype(np.int32), opened, s).append_column("fresh", fresh[1])
+
+    def best(query: np.ndarray, node: np.ndarray, s: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, ...]:
+        own = _best(query, node, s, beam)
+        return query[own], node[own], s[own], opened[own]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            asked, ids = [], np.empty(0, np.int64)
+            for _, kind, x, y, _ in rows:
+                if kind == VECTORS:
+                    ids, (number, h) = x.view(np.int64), _numbered(shape, part, y)
+                else:
+                    asked.append(x.view(np.int64))
+            if not asked:
+                continue
+            place = np.searchsorted(ids, np.unique(np.concatenate(asked)))
+            q, h = number[place], h[place]
+            matrix = h.astype(np.float64)
+            rows = [(q, q, (matrix * matrix).sum(axis=1), np.zeros(len(q), bool))]
+            for far, v in long:
+                own = q != far
+                rows.append((q[own], np.full(own.sum(), far, np.int32), (matrix[own] * v).sum(axis=1), np.ones(own.sum(), bool)))
+            yield from stated(part, q, h, best(*(np.concatenate(x) for x in zip(*rows, strict=True))))
+
+    def read(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        query, node = x.view(np.int32).reshape(-1, 2).T
+        return query, node, s.view(np.float64), y.view(bool)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _letters(batches):
+            for _, _, *cells in rows:
+                query, node, _, opened = read(*cells)
+                yield _mail(node[~opened] % count, OPEN, node[~opened], query[~opened])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vectors of queries that still open nodes, and the score to exceed, to all parts."""
+        for _, rows in _letters(batches):
+            for _, kind, x, y, s in rows:
+                if kind == QUERIES:
+                    q, h = x.view(np.int32), y.view(np.float32).reshape(-1, shape.width)
+                    continue
+                query, _, s, opened = read(x, y, s)
+                full, worst = _lows(query, s, beam)
+                low = np.full(len(q), -np.inf)
+                low[np.searchsorted(q, full)] = worst
+                own = np.searchsorted(q, np.unique(query[~opened]))
+                for to in range(count if len(own) else 0):
+                    yield _row(to, QUERIES, q[own], h[own], low[own])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _letters(batches):
+            ends = np.zeros(1, np.int64)
+            for _, kind, x, y, _ in rows:
+                if kind == EDGES:
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(x.view(np.int32) // count))])
+                    near = y.view(np.int32) >> 1
+                    continue
+                place, query = x.view(np.int32) // count, y.view(np.int32)
+                if len(ends) == 1:  # no node here has neighbours
+                    continue
+                query, place = query[place < len(ends) - 1], place[place < len(ends) - 1]
+                size = ends[place + 1] - ends[place]
+                upto = np.cumsum(size)
+                at = 0
+                while at < len(place):
+                    to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HELD)))
+                    own = size[at:to]
+                    node = near[np.repeat(ends[place[at:to]] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+                    key = np.unique(_key(np.repeat(query[at:to], own), node))
+                    node = key.astype(np.int32)
+                    yield _mail(node % count, CAND, node, (key >> 32).astype(np.int32))
+                    at = to
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            told, q, found = [], None, _Lists(beam)
+            for _, kind, x, y, s in rows:
+                if kind == VECTORS:
+                    h = _numbered(shape, part, y)[1].astype(np.float64)
+                    continue
+                if kind == QUERIES:
+                    told.append((x.view(np.int32), y.view(np.float32).reshape(-1, shape.width), s.view(np.float64)))
+                    continue
+                if q is None:
+                    q, qh, low = (np.concatenate(c) for c in zip(*told, strict=True))
+                    order = np.argsort(q)
+                    q, qh, low = q[order], qh[order].astype(np.float64), low[order]
+                    del told
+                node, query = x.view(np.int32), y.view(np.int32)  # sorted by query
+                ends = np.concatenate([[0], np.flatnonzero(np.diff(query)) + 1, [len(query)]])
+                place = np.repeat(np.searchsorted(q, query[ends[:-1]]), np.diff(ends))
+                for at in range(0, len(node), 1 << 13):
+                    n, k = node[at : at + (1 << 13)], place[at : at + (1 << 13)]
+                    s = np.einsum("ij,ij->i", h[n // count], qh[k])
+                    own = s > low[k]
+                    found.add(q[k[own]], n[own], s[own])
+            query, node, s = found.edges()
+            yield _mail(query % count, FOUND, np.stack([query, node], axis=1), np.zeros(len(s), bool), s)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            found, own = _Lists(beam), ()
+            for _, kind, x, y, s in rows:
+                if kind == QUERIES:
+                    q, h = x.view(np.int32), y.view(np.float32).reshape(-1, shape.width)
+                elif kind == BEST:
+                    query, node, s, _ = read(x, y, s)
+                    own = query, node, s, np.ones(len(s), bool)  # those to be opened have been
+                else:
+                    found.add(*read(x, y, s)[:3])
+            new = found.edges()
+            fresh = _absent(_key(*new[:2]), np.sort(_key(*own[:2])))  # the state's own have a say about being opened
+            both = zip(own, (*(x[fresh] for x in new), np.zeros(fresh.sum(), bool)), strict=True)
+            yield from stated(part, q, h, best(*(np.concatenate(x) for x in both)))
+
+    own = queries.select(_part("node", count).alias("part"), "node").distinct()
+    known = parts.vectors.unionByName(own.mapInArrow(ask, MAIL))
+    state = settled(_sorted(known, count).mapInArrow(begin, MAIL + ", fresh long"), "seen")
+    near = edges.withColumn("s", F.lit(b""))
+    while state.agg(F.sum("fresh")).first()[0]:
+        state = state.select(*MAIL_NAMES)
+        fresh = state.where(F.col("kind") == BEST).mapInArrow(front, MAIL)
+        fresh = _sorted(near.unionByName(fresh), count).mapInArrow(widen, MAIL)
+        fresh = parts.vectors.unionByName(_sorted(state, count).mapInArrow(tell, MAIL)).unionByName(fresh)
+        fresh = _sorted(fresh, count).mapInArrow(score, MAIL)
+        # FOUND is a lower kind than that of the state, which comes first.
+        fresh = fresh.withColumn("kind", F.lit(BEST + 1))
+        state = settled(_sorted(state.unionByName(fresh), count).mapInArrow(gather, MAIL + ", fresh long"), "seen")
+        release(state)
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _letters(batches):
+            for _, _, *cells in rows:
+                query, node, s, _ = read(*cells)
+                first = np.searchsorted(query, query)
+                last = np.minimum(first + top, np.searchsorted(query, query, "right") - 1)
+                own = s >= s[last]
+                yield pa.record_batch([pa.array(x[own]) for x in (query, node, s)], ["qn", "n", "s"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _letters(batches):
+            for _, _, x, y, _ in rows:
+                number, _ = _numbered(shape, part, y)
+                yield pa.record_batch([pa.array(number), pa.array(x.view(np.int64))], ["n", "node"])
+
+    named = settled(parts.vectors.mapInArrow(name, "n int, node long"), "names")
+    best_ = state.where(F.col("kind") == BEST).select(*MAIL_NAMES).mapInArrow(result, "qn int, n int, s double")
+    best_ = best_.join(named.hint("merge"), "n").select("qn", "node", "s")
+    seen = best_.join(named.select(F.col("n").alias("qn"), F.col("node").alias("q")).hint("merge"), "qn").select("q", "node", "s")
+    order = [F.desc("s"), "node"]
     place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
     best = seen.withColumn("r", place).where(F.col("r") <= top + 1).select("q", "node", "s")
     # A node stands for all rows with its vector; the query's own row is no candidate.
@@ -337,10 +715,11 @@ def nearest(
     """(query_id, rank, id, score): the nearest of each row whose id is divisible by `every`."""
     rows = settled(usable(rows, id_col, vector_col), "vectors")
     named, members = nodes(rows, top)
-    grown = sizes(named.count())
-    edges = graph(named, **{"degree": grown.degree, "splits": grown.splits} | options)
+    parts = dealt(named)
+    grown = sizes(parts.total)
+    edges = graph(named, parts, **{"degree": grown.degree, "splits": grown.splits} | options)
     first = rows.groupBy(F.xxhash64("v").alias("key"), "v").agg(F.min("id").alias("node"))
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "v").distinct()
     asked = asked.withColumn("key", F.xxhash64("v")).join(first.hint("merge"), ["key", "v"])
-    found = search(named, edges, members, settled(asked.select("query_id", "node"), "asked"), top, grown.beam)
+    found = search(parts, edges, members, settled(asked.select("query_id", "node"), "asked"), top, grown.beam)
     return found.withColumnRenamed("id", id_col)
