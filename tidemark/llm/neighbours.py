@@ -6,16 +6,17 @@ Rows with the same vector are one node, named by its smallest id; a node keeps t
 The graph starts from several divisions of the nodes into cells of about `CELL_ROWS` of like direction
 around random pivots: each node gets its best neighbours within its cells. A cell that is much too
 large is divided again by pivots of its own, around its own mean. Then the graph descends: neighbours
-of neighbours, in both directions, are likely neighbours. A round sends each node's vector to the
-nodes it is a neighbour of and to its own neighbours (the best ones, a fixed number of either), lets
-all who meet at a node be compared there, and keeps each node's best. What a node has already
-bettered is not sent on. Rounds end when no more than `STILL` of the edges change. Neighbours of a
+of neighbours, in both directions, are likely neighbours. In a round each node meets the nodes it is
+a neighbour of and its own neighbours (the best ones, a fixed number of either); all who meet at a
+node are compared there if at least one of them is new there, and each node keeps its best. What a
+node has already bettered is not sent on. Rounds end when no more than `STILL` of the edges change. Neighbours of a
 node, divisions and the breadth of the search grow with the nodes (see `Sizes`), as more nodes are
 harder to tell apart.
 
 A query starts at its own node, as every query is a row of the table, and searches greedily: of
 the `beam` best nodes it has seen, those not yet opened are opened, their neighbours on the graph
-scored, until none of the best is unopened. The longest vectors are scored for every query. All
+scored, until none of the best is unopened. Nodes are dealt to parts by hash, and a row that passes
+between tasks holds the numbers, vectors and scores of many nodes (see `MAIL`). The longest vectors are scored for every query. All
 comparisons are in double precision on the original vectors, so every node seen has its exact score.
 
 Defined cases: vectors that are null, zero, or hold nulls or non-finite components, and rows
